@@ -7,6 +7,9 @@ import types
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,3 +50,17 @@ def kept_by_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words between ASCII white space: each one's number among the distinct words, those, and where each text's words begin and end.
+
+    Splitting and numbering run in Arrow's kernels, so that Python meets each distinct word of a batch once.
+    White space at an end gives an empty word; a null text has no words.
+    """
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    offsets = lists.offsets.to_numpy()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, offsets - offsets[0]
