@@ -18,14 +18,18 @@ import heapq
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_batches, kept_by_worker
+from skein.llm.common import bounded_batches, kept_by_worker, split_words
 
-#: Entries after which a worker's chunk cache is emptied, and the longest chunk it keeps.
-CACHE_ENTRIES, CACHE_BYTES = 1_200_000, 48
+#: Entries after which a worker's word cache is emptied, and the longest word it keeps.
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
+#: Rows of a batch: large enough that most of its words repeat.
+ROWS = 4096
 #: Sequence ids: the task's partition times this, plus a count.
 STRIDE = 1 << 33
 
@@ -33,44 +37,49 @@ STRIDE = 1 << 33
 class WordIds:
     """Ids of whole texts from a tokenizer that lower-cases and never joins what white space parts.
 
-    Each white-space chunk is tokenized once and its ids are kept as little-endian
-    32-bit bytes, so that a text costs one dictionary look-up a chunk. Lower-casing
-    A-Z first is idempotent under the tokenizer; texts that might spell a special
-    token in capitals keep their case.
+    A batch's distinct words are tokenized once each (and remembered), and the ids
+    of its texts are gathered from theirs. Lower-casing A-Z first is idempotent
+    under the tokenizer; texts that might spell a special token in capitals keep
+    their case.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        known, parts, new = self.known, [], set()
-        for x in texts:
-            data = x.encode()
-            words = (data if b"<|" in data else data.lower()).split()
-            ids = list(map(known.get, words))
-            gaps = [(k, words[k]) for k, v in enumerate(ids) if v is None] if None in ids else []
-            new.update(w for _, w in gaps)
-            parts.append((ids, gaps))
-        if new:
-            fresh, some = {}, list(new)
-            for at in range(0, len(some), 20_000):
-                words = some[at : at + 20_000]
-                encoded = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-                fresh.update((w, _bytes(e.ids)) for w, e in zip(words, encoded, strict=True))
-            for ids, gaps in parts:
-                for k, w in gaps:
-                    ids[k] = fresh[w]
-            if len(known) + len(fresh) > CACHE_ENTRIES:
-                known.clear()
-            known.update((w, v) for w, v in fresh.items() if len(w) <= CACHE_BYTES)
-        return [b"".join(ids) for ids, _ in parts]
-
-
-def _bytes(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, texts: pa.Array, end_id: int | None = None) -> list[np.ndarray]:
+        """Each text's ids (unsigned 32-bit), followed by ``end_id`` if there is one."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        number, words, offsets = split_words(texts)
+        ids = self._ids(words.to_pylist())
+        if end_id is not None:
+            number = np.insert(number, offsets[1:], len(ids))
+            offsets = offsets + np.arange(len(offsets))
+            ids.append(int(end_id).to_bytes(4, "little"))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(size)])
+        each = size[number]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        out = flat[np.repeat(first[number] - ends[:-1], each) + np.arange(ends[-1])]
+        bounds = ends[offsets]
+        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        known = self.known
+        ids = list(map(known.get, words))
+        gaps = [k for k, v in enumerate(ids) if v is None]
+        if len(known) + len(gaps) > CACHE_ENTRIES:
+            known.clear()
+        for at in range(0, len(gaps), 20_000):
+            some = gaps[at : at + 20_000]
+            for k, e in zip(some, self.tokenizer.encode_batch([words[k] for k in some], add_special_tokens=False), strict=True):
+                ids[k] = np.array(e.ids, "<u4").tobytes()
+                if len(words[k]) <= CACHE_CHARS:
+                    known[words[k]] = ids[k]
+        return ids
 
 
 def assign(lengths: list[tuple[int, int, int]], n_sequences: int, capacity: int, quadratic: float, tries: int = 8) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
@@ -105,18 +114,17 @@ def assign(lengths: list[tuple[int, int, int]], n_sequences: int, capacity: int,
 class Packer:
     """Packs one task's documents; holds at most ``window`` ids and what was left of the window before."""
 
-    def __init__(self, encode, end_id: int, capacity: int, window: int, quadratic: float, first_sequence: int):
-        self.encode, self.end, self.capacity, self.window, self.quadratic, self.next = encode, end_id.to_bytes(4, "little"), capacity, window, quadratic, first_sequence
-        self.docs: list[tuple[int | None, bytes]] = []
+    def __init__(self, capacity: int, window: int, quadratic: float, first_sequence: int):
+        self.capacity, self.window, self.quadratic, self.next = capacity, window, quadratic, first_sequence
+        self.docs: list[tuple[int | None, np.ndarray]] = []
         self.pending: list[tuple[int, int, int]] = []
         self.tokens = 0
 
-    def add(self, keys: list, texts: list[str]) -> Iterator[tuple]:
-        for key, ids in zip(keys, self.encode(texts), strict=True):
-            ids += self.end
-            self.pending.append((len(self.docs), 0, len(ids) // 4))
+    def add(self, keys: list, documents: list[np.ndarray]) -> Iterator[tuple]:
+        for key, ids in zip(keys, documents, strict=True):
+            self.pending.append((len(self.docs), 0, len(ids)))
             self.docs.append((key, ids))
-            self.tokens += len(ids) // 4
+            self.tokens += len(ids)
             if self.tokens >= self.window:
                 yield from self.flush(last=False)
 
@@ -135,12 +143,12 @@ class Packer:
             offset = 0
             for doc, start, length in pieces:
                 key, ids = self.docs[doc]
-                yield key, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4, self.next, offset
+                yield key, start, length, zlib.crc32(ids[start : start + length]), len(ids), self.next, offset
                 offset += length
             self.next += 1
         kept = sorted({x[0] for x in rest})
         place = {doc: k for k, doc in enumerate(kept)}
-        self.docs = [self.docs[doc] for doc in kept]
+        self.docs = [(self.docs[doc][0], self.docs[doc][1].copy()) for doc in kept]
         self.pending = [(place[doc], start, length) for doc, start, length in rest]
         self.tokens = sum(x[2] for x in rest)
 
@@ -170,7 +178,7 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
 
     ``window_sequences`` bounds a task's buffer (that many times ``capacity`` ids, and one document more).
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, ROWS)
     source = docs.select(key, text)
     schema = T.StructType([source.schema[key], *SCHEMA.fields])
     kinds = [pa.int64()] * 6
@@ -178,11 +186,12 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer = Packer(kept_by_worker(("word ids", tokenizer_path), lambda: WordIds(tokenizer_path)), end_id, capacity, window_sequences * capacity, quadratic, TaskContext.get().partitionId() * STRIDE)
+        encode = kept_by_worker(("word ids", tokenizer_path), lambda: WordIds(tokenizer_path))
+        packer = Packer(capacity, window_sequences * capacity, quadratic, TaskContext.get().partitionId() * STRIDE)
 
         def rows():
             for batch in batches:
-                yield from packer.add(batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()])
+                yield from packer.add(batch.column(0).to_pylist(), encode(batch.column(1), end_id))
             yield from packer.flush(last=True)
 
         some: list[tuple] = []
