@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import langid, packing, piece_codec, quality, token_counts, toxicity
-from skein.llm.common import fold, table
+from skein.llm import ann, langid, merkle, packing, piece_codec, quality, token_counts, toxicity, warc
+from skein.llm.common import fold, scratch_path, table
 
 
 def _tokenizer(name: str) -> str:
@@ -37,6 +37,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id"), 5) == 0
@@ -44,9 +48,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality, op4_language_id, op6_toxicity, op8_packing)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    return warc.records(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality, op4_language_id, op5_fingerprints, op6_toxicity, op7_neighbours, op8_packing, op10_warc)}
 SQL: dict[str, str] = {}
