@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, langid, merkle, packing, piece_codec, quality, token_counts, toxicity, warc
+from skein.llm import ann, langid, merkle, ngram_join, packing, piece_codec, quality, token_counts, toxicity, warc
 from skein.llm.common import fold, scratch_path, table
 
 
@@ -56,11 +56,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.archive(table(spark, sf_dir, "pages"), path)
     return warc.records(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality, op4_language_id, op5_fingerprints, op6_toxicity, op7_neighbours, op8_packing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality, op4_language_id, op5_fingerprints, op6_toxicity, op7_neighbours, op8_packing, op9_ngram_join, op10_warc)}
 SQL: dict[str, str] = {}
