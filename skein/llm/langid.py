@@ -162,18 +162,18 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     return ByteNet(classes).fit(x, np.searchsorted(classes, found["name"].to_numpy(dtype=object)), epochs)
 
 
-def predict(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the columns in ``keep``, lang_pred and score of each row."""
+def predict(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``key``, the columns in ``keep``, and under ``names`` the language and its score of each row."""
     bounded_batches(docs.sparkSession)
-    source = docs.select(key, text, *keep)
-    out = T.StructType([f for f in source.schema.fields if f.name != text or text in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    source = docs.select(key, F.col(text).alias("_text"), *keep)
+    out = T.StructType([source.schema.fields[0], *source.schema.fields[2:], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
         for batch in batches:
-            names, scores = label(batch.column(1).to_pylist(), net, tables)
+            found, scores = label(batch.column(1).to_pylist(), net, tables)
             columns = [batch.column(0), *(batch.column(2 + i) for i in range(len(keep)))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=out.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=out.names)
 
     return source.mapInArrow(run, out)
 

@@ -179,11 +179,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
     return AttentionBags(every.mean(0), every.std(0) + 0.02).fit(bags, y, weights, epochs=max(25, min(200, 60_000 // len(bags))))
 
 
-def score(docs: DataFrame, model: AttentionBags | Constant, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the columns in ``keep`` and the score (0 to 1, higher: label 1 likelier) of each row."""
+def score(docs: DataFrame, model: AttentionBags | Constant, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """``key``, the columns in ``keep`` and ``name``, the score (0 to 1, higher: label 1 likelier) of each row."""
     bounded_batches(docs.sparkSession)
-    source = docs.select(key, text, *keep)
-    out = T.StructType([f for f in source.schema.fields if f.name != text or text in keep] + [T.StructField("score", T.DoubleType())])
+    source = docs.select(key, F.col(text).alias("_text"), *keep)
+    out = T.StructType([source.schema.fields[0], *source.schema.fields[2:], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

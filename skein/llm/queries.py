@@ -9,18 +9,19 @@ from skein.llm import ann, langid, merkle, ngram_join, packing, piece_codec, qua
 from skein.llm.common import fold, scratch_path, table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
+    """The path of a public vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return token_counts.count(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), with_ids=False)
+    return piece_codec.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
