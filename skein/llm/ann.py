@@ -11,6 +11,9 @@ The forest is fitted on a bounded sample (at most ``most_sample`` vectors, those
 with the smallest key hash); every row is indexed. How many leaves a query opens
 is set on the sample, too: as few as find ``target`` of its true neighbours.
 
+A query's k-th best score in the sample is a lower bound of its k-th best of all, so
+that partial results below it are never emitted.
+
 Work is dealt by cells (subtrees) of bounded size: cells that hold more rows than
 ``block_rows``, or are opened by more queries, are split into blocks, each pair of
 which is one product of matrices. Of equal vectors only the ``k + 1`` smallest keys
@@ -110,18 +113,19 @@ def calibrate(forest: Forest, sample: np.ndarray, k: int, target: float, n_queri
     return min(total, int(np.quantile(first.ravel(), target)) + 1)
 
 
-def fit(rows: DataFrame, n: int, k: int, trees: int, leaf_rows: int, most_sample: int, target: float) -> tuple[Forest, int, int] | None:
-    """The forest, the budget of leaves and the vectors' length."""
+def fit(rows: DataFrame, n: int, k: int, trees: int, leaf_rows: int, most_sample: int, target: float) -> tuple[Forest, int, int, np.ndarray, np.ndarray] | None:
+    """The forest, the budget of leaves, the vectors' length, and the sample's keys and vectors."""
     keys = rows.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(most_sample)
     # at most most_sample keys: a proven bound
     found = rows.join(F.broadcast(keys), "_id", "left_semi").select("_id", "_v").limit(2 * most_sample).toPandas().sort_values("_id")
     if found.empty:
         return None
     dim = Counter(len(v) for v in found["_v"]).most_common(1)[0][0]
-    sample = np.array([v for v in found["_v"] if len(v) == dim], np.float64)
+    found = found[[len(v) == dim for v in found["_v"]]].drop_duplicates("_id")
+    ids, sample = found["_id"].to_numpy(np.int64), np.array(list(found["_v"]), np.float64)
     depth = max(0, min(int(np.ceil(np.log2(max(1, n / leaf_rows)))), int(np.log2(max(1, len(sample) / 8)))))
     forest = Forest(sample, trees, depth)
-    return forest, calibrate(forest, sample, k, target), dim
+    return forest, calibrate(forest, sample, k, target), dim, ids, sample
 
 
 def _usable(vector: Column) -> Column:
@@ -145,7 +149,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     fitted = fit(rows, n, k, trees, leaf_rows, most_sample, target) if n else None
     if fitted is None:
         return spark.createDataFrame([], out_schema)
-    forest, budget, dim = fitted
+    forest, budget, dim, sample_ids, sample = fitted
     copies = F.row_number().over(Window.partitionBy("_v").orderBy("_id"))
     candidates = rows.filter(F.size("_v") == dim).select("_id", "_v").withColumn("_n", copies).filter(F.col("_n") <= k + 1).select("_id", "_v")
     # cells are subtrees of about block_rows rows, so that a task's product is large and its partial results are few
@@ -166,21 +170,26 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
                 continue
             x = _matrix(batch.column(1), dim)
             for at in range(0, len(x), 256):
+                scores = x[at : at + 256] @ sample.T
+                scores[batch.column(0).to_numpy()[at : at + 256, None] == sample_ids] = -np.inf
+                # the k-th best of the sample, less what rounding may take
+                bound = np.partition(scores, -k, axis=1)[:, -k] * (1 - 1e-9) - 1e-12 if len(sample) >= k else np.full(len(scores), -np.inf)
+                bound = np.minimum(bound, bound * (1 + 2e-9))
                 mask = forest.opened(x[at : at + 256], budget).reshape(len(x[at : at + 256]), forest.trees << levels, 1 << below)
                 for cell in range(forest.trees << levels):
                     who = np.flatnonzero(mask[:, cell].any(1))
                     if len(who):
                         take = pa.array(who + at)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), cell), pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array([m.tobytes() for m in np.packbits(mask[who, cell], axis=1)], pa.binary())], names=["cell", "query", "v", "open"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), cell), pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(bound[who]), pa.array([m.tobytes() for m in np.packbits(mask[who, cell], axis=1)], pa.binary())], names=["cell", "query", "v", "bound", "open"])
 
     index = written(candidates.mapInArrow(to_cells, "cell int, leaf int, id long, v array<double>"), "ann-index")
-    visits = written(rows.filter((F.size("_v") == dim) & F.col("_q")).select("_id", "_v").mapInArrow(to_visits, "cell int, query long, v array<double>, open binary"), "ann-visits")
+    visits = written(rows.filter((F.size("_v") == dim) & F.col("_q")).select("_id", "_v").mapInArrow(to_visits, "cell int, query long, v array<double>, bound double, open binary"), "ann-visits")
     # one row for each cell: at most trees * 2 ** levels of them
     sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_rows")).join(visits.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_queries")), "cell")
     sizes = F.broadcast(written(sizes.coalesce(1), "ann-sizes"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = index.join(sizes, "cell").withColumn("rb", F.pmod(F.xxhash64("id"), F.col("n_rows")).cast("int")).select("cell", "rb", spread(F.col("n_queries")).alias("qb"), "leaf", "id", "v")
-    right = visits.join(sizes, "cell").withColumn("qb", F.pmod(F.xxhash64("query"), F.col("n_queries")).cast("int")).select("cell", "qb", spread(F.col("n_rows")).alias("rb"), "query", "v", "open")
+    right = visits.join(sizes, "cell").withColumn("qb", F.pmod(F.xxhash64("query"), F.col("n_queries")).cast("int")).select("cell", "qb", spread(F.col("n_rows")).alias("rb"), "query", "v", "bound", "open")
 
     def product(rows: pa.Table, visits: pa.Table) -> pa.Table:
         names = ["query_id", "id", "score"]
@@ -190,13 +199,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
         x, q = _matrix(rows["v"], dim), _matrix(visits["v"], dim)
         ids, leaf, who = rows["id"].to_numpy(), rows["leaf"].to_numpy(), visits["query"].to_numpy()
         open_ = np.unpackbits(np.frombuffer(b"".join(visits["open"].to_pylist()), np.uint8).reshape(len(q), -1), axis=1)[:, : 1 << below].astype(bool)
+        bound = visits["bound"].to_numpy()
         order = np.lexsort((ids,))
         x, ids, leaf = x[order], ids[order], leaf[order]
         parts = []
         for at in range(0, len(q), 512):
             some = slice(at, at + 512)
             scores = q[some] @ x.T
-            scores[~open_[some][:, leaf] | (who[some][:, None] == ids)] = -np.inf
+            scores[~open_[some][:, leaf] | (who[some][:, None] == ids) | (scores < bound[some][:, None])] = -np.inf
             most = min(k + 8, len(ids))  # spare ones: products of other shapes round differently
             best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
             r, c = np.nonzero(np.take_along_axis(scores, best, 1) > -np.inf)
