@@ -35,13 +35,23 @@ def fold(doc_id: Column, of: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(of))
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, label: str, key: str, most: int, most_labels: int = 1024) -> DataFrame:
     """At most ``most`` keys of each label, those with the smallest hash: the same rows at any partitioning.
 
-    The rank filter is pushed below the shuffle (partial group limit), so a hot label sends ``most`` rows a task.
+    Labels are counted first, and only keys whose hash is below what their label's count calls for
+    (with room to spare) are ranked, so that a hot label sends the ranking task little more than ``most`` rows.
     """
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key)), F.col(key)))
-    return rows.select(key, label).withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+    counts = rows.groupBy(label).count().limit(most_labels + 1).collect()
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
+    span = 1 << 40
+    hashed = F.pmod(F.xxhash64(F.col(key)), F.lit(span))
+    below = {r[0]: min(span, int(span * (most + 6 * most**0.5 + 50) / r[1])) for r in counts if r[0] is not None}
+    if not below:
+        return rows.select(key, label).limit(0)
+    bound = F.create_map(*(F.lit(x) for pair in below.items() for x in pair))[F.col(label)]
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_hash", F.col(key)))
+    return rows.select(key, label).withColumn("_hash", hashed).filter(F.col("_hash") < bound).withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_hash", "_rank")
 
 
 def kept_by_worker(key: Hashable, make: Callable[[], Any]) -> Any:
@@ -52,13 +62,19 @@ def kept_by_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+def fresh(texts: pa.Array) -> pa.Array:
+    """The texts as large strings without nulls, in buffers of their own: some kernels misread arrays whose values don't begin at 0."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    return pa.concat_arrays([texts, texts.slice(0, 0)])
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words between ASCII white space: each one's number among the distinct words, those, and where each text's words begin and end.
 
     Splitting and numbering run in Arrow's kernels, so that Python meets each distinct word of a batch once.
     White space at an end gives an empty word; a null text has no words.
     """
-    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    lists = pc.ascii_split_whitespace(fresh(texts))
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     coded = lists.flatten().dictionary_encode()

@@ -1,14 +1,15 @@
 """Exact n-gram Jaccard join by blocked sparse products of the document by n-gram incidence.
 
 Documents with equal n-gram sets are one row of the incidence matrix. Two rows can
-only reach the similarity if they share a column among their first
-``n - ceil(s n) + 1``, in any one order of the columns (a size-derived bound);
-columns go by ascending frequency, as far as a bounded table of the most frequent
-ones tells, so that what many documents share comes last. Rows that share such a
-column are dealt to blocks - those of one hottest column together, in blocks of
-bounded size - and each pair of blocks with a shared column is one product: overlap
-counts are accumulated column by column (sparsely for rare columns, as a product of
-dense slices for common ones) and compared with the bound that the two sizes give.
+only reach the similarity if they share ``l`` columns among their first
+``n - ceil(s n) + l``, in any one order of the columns (a size-derived bound, with
+``l`` growing with the size: see ``least_shared``); columns go by ascending frequency, as far as a bounded
+table of the most frequent ones tells, so that what many documents share comes last.
+Rows with such columns are dealt to blocks - those of one hottest column together, in
+blocks of bounded size. A row goes to the product of two blocks if it shares enough
+first columns with rows of the other one. In a product, overlap counts are
+accumulated column by column (sparsely for rare columns, as a product of dense
+slices for common ones) and compared with the bound that the two sizes give.
 
 A product returns a spanning forest of its links only, so that a group of near
 copies never becomes all its pairs; components of links are then contracted.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import bounded_batches, split_words, written
+from skein.llm.common import bounded_batches, fresh, split_words, written
 from skein.operators.components import min_labels
 
 #: Bits of the filter that keeps texts which share no column from being hashed again (2 MB).
@@ -46,11 +47,14 @@ def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's word n-grams; fewer words than ``n`` make one of all."""
     import xxhash
 
-    number, words, offsets = split_words(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
-    real = np.array([bool(w) for w in words.to_pylist()], bool)[number] if len(number) else np.zeros(0, bool)
-    bounds = np.concatenate([[0], np.cumsum(real)])[offsets]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
-    flat = hashes[number[real]] if len(number) else np.zeros(0, np.uint64)
+    number, distinct, offsets = split_words(pc.ascii_lower(fresh(texts)))
+    distinct = distinct.cast(pa.large_binary()).to_pylist()
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    if b"" in distinct:  # what white space at an end leaves
+        real = number != distinct.index(b"")
+        offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
+        number = number[real]
+    bounds, flat = offsets.tolist(), words[number] if len(number) else np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         grams = np.zeros(max(0, len(flat) - n + 1), np.uint64)
         for k in range(n if len(grams) else 0):
@@ -70,8 +74,13 @@ def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def first_columns(sets: list[np.ndarray], frequent: np.ndarray, counts: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Of each set, the rarest hashes that a set as similar must share one of."""
+def least_shared(n, percent: int, shared: int):
+    """How many of its first columns a row of ``n`` shares with any as similar and no shorter: at least ``shared``, or a 32nd of them, so that chance is left behind."""
+    return np.minimum(-(-percent * n // 100), np.maximum(shared, n // 32))
+
+
+def first_columns(sets: list[np.ndarray], frequent: np.ndarray, counts: np.ndarray, percent: int, shared: int = 1) -> list[np.ndarray]:
+    """Of each set, the rarest hashes, of which a set as similar must share ``least_shared``."""
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     if len(frequent) and len(flat):
         at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
@@ -80,7 +89,7 @@ def first_columns(sets: list[np.ndarray], frequent: np.ndarray, counts: np.ndarr
         count = np.zeros(len(flat), np.int64)
     out, at = [], 0
     for s in sets:
-        c, most = count[at : at + len(s)], len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+        c, most = count[at : at + len(s)], len(s) - -(-percent * len(s) // 100) + int(least_shared(len(s), percent, shared))
         at += len(s)
         rare = s[c == 0]
         if len(rare) < most:
@@ -130,7 +139,7 @@ def links(ids: np.ndarray, sets: list[np.ndarray], percent: int, dense_from: int
     return [(int(ids[i]), int(ids[label[i]])) for i in range(m) if ids[label[i]] != ids[i]]
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, block_rows: int = 512, most_frequent: int = 100_000, local_count: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, shared: int = 3, block_rows: int = 512, most_frequent: int = 100_000, local_count: int = 8) -> DataFrame:
     """``key``, n_shingles and component_id of each row: links join documents whose n-gram sets have a Jaccard similarity of at least ``percent`` per cent.
 
     ``most_frequent`` bounds the table of frequent columns, which only orders columns: any table gives the same links.
@@ -182,23 +191,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         for batch in batches:
             sets = ngram_sets(batch.column(1), words)
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            first = [c.view(np.int64) for c in first_columns(sets, frequent, counts, percent)]
+            first = [c.view(np.int64) for c in first_columns(sets, frequent, counts, percent, shared)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(first, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "first"])
 
     signed = written(source.mapInArrow(sign, "id long, n long, k1 long, k2 long, first array<long>"), "ngram-signed")
     sets = written(signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "ngram-sets")
-    columns = signed.filter("n > 0").join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.explode("first").alias("s"), "id")
-    columns = written(columns.withColumn("df", F.count("*").over(Window.partitionBy("s"))).filter("df > 1"), "ngram-columns")
+    # a document that is as similar may be shorter, down to this, and then shares as much as that calls for
+    shortest = F.ceil(F.col("n") * percent / 100)
+    need = F.least(F.ceil(shortest * percent / 100), F.greatest(F.lit(shared), F.floor(shortest / 32))).cast("int")
+    columns = signed.filter("n > 0").join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.explode("first").alias("s"), "id", need.alias("need"))
+    columns = columns.withColumn("df", F.count("*").over(Window.partitionBy("s"))).filter("df > 1")
+    columns = written(columns.withColumn("own", F.count("*").over(Window.partitionBy("id"))).filter("own >= need"), "ngram-columns")
     hottest = columns.groupBy("id").agg(F.max(F.struct("df", "s")).alias("h"))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("h.df") / block_rows))
-    blocks = written(hottest.select("id", F.xxhash64(F.col("h.s"), part).alias("block")), "ngram-blocks")
-    placed = columns.select("s", "id").join(blocks, "id")
-    other = placed.select("s", F.col("block").alias("b")).distinct()
-    tiles = placed.join(other, "s").select(F.least("block", "b").alias("b1"), F.greatest("block", "b").alias("b2"), "id").distinct()
+    placed = columns.select("s", "id", "need").join(hottest.select("id", F.xxhash64(F.col("h.s"), part).alias("block")), "id")
+    placed = written(placed, "ngram-blocks")
+    other = placed.groupBy("s", F.col("block").alias("b")).agg(F.count("*").alias("n"))
+    met = placed.join(other, "s").filter("block != b or n > 1").groupBy(F.least("block", "b").alias("b1"), F.greatest("block", "b").alias("b2"), "id").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    tiles = written(met.filter("n >= need").withColumn("rows", F.count("*").over(Window.partitionBy("b1", "b2"))).filter("rows > 1").select("b1", "b2", "id"), "ngram-tiles")
 
     bit = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(FILTER_BITS))
     # at most FILTER_BITS / 64 rows
-    bits = blocks.select(bit("id").alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("w")).toPandas()
+    bits = tiles.select(bit(F.col("id")).alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("w")).toPandas()
     wanted = np.zeros(FILTER_BITS // 64, np.int64)
     wanted[bits["at"].to_numpy(np.int64)] = bits["w"].to_numpy(np.int64)
 
@@ -209,7 +223,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in ngram_sets(batch.column(1), words)], pa.list_(pa.int64()))], names=["id", "set"])
 
-    full = source.filter("id is not null").select("id", "t", bit("id").alias("b")).mapInArrow(again, "id long, set array<long>")
+    full = source.filter("id is not null").select("id", "t", bit(F.col("id")).alias("b")).mapInArrow(again, "id long, set array<long>")
 
     def product(rows: pa.Table) -> pa.Table:
         found = links(rows["id"].to_numpy(), [np.asarray(s, np.int64).view(np.uint64) for s in _arrays(rows["set"])], percent)

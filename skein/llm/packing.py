@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_batches, kept_by_worker, split_words
+from skein.llm.common import bounded_batches, fresh, kept_by_worker, split_words
 
 #: Entries after which a worker's word cache is emptied, and the longest word it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
@@ -51,7 +51,7 @@ class WordIds:
 
     def __call__(self, texts: pa.Array, end_id: int | None = None) -> list[np.ndarray]:
         """Each text's ids (unsigned 32-bit), followed by ``end_id`` if there is one."""
-        texts = texts.cast(pa.large_string()).fill_null("")
+        texts = fresh(texts)
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         number, words, offsets = split_words(texts)
         ids = self._ids(words.to_pylist())

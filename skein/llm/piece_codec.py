@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_batches, kept_by_worker
+from skein.llm.common import bounded_batches, fresh, kept_by_worker
 
 SPACE, CUT = "▁", "\x01"
 RUNS = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
@@ -205,7 +205,7 @@ class Pieces:
 
 def pretokens(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """The pre-tokens of texts: each one's number among the distinct ones, those, and where each text's begin and end."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = fresh(texts)
     odd = pc.match_substring(texts, CUT)
     if pc.any(odd).as_py():  # the cut itself occurs: Python parts such texts
         lists = pa.array([[w for w in RUNS.findall((SPACE + t).replace(" ", SPACE))] if t else [] for t in texts.to_pylist()], pa.large_list(pa.large_string()))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_batches, kept_by_worker, split_words, written
+from skein.llm.common import bounded_batches, fresh, kept_by_worker, split_words, written
 from skein.llm.quality import labelled
 
 #: Stripped from both ends of a word.
@@ -138,7 +138,7 @@ class Matcher:
 
     def hits(self, texts: pa.Array) -> list[tuple[int, list[tuple[int, int, bool]]]]:
         """Each text's number of words, and of each match the term, the distance and whether it is quoted."""
-        number, distinct, offsets = split_words(pc.utf8_lower(texts))
+        number, distinct, offsets = split_words(pc.utf8_lower(fresh(texts)))
         distinct = distinct.to_pylist()
         met = self._met(distinct)
         sizes = np.diff(offsets)
@@ -224,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: Counter[tuple[str, int]] = Counter()
-            number, distinct, offsets = split_words(pc.utf8_lower(batch.column(0)))
+            number, distinct, offsets = split_words(pc.utf8_lower(fresh(batch.column(0))))
             bare = [w.strip(MARKS) for w in distinct.to_pylist()]
             for k, y in enumerate(batch.column(1).to_pylist()):
                 count[("", y)] += 1
