@@ -109,15 +109,9 @@ def erdos_renyi_gnm(spark: SparkSession, n: int, m: int, seed: int = 42, weights
             left, right = right, left.bitwiseXOR(F.xxhash64(F.lit(seed), F.lit(r), right).bitwiseAND(F.lit(mask)))
         return F.shiftleft(left, half).bitwiseOR(right)
 
-    # the domain is less than four times the pairs: a walk of 60 steps all outside has a chance of 10^-8, and the loop goes on
-    rows = spark.range(m).select(F.col("id").alias("eid"), once(F.col("id")).alias("k"))
-    done = rows.filter(F.col("k") < total)
-    outside = rows.filter(F.col("k") >= total)
-    for _ in range(60):
-        if outside.isEmpty():
-            break
-        moved = outside.select("eid", once(F.col("k")).alias("k"))
-        done, outside = done.unionByName(moved.filter(F.col("k") < total)), moved.filter(F.col("k") >= total)
+    # the domain is less than four times the pairs: a walk is that many steps on average, and 200 steps outside have a chance of 10^-25
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(200)), once(F.col("id")), lambda k, _: F.when(k < total, k).otherwise(once(k)))
+    done = spark.range(m).select("id", walked.alias("k"))
     return _finished(done.select(*_decoded(F.col("k"), n)), seed, weights, n)
 
 
