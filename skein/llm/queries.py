@@ -68,4 +68,34 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality, op4_language_id, op5_fingerprints, op6_toxicity, op7_neighbours, op8_packing, op9_ngram_join, op10_warc)}
-SQL: dict[str, str] = {}
+
+#: Blocks of words, and sections that end after a paragraph whose hash ends in 0 or 1, as merkle.py has them.
+_OP5 = r"""
+with d as (select doc_id, coalesce(text, '') as t, row_number() over (order by doc_id, coalesce(text, '')) as k, count(*) over () as n from documents),
+p as (select a.doc_id, a.t, b.t as u, length(a.t) as c, length(a.t) // 4 as q from d a join d b on b.k = a.k % a.n + 1),
+e as (select *, substring(t, 1, (c - q)::bigint) || substring(u, 1, q::bigint) as x from p),
+f as (select *, list_transform(string_split(t, chr(10)), lambda l: sha256(l)) as tp, list_transform(string_split(x, chr(10)), lambda l: sha256(l)) as xp,
+      list_distinct(regexp_extract_all(t, '\S+(?:[ \t]+\S+){0,3}')) as tb, list_distinct(regexp_extract_all(x, '\S+(?:[ \t]+\S+){0,3}')) as xb, list_distinct(regexp_extract_all(u, '\S+(?:[ \t]+\S+){0,3}')) as ub from e),
+g as (select *, list_transform(string_split(regexp_replace(array_to_string(tp, ' '), '([01]) ', '\1|', 'g'), '|'), lambda l: sha256(l)) as ts,
+      list_transform(string_split(regexp_replace(array_to_string(xp, ' '), '([01]) ', '\1|', 'g'), '|'), lambda l: sha256(l)) as xs,
+      len(list_intersect(tb, xb)) as tx, len(list_intersect(tb, ub)) as tu from f)
+select doc_id, c::bigint as n_chars, sha256(x) as edited_sha256, sha256(array_to_string(ts, ' ')) as fingerprint, sha256(array_to_string(xs, ' ')) as edited_fingerprint,
+  case when len(tb) + len(xb) = 0 then 1.0::double else tx::double / (len(tb) + len(xb) - tx) end as near_edited,
+  case when len(tb) + len(ub) = 0 then 1.0::double else tu::double / (len(tb) + len(ub) - tu) end as near_next,
+  len(ts)::int as n_sections, len(tp)::int as n_paragraphs, len(list_filter(list_distinct(xp), lambda h: not list_contains(tp, h)))::int as edited_paragraphs from g"""
+
+_OP9 = r"""
+with recursive d as (select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x != '') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as g from d),
+u as (select doc_id, len(g) as n, unnest(g) as h from s),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as k, a.n as nx, b.n as ny from u a join u b on a.h = b.h and a.doc_id != b.doc_id group by all),
+a as (select x as src, y as dst from c where 100 * k >= 85 * (nx + ny - k)),
+b(id, component) using key (id) as (select doc_id, doc_id from s union select a.dst, min(b.component) from b join a on a.src = b.id join recurring.b r on r.id = a.dst where b.component < r.component group by a.dst)
+select doc_id, len(g)::bigint as n_shingles, component as component_id from s join b on id = doc_id"""
+
+_DIGIT = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * g}, 5))::bigint >> {shift}) & 31)::int, 1)" for g in range(8) for shift in (15, 10, 5, 0))
+_OP10 = f"""
+with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from pages), f as (select *, min(page_id) over (partition by t) as first from p)
+select page_id, strlen(t)::bigint as payload_bytes, {_DIGIT} as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id != first then first end as refers_to from f"""
+
+SQL: dict[str, str] = {"op5_fingerprints": _OP5, "op9_ngram_join": _OP9, "op10_warc": _OP10}
