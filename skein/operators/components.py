@@ -177,6 +177,19 @@ def condensation_order(g) -> DataFrame:
     return label.join(number, "component").select("id", "component", "number")
 
 
+def kosaraju(g) -> DataFrame:
+    """(id, component): strong components numbered from 0 in topological order of the condensation."""
+    return condensation_order(g).select("id", F.col("number").alias("component"))
+
+
+def tarjan_scc(g) -> tuple[DataFrame, int]:
+    """(id, component), numbered from 0 in reverse topological order (sinks first), and the number of components."""
+    order = written(condensation_order(g), "condensation")
+    top = order.agg(F.max("number")).first()[0]
+    n = 0 if top is None else top + 1
+    return order.select("id", (F.lit(n - 1) - F.col("number")).alias("component")), n
+
+
 def articulation_points(g, **kw) -> DataFrame:
     """(id): vertices whose removal splits their component; direction is ignored, parallel edges count, loops don't."""
     from skein.operators import kernels

@@ -135,6 +135,10 @@ def minimum_spanning_forest(g: Graph, weight: Column | str, descending: bool = F
     return g.edges.join(tree.all().distinct(), "eid", "left_semi")
 
 
+#: The same forest whichever algorithm a caller knows it by.
+kruskal = minimum_spanning_forest
+
+
 def spanning_forest_weight(g: Graph, weight: str, descending: bool = False) -> tuple[Any, int]:
     """The total weight of the spanning forest and its number of trees; every vertex counts."""
     forest = written(minimum_spanning_forest(g, weight, descending), "forest")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from skein.errors import CycleError, GraphError, OutOfRange
 from skein.graph import Graph
@@ -95,7 +96,10 @@ def shortest_paths(g: Graph, sources: Any, weight: Column | str | None = None, c
 
 def _weighted(g: Graph, weight: Column | str | None) -> DataFrame:
     w = F.lit(1) if weight is None else F.col(weight) if isinstance(weight, str) else weight
-    return g.arcs.select("src", "dst", w.alias("w")).filter(F.col("w").isNotNull())
+    arcs = g.arcs.select("src", "dst", w.alias("w")).filter(F.col("w").isNotNull())
+    if arcs.schema["w"].dataType.typeName() in ("double", "float"):  # an infinite weight never relaxes
+        arcs = arcs.filter(F.col("w") < float("inf"))
+    return arcs
 
 
 def _relaxed(g: Graph, sources: Any, weight, combine, minimize: bool, zero: Any, most_rounds: int | None, negative: bool) -> tuple[DataFrame, DataFrame | None, int]:
@@ -147,6 +151,27 @@ def _on_cycle(state: DataFrame, root: Column | None = None) -> Any | None:
     return ends.agg(F.min("id")).first()[0]
 
 
+def init_shortest_paths(g: Graph) -> DataFrame:
+    """(id, distance, predecessor) before anything is reached: null, and each vertex itself."""
+    return g.vertices.select("id", F.lit(None).cast("double").alias("distance"), F.col("id").alias("predecessor"))
+
+
+def relaxed_edges(g: Graph, paths: DataFrame, weight: Column | str | None = None) -> DataFrame:
+    """(eid, event) of the edges out of reached vertices once distances have settled.
+
+    ``edge_relaxed`` for the edge of each vertex's predecessor (the first of equal ones), ``edge_not_relaxed`` for the others,
+    ``edge_not_minimized`` for one that would still shorten a path, as the edges of a negative cycle do.
+    """
+    w = F.lit(1) if weight is None else F.col(weight) if isinstance(weight, str) else weight
+    near = paths.select(F.col("id").alias("src"), F.col("distance").alias("a")).filter("a is not null")
+    far = paths.select(F.col("id").alias("dst"), F.col("distance").alias("b"), "predecessor")
+    rows = g.arcs.select("src", "dst", "eid", w.alias("w")).join(near, "src").join(far, "dst")
+    tight = (F.col("predecessor") == F.col("src")) & (F.col("src") != F.col("dst")) & (F.col("a") + F.col("w") == F.col("b"))
+    first = F.min(F.when(tight, F.col("eid"))).over(Window.partitionBy("src", "dst"))
+    event = F.when(F.col("a") + F.col("w") < F.col("b"), "edge_not_minimized").when(tight & (F.col("eid") == first), "edge_relaxed").otherwise("edge_not_relaxed")
+    return rows.select("eid", event.alias("event"))
+
+
 def dijkstra(g: Graph, sources: Any, weight: Column | str | None = None, **kw) -> DataFrame:
     """Shortest paths over weights that are not negative."""
     return shortest_paths(g, sources, weight, **kw)

@@ -51,6 +51,14 @@ def test_strong_components(spark):
     assert all(order[a] <= order[b] for a, b in edges)
 
 
+def test_numbered_strong_components(spark):
+    g = Graph.from_rows(spark, [(0, 1), (1, 0), (1, 2), (2, 3), (3, 2)])
+    forward = {r["id"]: r["component"] for r in c.kosaraju(g).collect()}
+    backward, n = c.tarjan_scc(g)
+    assert forward == {0: 0, 1: 0, 2: 1, 3: 1} and n == 2
+    assert {r["id"]: r["component"] for r in backward.collect()} == {0: 1, 1: 1, 2: 0, 3: 0}
+
+
 def cut_by_removal(vertices, edges):
     def parts(vs):
         left, n = set(vs), 0

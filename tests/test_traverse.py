@@ -39,6 +39,15 @@ def test_shortest_paths(spark):
     assert column(t.dijkstra(Graph.from_rows(spark, DIAMOND), [1, 2], "value"), "distance") == {0: None, 1: 0, 2: 0, 3: 2}
 
 
+def test_edges_after_the_search(spark):
+    g = Graph.from_rows(spark, [(0, 1, 10), (0, 1, 5), (1, 2, 3), (0, 2, 9), (5, 0, 1)])
+    events = {r["eid"]: r["event"] for r in t.relaxed_edges(g, t.dijkstra(g, 0, "value"), "value").collect()}
+    assert events == {0: "edge_not_relaxed", 1: "edge_relaxed", 2: "edge_relaxed", 3: "edge_not_relaxed"}
+    assert t.init_shortest_paths(g).filter("id = predecessor and distance is null").count() == 4
+    far = Graph.from_rows(spark, [(0, 1, float("inf")), (0, 2, 1.0)])
+    assert column(t.dijkstra(far, 0, "value"), "distance") == {0: 0, 1: None, 2: 1}
+
+
 def test_widest_path(spark):
     g = Graph.from_rows(spark, DIAMOND)
     widest = t.shortest_paths(g, 0, "value", combine=lambda d, w: F.least(d, w), minimize=False, zero=1000)
