@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import bounded_batches, fresh, split_words, written
+from skein.llm.common import bounded_batches, free_worker, fresh, split_words, written
 from skein.operators.components import min_labels
+from skein.plans.scratch import remove, scratch_path
 
 #: Bits of the filter that keeps texts which share no column from being hashed again (2 MB).
 FILTER_BITS = 1 << 24
@@ -50,10 +51,6 @@ def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     number, distinct, offsets = split_words(pc.ascii_lower(fresh(texts)))
     distinct = distinct.cast(pa.large_binary()).to_pylist()
     words = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
-    if b"" in distinct:  # what white space at an end leaves
-        real = number != distinct.index(b"")
-        offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
-        number = number[real]
     bounds, flat = offsets.tolist(), words[number] if len(number) else np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         grams = np.zeros(max(0, len(flat) - n + 1), np.uint64)
@@ -149,29 +146,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-
-        def settle(least: int):
-            flat, n = np.concatenate([s for s, _ in seen]), np.concatenate([c for _, c in seen])
-            order = np.argsort(flat, kind="stable")
-            flat, n = flat[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-            n = np.add.reduceat(n, first)
-            return flat[first][n >= least], n[n >= least]
+        free_worker()
+        columns, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        waiting: list[np.ndarray] = []
+
+        def settled() -> tuple[np.ndarray, np.ndarray]:
+            new, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            kept = np.searchsorted(columns, new)
+            known = kept < len(columns)
+            known[known] = columns[kept[known]] == new[known]
+            counts[kept[known]] += n[known]
+            # what was met once so far is forgotten: the counts only order columns
+            more = ~known & (n > 1)
+            flat, total = np.concatenate([columns, new[more]]), np.concatenate([counts, n[more]])
+            order = np.argsort(flat)
+            return flat[order], total[order]
 
         for batch in batches:
-            sets = [s for s in ngram_sets(batch.column(0), words) if len(s)]
-            if sets:
-                flat = np.concatenate(sets)
-                seen.append((flat, np.ones(len(flat), np.int64)))
-                held += len(flat)
-            if held > 12_000_000:  # what was met once so far is forgotten: the counts only order columns
-                seen = [settle(2)]
-                held = len(seen[0][0])
-        if seen:
-            flat, n = settle(local_count)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(n)], names=["s", "n"])
+            waiting += [s for s in ngram_sets(batch.column(0), words) if len(s)]
+            if sum(map(len, waiting)) > 3_000_000:
+                columns, counts = settled()
+        if waiting:
+            columns, counts = settled()
+        often = counts >= local_count
+        yield pa.RecordBatch.from_arrays([pa.array(columns[often].view(np.int64)), pa.array(counts[often])], names=["s", "n"])
 
     met = written(source.select("t").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "ngram-counts")
     power = F.floor(F.log2("n"))
@@ -188,20 +187,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        free_worker()
         for batch in batches:
             sets = ngram_sets(batch.column(1), words)
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             first = [c.view(np.int64) for c in first_columns(sets, frequent, counts, percent, shared)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(first, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "first"])
 
-    signed = written(source.mapInArrow(sign, "id long, n long, k1 long, k2 long, first array<long>"), "ngram-signed")
+    # the first columns take most of this table's room: it goes once they have been dealt
+    path = scratch_path(spark, "ngram-first")
+    schema = "id long, n long, k1 long, k2 long, first array<long>"
+    source.mapInArrow(sign, schema).write.parquet(path)
+    first = spark.read.schema(schema).parquet(path)
+    signed = written(first.drop("first"), "ngram-signed")
     sets = written(signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "ngram-sets")
     # a document that is as similar may be shorter, down to this, and then shares as much as that calls for
     shortest = F.ceil(F.col("n") * percent / 100)
     need = F.least(F.ceil(shortest * percent / 100), F.greatest(F.lit(shared), F.floor(shortest / 32))).cast("int")
-    columns = signed.filter("n > 0").join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.explode("first").alias("s"), "id", need.alias("need"))
+    columns = first.filter("n > 0").join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.explode("first").alias("s"), "id", need.alias("need"))
     columns = columns.withColumn("df", F.count("*").over(Window.partitionBy("s"))).filter("df > 1")
     columns = written(columns.withColumn("own", F.count("*").over(Window.partitionBy("id"))).filter("own >= need"), "ngram-columns")
+    remove(spark, path)
     hottest = columns.groupBy("id").agg(F.max(F.struct("df", "s")).alias("h"))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("h.df") / block_rows))
     placed = columns.select("s", "id", "need").join(hottest.select("id", F.xxhash64(F.col("h.s"), part).alias("block")), "id")
@@ -217,6 +223,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     wanted[bits["at"].to_numpy(np.int64)] = bits["w"].to_numpy(np.int64)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             at = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((wanted[at >> 6] >> (at & 63)) & 1 == 1))
