@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Hashable
@@ -55,13 +58,28 @@ def bounded_sample(rows: DataFrame, label: str, key: str, most: int, most_labels
 
 
 def kept_by_worker(key: Hashable, make: Callable[[], Any]) -> Any:
-    """A value that a Python worker makes once and keeps over its tasks (a cache: tasks never depend on it)."""
-    store = sys.modules.setdefault("_skein_worker", types.ModuleType("_skein_worker")).__dict__
+    """A value that a Python worker makes once and keeps over its tasks (a cache: tasks never depend on it), until it makes another."""
+    store = _store()
     if key not in store:
+        free_worker()
         store[key] = make()
     return store[key]
 
 
+def free_worker() -> None:
+    """Gives back what a worker kept for another operator: workers outlive operators, and their memory is bounded together."""
+    _store().clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _store() -> dict:
+    module = sys.modules.setdefault("_skein_worker", types.ModuleType("_skein_worker"))
+    return module.__dict__.setdefault("kept", {})
+
+
 def fresh(texts: pa.Array) -> pa.Array:
     """The texts as large strings without nulls, in buffers of their own: some kernels misread arrays whose values don't begin at 0."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -71,12 +89,14 @@ def fresh(texts: pa.Array) -> pa.Array:
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words between ASCII white space: each one's number among the distinct words, those, and where each text's words begin and end.
 
-    Splitting and numbering run in Arrow's kernels, so that Python meets each distinct word of a batch once.
-    White space at an end gives an empty word; a null text has no words.
+    Splitting and numbering run in Arrow's kernels, so that Python meets each distinct word of a batch once. A null text has no words.
     """
     lists = pc.ascii_split_whitespace(fresh(texts))
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
     coded = lists.flatten().dictionary_encode()
-    offsets = lists.offsets.to_numpy()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, offsets - offsets[0]
+    number, offsets = coded.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    if empty >= 0:  # what white space at an end leaves
+        real = number != empty
+        number, offsets = number[real], np.concatenate([[0], np.cumsum(real)])[offsets]
+    return number, coded.dictionary, offsets
