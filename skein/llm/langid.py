@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_batches, bounded_sample
+from skein.llm.common import bounded_batches, bounded_sample, free_worker
 
 UNKNOWN = "und"
 WINDOW, WIDTHS, EMBED, FILTERS = 256, (2, 3, 4), 8, 12
@@ -169,6 +169,7 @@ def predict(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: str
     out = T.StructType([source.schema.fields[0], *source.schema.fields[2:], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         tables = net.tables() if net else None
         for batch in batches:
             found, scores = label(batch.column(1).to_pylist(), net, tables)

@@ -73,6 +73,7 @@ class Pieces:
             raise ValueError("two pieces share a hash")
         self.fallback = float(self.scores.min()) - 10.0
         self.pairs: dict[int, bool] = {}
+        self.spelled: list[bytes] | None = None
 
     def _spines(self, normal: list[int]) -> None:
         """The two parts that each piece is merged from, and for its left and right edge the parts that come to stand there, each with the rank at which it is merged away."""
@@ -193,8 +194,9 @@ class Pieces:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        table = kept_by_worker(("piece bytes", id(self)), self._bytes)
-        return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+        if self.spelled is None:
+            self.spelled = self._bytes()
+        return b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")[1:]
 
     def _bytes(self) -> list[bytes]:
         table = [p.encode() for p in self.pieces]

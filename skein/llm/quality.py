@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_batches, bounded_sample
+from skein.llm.common import bounded_batches, bounded_sample, free_worker
 
 PASSAGE = 512
 #: Byte classes: control, space, newline, digit, upper, lower, sentence marks, bars, shouts, other marks, beyond ASCII.
@@ -186,6 +186,7 @@ def score(docs: DataFrame, model: AttentionBags | Constant, key: str = "doc_id",
     out = T.StructType([source.schema.fields[0], *source.schema.fields[2:], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             bags = [features(passages(t), len(t)) for t in (x or "" for x in batch.column(1).to_pylist())]
             columns = [batch.column(0), *(batch.column(2 + i) for i in range(len(keep)))]

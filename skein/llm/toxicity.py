@@ -200,7 +200,7 @@ def near_weights(lexicon: Lexicon, hits: list, y: np.ndarray) -> np.ndarray:
     return NEAR * lexicon.weights / (1 + harmless) ** 2
 
 
-def mine(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, most_terms: int, least_share: float = 0.006, least_lift: float = 1.5) -> tuple[list[str], list[float]]:
+def mine(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, most_terms: int, least_share: float = 0.006, least_lift: float = 2.7) -> tuple[list[str], list[float]]:
     """Terms with the strongest evidence (signed log-likelihood ratio) of the toxic label, with their log-odds."""
     found, least = [], max(2, round(least_share * n_pos))
     for term, a in pos.items():
