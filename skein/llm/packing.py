@@ -15,6 +15,7 @@ kept. Repeated rows are packed each. An empty table gives no pieces.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,14 +27,62 @@ from pyspark.sql import types as T
 
 from skein.llm.common import bounded_batches, fresh, kept_by_worker, split_words
 
-#: Entries after which a worker's word cache is emptied, and the longest word it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
-#: Rows of a batch: large enough that most of its words repeat.
-ROWS = 4096
+#: Words after which a worker's table is emptied; a table of that size takes some 100 MB.
+MOST_WORDS = 1_500_000
+#: Rows of a batch: large enough that most of its words repeat. Words whose ids are gathered at once.
+ROWS, GATHERED = 1024, 400_000
 #: Sequence ids: the task's partition times this, plus a count.
 STRIDE = 1 << 33
 
 
+class WordTable:
+    """Ids of words, found by 128-bit hashes in an open-addressing table of numpy arrays."""
+
+    def __init__(self, most: int):
+        self.n, self.mask = 0, (1 << (2 * most - 1).bit_length()) - 1
+        self.slots = np.full(self.mask + 1, -1, np.int32)
+        self.keys = np.empty((most, 2), np.uint64)
+        self.start, self.length = np.empty(most, np.int64), np.empty(most, np.int32)
+        self.ids, self.used = np.empty(4 * most, np.uint32), 0
+
+    def room(self, n: int) -> bool:
+        return self.n + n <= len(self.start)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        slot, active = (keys[:, 0] & np.uint64(self.mask)).astype(np.int64), np.arange(len(keys))
+        while len(active):
+            entry = self.slots[slot[active]]
+            there = entry >= 0
+            active, entry = active[there], entry[there]
+            same = (self.keys[entry] == keys[active]).all(1)
+            out[active[same]] = entry[same]
+            active = active[~same]
+            slot[active] = (slot[active] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+        """New entries for keys that are not there; their numbers."""
+        length = np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(length.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids) // 2, total), np.uint32)])
+        self.ids[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        new = np.arange(self.n, self.n + len(ids))
+        self.keys[new], self.length[new] = keys, length
+        self.start[new] = self.used + np.cumsum(length) - length
+        self.n, self.used = self.n + len(ids), self.used + total
+        slot, active = (keys[:, 0] & np.uint64(self.mask)).astype(np.int64), np.arange(len(keys))
+        while len(active):
+            at = slot[active]
+            free = self.slots[at] < 0
+            self.slots[at[free]] = new[active[free]]
+            active = active[self.slots[at] != new[active]]
+            slot[active] = (slot[active] + 1) & self.mask
+        return new
+
+
 class WordIds:
     """Ids of whole texts from a tokenizer that lower-cases and never joins what white space parts.
 
@@ -43,43 +92,51 @@ class WordIds:
     their case.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.most, self.table = most_words, WordTable(most_words)
 
     def __call__(self, texts: pa.Array, end_id: int | None = None) -> list[np.ndarray]:
         """Each text's ids (unsigned 32-bit), followed by ``end_id`` if there is one."""
         texts = fresh(texts)
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         number, words, offsets = split_words(texts)
-        ids = self._ids(words.to_pylist())
-        if end_id is not None:
-            number = np.insert(number, offsets[1:], len(ids))
-            offsets = offsets + np.arange(len(offsets))
-            ids.append(int(end_id).to_bytes(4, "little"))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(size)])
-        each = size[number]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        out = flat[np.repeat(first[number] - ends[:-1], each) + np.arange(ends[-1])]
-        bounds = ends[offsets]
-        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        ids = list(map(known.get, words))
-        gaps = [k for k, v in enumerate(ids) if v is None]
-        if len(known) + len(gaps) > CACHE_ENTRIES:
-            known.clear()
-        for at in range(0, len(gaps), 20_000):
-            some = gaps[at : at + 20_000]
-            for k, e in zip(some, self.tokenizer.encode_batch([words[k] for k in some], add_special_tokens=False), strict=True):
-                ids[k] = np.array(e.ids, "<u4").tobytes()
-                if len(words[k]) <= CACHE_CHARS:
-                    known[words[k]] = ids[k]
-        return ids
+        del texts
+        entry = self._entries(words.to_pylist())
+        del words
+        start, length, flat = self.table.start[entry], self.table.length[entry], self.table.ids
+        out: list[np.ndarray] = []
+        end = np.array([] if end_id is None else [end_id], np.uint32)
+        first = 0
+        while first < len(offsets) - 1:  # whole texts of some words together
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + GATHERED, "right")) - 1)
+            part = number[offsets[first] : offsets[last]]
+            each = length[part].astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(each)])
+            ids = flat[np.repeat(start[part] - ends[:-1], each) + np.arange(ends[-1])]
+            bounds = ends[offsets[first : last + 1] - offsets[first]]
+            out += [np.concatenate([ids[a:b], end]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            first = last
+        return out
+
+    def _entries(self, words: list[str]) -> np.ndarray:
+        import xxhash
+
+        keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+        entry = self.table.find(keys)
+        gaps = np.flatnonzero(entry < 0)
+        if not self.table.room(len(gaps)):
+            self.table = None
+            self.table = WordTable(max(self.most, len(words)))
+            gaps = np.arange(len(words))
+        for at in range(0, len(gaps), 5_000):
+            some = gaps[at : at + 5_000]
+            encoded = self.tokenizer.encode_batch_fast([words[k] for k in some], add_special_tokens=False)
+            entry[some] = self.table.add(keys[some], [e.ids for e in encoded])
+        return entry
 
 
 def assign(lengths: list[tuple[int, int, int]], n_sequences: int, capacity: int, quadratic: float, tries: int = 8) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
