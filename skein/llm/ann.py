@@ -11,8 +11,10 @@ The forest is fitted on a bounded sample (at most ``most_sample`` vectors, those
 with the smallest key hash); every row is indexed. How many leaves a query opens
 is set on the sample, too: as few as find ``target`` of its true neighbours.
 
-A query's k-th best score in the sample is a lower bound of its k-th best of all, so
-that partial results below it are never emitted.
+A query's k best of the sample are candidates, too, beside those in the leaves: so no
+query returns fewer than ``k`` rows while there are as many candidates. The k-th best
+of them is a lower bound of its k-th best of all, so that partial results below it
+are never emitted.
 
 Work is dealt by cells (subtrees) of bounded size: cells that hold more rows than
 ``block_rows``, or are opened by more queries, are split into blocks, each pair of
@@ -114,7 +116,7 @@ def calibrate(forest: Forest, sample: np.ndarray, k: int, target: float, n_queri
 
 
 def fit(rows: DataFrame, n: int, k: int, trees: int, leaf_rows: int, most_sample: int, target: float) -> tuple[Forest, int, int, np.ndarray, np.ndarray] | None:
-    """The forest, the budget of leaves, the vectors' length, and the sample's keys and vectors."""
+    """The forest, the budget of leaves, the vectors' length, and keys and vectors of the sample's candidates."""
     keys = rows.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(most_sample)
     # at most most_sample keys: a proven bound
     found = rows.join(F.broadcast(keys), "_id", "left_semi").select("_id", "_v").limit(2 * most_sample).toPandas().sort_values("_id")
@@ -123,9 +125,11 @@ def fit(rows: DataFrame, n: int, k: int, trees: int, leaf_rows: int, most_sample
     dim = Counter(len(v) for v in found["_v"]).most_common(1)[0][0]
     found = found[[len(v) == dim for v in found["_v"]]].drop_duplicates("_id")
     ids, sample = found["_id"].to_numpy(np.int64), np.array(list(found["_v"]), np.float64)
+    group = np.unique(sample, axis=0, return_inverse=True)[1].ravel()
+    few = found.groupby(group).cumcount().to_numpy() <= k  # of equal vectors the k + 1 smallest keys, as of all rows
     depth = max(0, min(int(np.ceil(np.log2(max(1, n / leaf_rows)))), int(np.log2(max(1, len(sample) / 8)))))
     forest = Forest(sample, trees, depth)
-    return forest, calibrate(forest, sample, k, target), dim, ids, sample
+    return forest, calibrate(forest, sample, k, target), dim, ids[few], sample[few]
 
 
 def _usable(vector: Column) -> Column:
@@ -139,6 +143,19 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of ``q``, keys and exact scores of each query's ``k`` best whose score is above minus infinity."""
+    most = min(k + 8, len(ids))  # spare ones: products of other shapes round differently
+    best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+    r, c = np.nonzero(np.take_along_axis(scores, best, 1) > -np.inf)
+    j = best[r, c]
+    exact = (q[r] * x[j]).sum(1)
+    sort = np.lexsort((ids[j], -exact, r))
+    r, j, exact = r[sort], j[sort], exact[sort]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], ids[j[keep]], exact[keep]
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", trees: int = 4, leaf_rows: int = 128, most_sample: int = 8192, target: float = 0.95, block_rows: int = 8192) -> DataFrame:
     """query_id, rank, the neighbour's key and score (inner product) of the rows for which ``queries`` holds, against all others."""
     spark = vectors.sparkSession
@@ -164,26 +181,39 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
             for t in range(forest.trees):
                 yield pa.RecordBatch.from_arrays([pa.array((t << levels) + (leaves[:, t] >> below), pa.int32()), pa.array(leaves[:, t] & ((1 << below) - 1), pa.int32()), batch.column(0), batch.column(1)], names=["cell", "leaf", "id", "v"])
 
+    def to_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                x = _matrix(some.column(1), dim)
+                scores = x @ sample.T
+                scores[some.column(0).to_numpy()[:, None] == sample_ids] = -np.inf
+                r, ids, exact = _best(x, sample, sample_ids, scores, k)
+                ends = np.cumsum(np.bincount(r, minlength=len(x)))
+                starts = np.concatenate([[0], ends[:-1]])
+                bound = np.full(len(x), -np.inf)
+                full = ends - starts == k
+                # the k-th best of the sample, less what rounding may take
+                bound[full] = exact[ends[full] - 1] - 1e-9 * np.abs(exact[ends[full] - 1]) - 1e-12
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(starts, len(r)), pa.int32()), pa.array(a)) for a in (ids, exact)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(bound), *lists], names=["query", "v", "bound", "id", "score"])
+
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column(1), dim)
             for at in range(0, len(x), 256):
-                scores = x[at : at + 256] @ sample.T
-                scores[batch.column(0).to_numpy()[at : at + 256, None] == sample_ids] = -np.inf
-                # the k-th best of the sample, less what rounding may take
-                bound = np.partition(scores, -k, axis=1)[:, -k] * (1 - 1e-9) - 1e-12 if len(sample) >= k else np.full(len(scores), -np.inf)
-                bound = np.minimum(bound, bound * (1 + 2e-9))
                 mask = forest.opened(x[at : at + 256], budget).reshape(len(x[at : at + 256]), forest.trees << levels, 1 << below)
                 for cell in range(forest.trees << levels):
                     who = np.flatnonzero(mask[:, cell].any(1))
                     if len(who):
                         take = pa.array(who + at)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), cell), pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(bound[who]), pa.array([m.tobytes() for m in np.packbits(mask[who, cell], axis=1)], pa.binary())], names=["cell", "query", "v", "bound", "open"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), cell), pa.int32()), *(batch.column(c).take(take) for c in range(3)), pa.array([m.tobytes() for m in np.packbits(mask[who, cell], axis=1)], pa.binary())], names=["cell", "query", "v", "bound", "open"])
 
     index = written(candidates.mapInArrow(to_cells, "cell int, leaf int, id long, v array<double>"), "ann-index")
-    visits = written(rows.filter((F.size("_v") == dim) & F.col("_q")).select("_id", "_v").mapInArrow(to_visits, "cell int, query long, v array<double>, bound double, open binary"), "ann-visits")
+    asked = written(rows.filter((F.size("_v") == dim) & F.col("_q")).select("_id", "_v").mapInArrow(to_asked, "query long, v array<double>, bound double, id array<long>, score array<double>"), "ann-queries")
+    visits = written(asked.select("query", "v", "bound").mapInArrow(to_visits, "cell int, query long, v array<double>, bound double, open binary"), "ann-visits")
     # one row for each cell: at most trees * 2 ** levels of them
     sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_rows")).join(visits.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_queries")), "cell")
     sizes = F.broadcast(written(sizes.coalesce(1), "ann-sizes"))
@@ -207,19 +237,12 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
             some = slice(at, at + 512)
             scores = q[some] @ x.T
             scores[~open_[some][:, leaf] | (who[some][:, None] == ids) | (scores < bound[some][:, None])] = -np.inf
-            most = min(k + 8, len(ids))  # spare ones: products of other shapes round differently
-            best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-            r, c = np.nonzero(np.take_along_axis(scores, best, 1) > -np.inf)
-            j = best[r, c]
-            exact = (q[some][r] * x[j]).sum(1)
-            sort = np.lexsort((ids[j], -exact, r))
-            r, j, exact = r[sort], j[sort], exact[sort]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            keep = place < k
-            parts.append((who[some][r[keep]], ids[j[keep]], exact[keep]))
+            r, near, exact = _best(q[some], x, ids, scores, k)
+            parts.append((who[some][r], near, exact))
         return pa.table({n: np.concatenate(p) for n, p in zip(names, zip(*parts, strict=True), strict=True)})
 
     found = left.groupBy("cell", "rb", "qb").cogroup(right.groupBy("cell", "rb", "qb")).applyInArrow(product, "query_id long, id long, score double")
+    found = found.unionByName(asked.select(F.col("query").alias("query_id"), F.inline(F.arrays_zip("id", "score"))))
     # the same pair scores equally in every tree, so copies share a dense rank
     rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).groupBy("query_id", "rank").agg(F.first("id").alias(key), F.first("score").alias("score"))

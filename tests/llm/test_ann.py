@@ -34,6 +34,18 @@ def test_recall_and_exact_scores(spark):
     assert found["query_id"].nunique() == 150 and hits / 1500 >= 0.9
 
 
+def test_every_query_returns_k_rows(spark):
+    x = np.random.default_rng(3).normal(size=(2500, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(*r, "") for r in rows], SCHEMA)
+    for some, k in ((df, 20), (df.filter("vec_id < 15"), 14)):
+        found = ann.search(some, F.col("vec_id") % 20 == 0).toPandas()
+        assert (found.groupby("query_id").size() == k).all() and found["query_id"].nunique() == (125 if k == 20 else 1)
+    # a small sample leaves most rows to the leaves
+    found = ann.search(df, F.col("vec_id") % 20 == 0, most_sample=300, target=0.3).toPandas()
+    assert (found.groupby("query_id").size() == 20).all() and found["query_id"].nunique() == 125
+
+
 def test_copies_and_ties(spark):
     rows = [(i, [1.0, 0.0]) for i in range(200)] + [(500, [0.0, 1.0])]
     df = spark.createDataFrame([(*r, "") for r in rows], SCHEMA)
