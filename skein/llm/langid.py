@@ -179,6 +179,21 @@ def predict(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: str
     return source.mapInArrow(run, out)
 
 
+def least_share(docs: DataFrame, net: ByteNet | None, held_out: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 500, lost: float = 0.005) -> float:
+    """The score below which no more than ``lost`` of a bounded sample of rightly labelled held-out texts fall.
+
+    Without such texts: halfway between the floor of the network's classes and 1.
+    """
+    known = docs.filter(held_out & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    sample = bounded_sample(known, lang, key, per_label)
+    # at most per_label rows a language, MOST_LABELS languages: a proven bound
+    picked = known.join(F.broadcast(sample.select(key).distinct()), key, "left_semi")
+    found = predict(picked, net, key, text, (lang,), ("_lang", "_share")).filter(F.col("_lang") == F.col(lang)).select("_share").toPandas()["_share"].to_numpy()
+    if not len(found):
+        return (1 + 1 / len(net.classes)) / 2 if net else 0.0
+    return float(np.quantile(found, lost, method="lower"))
+
+
 def label(texts: list[str | None], net: ByteNet | None, tables=None, most: int = 4096) -> tuple[list[str], list[float]]:
     """The language and score of each text; at most ``most`` windows, or one text, are held at once."""
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)

@@ -48,6 +48,20 @@ def test_run_packs_all_that_was_kept(spark):
     assert 0.6 * len(texts) < len(held) <= len(texts)
 
 
+def test_texts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    g, texts = np.random.default_rng(1), [r["text"].split() for r in docs.filter("length(text) > 400").orderBy("doc_id").limit(400).collect()]
+    mixed = [" ".join(str(g.choice(w)) for _ in range(100) for w in (texts[k] for k in g.choice(400, 4, False))) for _ in range(60)]
+    added = spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(mixed)], "doc_id long, text string")
+    # German is not learned, as no row says that it is German
+    some = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang"))).unionByName(added, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in pipeline.known_language(spark, some, "").select("doc_id").collect()}
+    lang = {r["doc_id"]: r["lang"] for r in docs.filter(r"text rlike '\\p{L}'").collect()}
+    share = lambda ids: len(kept & set(ids)) / len(ids)
+    assert share(range(10**6, 10**6 + 60)) < 0.1 and share([k for k, v in lang.items() if v == "de"]) < 0.2
+    assert share([k for k, v in lang.items() if v != "de"]) > 0.98
+
+
 def test_extra_columns_pass_through(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"score": F.lit("s"), "lang_pred": F.lit(1), "component_id": F.lit(None).cast("string")})
     for _, stage in pipeline.STAGES[:3]:
