@@ -62,6 +62,13 @@ def test_texts_of_no_learned_language_go(spark):
     assert share([k for k, v in lang.items() if v != "de"]) > 0.98
 
 
+def test_near_copies_of_two_changed_words(spark):
+    words = [f"w{k}" for k in range(100)]
+    other = [("x" if k in (30, 70) else "") + w for k, w in enumerate(words)]  # five words: 86 of 106 alike, four: 89 of 105
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:70]))], "doc_id long, text string")
+    assert {r["doc_id"] for r in pipeline.one_of_each_group(spark, docs, "").collect()} == {1, 3}
+
+
 def test_extra_columns_pass_through(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"score": F.lit("s"), "lang_pred": F.lit(1), "component_id": F.lit(None).cast("string")})
     for _, stage in pipeline.STAGES[:3]:
