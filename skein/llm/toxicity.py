@@ -46,13 +46,14 @@ NEAR = 0.7
 
 def allowed(term: str) -> int:
     """Edits within which a word counts as a misspelling of the term."""
-    return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 12 else 2
 
 
 class Lexicon:
-    """Weighted terms in a trie, met by batches of words."""
+    """Weighted terms in a trie, met by batches of words. With ``swaps``, two neighbours that changed places are one edit."""
 
-    def __init__(self, terms: list[str], weights: list[float]):
+    def __init__(self, terms: list[str], weights: list[float], swaps: bool = False):
+        self.swaps = swaps
         self.terms, self.weights = terms, np.array(weights, np.float64)
         self.limits = np.array([allowed(t) for t in terms], np.int64)
         self.most = int(self.limits.max()) if terms else 0
@@ -93,9 +94,10 @@ class Lexicon:
         # states hold distances to the word prefixes of length depth - band to depth + band only
         start = np.abs(np.arange(-band, band + 1)).astype(np.int8)
         start[:band] = 100
-        stack = [(0, np.arange(len(usable)), np.broadcast_to(start, (len(usable), 2 * band + 1)), 0)]
+        start = np.broadcast_to(start, (len(usable), 2 * band + 1))
+        stack = [(0, np.arange(len(usable)), start, 0, None, "")]  # the last two: the state before, and the character since
         while stack:
-            node, who, state, depth = stack.pop()
+            node, who, state, depth, older, last = stack.pop()
             if (k := self.ends[node]) >= 0:
                 at = n[who] - depth + band
                 d = np.where((at >= 0) & (at <= 2 * band), state[np.arange(len(who)), np.clip(at, 0, 2 * band)], 127)
@@ -109,6 +111,9 @@ class Lexicon:
             kept[:, :-1] = state[:, 1:] + 1
             for c, child in self.children[node].items():
                 new = np.minimum(kept, state + (near != ord(c)))
+                if self.swaps and depth:
+                    swapped = (near == ord(last)) & (padded[who, depth : depth + 2 * band + 1] == ord(c))
+                    np.minimum(new, older + 1, out=new, where=swapped)
                 if band > depth:
                     new[:, : band - depth - 1] = 100
                     new[:, band - depth - 1] = depth + 1
@@ -116,7 +121,7 @@ class Lexicon:
                     np.minimum(new[:, j], new[:, j - 1] + 1, out=new[:, j])
                 live = new.min(1) <= self.reach[child]
                 if live.any():
-                    stack.append((child, who[live], new[live], depth + 1))
+                    stack.append((child, who[live], new[live], depth + 1, state[live], c))
         for row, k in enumerate(usable):
             if best_t[row] >= 0:
                 found[k] = (int(best_t[row]), int(best_d[row]))
@@ -238,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     if not n_pos or not n_neg:
         return Model(Lexicon([], []), np.zeros(0), np.zeros(N_FEATURES), 30.0 if n_pos else -30.0 if n_neg else 0.0)
     found = found[found["w"] != ""]
-    lexicon = Lexicon(*mine(dict(zip(found["w"], found["a"], strict=True)), dict(zip(found["w"], found["b"], strict=True)), n_pos, n_neg, most_terms))
+    lexicon = Lexicon(*mine(dict(zip(found["w"], found["a"], strict=True)), dict(zip(found["w"], found["b"], strict=True)), n_pos, n_neg, most_terms), swaps=True)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
@@ -273,7 +278,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     out = T.StructType([source.schema[key], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = kept_by_worker(("toxic matcher", hash(tuple(model.lexicon.terms))), lambda: Matcher(model.lexicon))
+        matcher = kept_by_worker(("toxic matcher", hash((*model.lexicon.terms, model.lexicon.swaps))), lambda: Matcher(model.lexicon))
         for batch in batches:
             x = model.evidence(matcher.hits(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x), pa.float64())], names=out.names)

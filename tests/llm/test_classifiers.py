@@ -116,6 +116,35 @@ def test_automaton_against_plain_distance():
         assert (m is None) == (not near) and (m is None or (m[1], -lexicon.weights[m[0]]) == min(near))
 
 
+def test_swaps_and_four_letters():
+    terms = ["idiot", "scum", "disgustingly"]
+    lexicon = toxicity.Lexicon(terms, [3.0, 2.0, 4.0], swaps=True)
+    g, words = random.Random(9), ["idoit", "scmu", "csum", "scun", "scums", "diiot", "idito", "dsigustnigly", "dsigustnigyl", "sc"]
+    assert [m and m[1] for m in lexicon.match(words)] == [1, 1, 1, 1, 1, 1, 1, 2, None, None]
+    for t in terms:
+        for _ in range(200):
+            w = list(t)
+            for _ in range(g.randint(1, 3)):
+                k = g.randrange(len(w) - 1)
+                w[k : k + 2] = g.choice([w[k : k + 2][::-1], w[k : k + 1], [*w[k : k + 2], "z"], ["z"]]) if len(w) > 2 else w
+            words.append("".join(w))
+
+    def aligned(a, b):
+        rows = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            rows.append([i])
+            for j, y in enumerate(b, 1):
+                d = min(rows[-2][j] + 1, rows[-1][-1] + 1, rows[-2][j - 1] + (x != y))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    d = min(d, rows[-3][j - 2] + 1)
+                rows[-1].append(d)
+        return rows[-1][-1]
+
+    for w, m in zip(words, lexicon.match(words), strict=True):
+        near = [(d, -lexicon.weights[k]) for k, t in enumerate(terms) if (d := aligned(t, w)) <= lexicon.limits[k]]
+        assert (m is None) == (not near) and (m is None or (m[1], -lexicon.weights[m[0]]) == min(near))
+
+
 def test_quotation():
     words = 'he said "you idiot" and left'.split()
     assert toxicity.quoted(words, 3) and not toxicity.quoted("you are an idiot today".split(), 3)
