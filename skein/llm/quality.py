@@ -75,8 +75,7 @@ def features(parts: list[str], text_length: int) -> np.ndarray:
         row[k + 6] = min(1.0, w / 100)
         row[k + 7] = min(1.0, np.log1p(text_length) / 12)
         row[k + 8] = max(map(len, words), default=0) / (n + 1)
-        if len(seen) < 5000:  # bounds memory and time on very long texts
-            seen |= distinct
+        seen |= distinct
     return out
 
 

@@ -50,6 +50,12 @@ def test_attention_gradient():
     assert loss(before.fit(bags, y, w, epochs=80, rate=0.02)) < start / 4
 
 
+def test_new_words_are_counted_over_the_whole_text():
+    parts = [" ".join(f"w{k}" for k in range(6000)), "these words come late", "late come these words"]
+    new = quality.features(parts, 1)[:, quality.N_CLASSES + len(quality.LAGS) + 1]
+    assert new.tolist() == [1.0, 1.0, 0.0]
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "x" * 100_000, "c"), (1, "some text", "d")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int")
