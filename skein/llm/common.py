@@ -7,7 +7,7 @@ import ctypes
 import gc
 import sys
 import types
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -15,22 +15,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from skein.plans.scratch import scratch_path, shared_dir, written  # noqa: F401  used by the operators
 
-#: Rows of an Arrow batch: with texts of some 100 KB a batch stays far below a worker's memory.
-BATCH_ROWS = 512
+#: Rows and bytes of the texts that a task works on at once, far below a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what one Arrow batch of whole texts can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and, as far as their rows are alike, ``most_bytes``: a task's memory doesn't depend on the session's settings."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * most_bytes // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def fold(doc_id: Column, of: int) -> Column:
@@ -38,23 +41,27 @@ def fold(doc_id: Column, of: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(of))
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, most: int, most_labels: int = 1024) -> DataFrame:
+def bounded_sample(rows: DataFrame, label: str, key: str, most: int, most_labels: int = 1024, most_rows: int | None = None) -> DataFrame:
     """At most ``most`` keys of each label, those with the smallest hash: the same rows at any partitioning.
 
-    Labels are counted first, and only keys whose hash is below what their label's count calls for
-    (with room to spare) are ranked, so that a hot label sends the ranking task little more than ``most`` rows.
+    Of more than ``most_labels`` labels the commonest are sampled (of equally common ones those that sort first); with
+    ``most_rows``, labels share that many rows. Null labels are none. Labels are counted first, and only keys whose hash
+    is below what their label's count calls for (with room to spare) are ranked, so that a hot label sends the ranking
+    task little more than ``most`` rows.
     """
-    counts = rows.groupBy(label).count().limit(most_labels + 1).collect()
-    if len(counts) > most_labels:
-        raise ValueError(f"more than {most_labels} labels")
+    counts = rows.filter(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
+    if not counts:
+        return rows.select(key, label).limit(0)
+    if most_rows is not None:
+        most = max(1, min(most, most_rows // len(counts)))
     span = 1 << 40
     hashed = F.pmod(F.xxhash64(F.col(key)), F.lit(span))
-    below = {r[0]: min(span, int(span * (most + 6 * most**0.5 + 50) / r[1])) for r in counts if r[0] is not None}
-    if not below:
-        return rows.select(key, label).limit(0)
-    bound = F.create_map(*(F.lit(x) for pair in below.items() for x in pair))[F.col(label)]
+    below = [(r[0], min(span, int(span * (most + 6 * most**0.5 + 50) / r[1]))) for r in counts]
+    bounds = rows.sparkSession.createDataFrame(below, T.StructType([T.StructField("_label", rows.schema[label].dataType), T.StructField("_bound", T.LongType())]))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_hash", F.col(key)))
-    return rows.select(key, label).withColumn("_hash", hashed).filter(F.col("_hash") < bound).withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_hash", "_rank")
+    # at most most_labels rows: a proven bound
+    near = rows.select(key, label).withColumn("_hash", hashed).join(F.broadcast(bounds), (F.col(label) == F.col("_label")) & (F.col("_hash") < F.col("_bound")), "left_semi")
+    return near.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_hash", "_rank")
 
 
 def kept_by_worker(key: Hashable, make: Callable[[], Any]) -> Any:

@@ -7,11 +7,18 @@ the bytes they hold, so that the whole text counts. At prediction, embedding and
 filters fold into tables over pairs of bytes, so that a position costs two row
 look-ups.
 
-Training uses a bounded sample: at most ``per_label`` texts of each language, those
-with the smallest key hash, and at most ``windows_per_text`` windows of each.
+Training uses a bounded sample: at most ``per_label`` texts of each language (all
+languages together at most ``most_texts``), those with the smallest key hash, with
+all their windows, which share their text's weight. Of more than ``MOST_LABELS``
+languages the commonest are learned (of equally common ones those that sort
+first); texts in the others are predicted as one of those.
 
 Nulls, and texts without any letter, are ``und`` with score 0. With no language
-to learn from, every text is ``und``. Repeated rows are scored each.
+to learn from (an empty table too), every text is ``und``; an empty table to
+predict gives no rows. A very long text is taken window by window. Of languages
+that tie, the one that sorts first is predicted. Repeated rows are scored each.
+Other columns are not read, whatever their names; those in ``keep`` come back as
+they were, and must not be named as the results are.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_batches, bounded_sample, free_worker
+from skein.llm.common import bounded_sample, free_worker, slices
 
 UNKNOWN = "und"
 WINDOW, WIDTHS, EMBED, FILTERS = 256, (2, 3, 4), 8, 12
@@ -56,10 +63,13 @@ class ByteNet:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.p["e"][0] = 0  # filling
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.01, batch: int = 64, seed: int = 7) -> ByteNet:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.01, batch: int = 64, seed: int = 7, share: np.ndarray | None = None) -> ByteNet:
+        """``share``: how much of its text each window stands for; languages weigh alike."""
         g = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
-        weight = len(y) / np.maximum(1, np.bincount(y, minlength=len(self.classes))) / len(self.classes)
+        share = np.ones(len(y)) if share is None else share
+        weight = (share / np.bincount(y, share, minlength=len(self.classes))[y]).astype(np.float32)
+        weight *= len(y) / weight.sum()
         for epoch in range(epochs):
             order = g.permutation(len(x))
             for at in range(0, len(x), batch):
@@ -67,7 +77,7 @@ class ByteNet:
                 xb = x[rows].copy()
                 for k in np.flatnonzero(g.random(len(xb)) < 0.3):  # short texts too
                     xb[k, g.integers(8, WINDOW) :] = 0
-                grad = self._gradient(xb, y[rows], weight[y[rows]].astype(np.float32))
+                grad = self._gradient(xb, y[rows], weight[rows])
                 t += 1
                 step = rate * (1 - epoch / epochs)
                 for k, d in grad.items():
@@ -134,44 +144,38 @@ class ByteNet:
         return q / q.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 500, windows_per_text: int = 4) -> ByteNet | None:
+def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 300, most_texts: int = 6000, most_labels: int = MOST_LABELS) -> ByteNet | None:
     """A network learned from a bounded sample of the rows where ``learn`` holds and ``lang`` is known."""
-    known = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sample = bounded_sample(known, lang, key, per_label)
-    # at most per_label rows a language, MOST_LABELS languages: a proven bound
-    picked = known.select(key, text, lang).join(F.broadcast(sample.select(key).distinct()), key, "left_semi")
+    known = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    # at most most_texts rows: a proven bound
+    sample = F.broadcast(bounded_sample(known, "_lang", key, per_label, most_labels, most_texts).select(F.col(key).alias("_key"), F.col("_lang").alias("_name")).distinct())
+    picked = known.join(sample, (F.col(key) == F.col("_key")) & (F.col("_lang") == F.col("_name")), "left_semi")
 
     def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for t, name in zip(frame[text], frame[lang], strict=True):
-                if LETTER.search(t):
-                    w = windows(t.encode())
-                    for k in sorted({round(i * (len(w) - 1) / max(1, windows_per_text - 1)) for i in range(windows_per_text)}):
-                        rows.append((name, w[k].tobytes()))
-            yield pd.DataFrame(rows, columns=["name", "bytes"])
+            rows = [(name, windows(t.encode())) for t, name in zip(frame["_text"], frame["_lang"], strict=True) if LETTER.search(t)]
+            yield pd.DataFrame([(str(name), w.tobytes()) for name, w in rows], columns=["name", "bytes"])
 
     found = picked.mapInPandas(cut, "name string, bytes binary").toPandas().sort_values(["name", "bytes"])
     if found.empty:
         return None
     classes = sorted(found["name"].unique())
-    if len(classes) > MOST_LABELS:
-        raise ValueError(f"{len(classes)} languages; at most {MOST_LABELS} can be learned")
+    each = found["bytes"].map(len).to_numpy() // WINDOW
     x = np.frombuffer(b"".join(map(bytes, found["bytes"])), np.uint8).reshape(-1, WINDOW)
-    epochs = max(5, min(60, 12_000 // len(x)))
-    return ByteNet(classes).fit(x, np.searchsorted(classes, found["name"].to_numpy(dtype=object)), epochs)
+    y = np.repeat(np.searchsorted(classes, found["name"].to_numpy(dtype=object)), each)
+    epochs = max(3, min(60, 60_000 // len(x)))
+    return ByteNet(classes).fit(x, y, epochs, share=np.repeat(1 / each, each))
 
 
 def predict(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``key``, the columns in ``keep``, and under ``names`` the language and its score of each row."""
-    bounded_batches(docs.sparkSession)
     source = docs.select(key, F.col(text).alias("_text"), *keep)
     out = T.StructType([source.schema.fields[0], *source.schema.fields[2:], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
         tables = net.tables() if net else None
-        for batch in batches:
+        for batch in slices(batches):
             found, scores = label(batch.column(1).to_pylist(), net, tables)
             columns = [batch.column(0), *(batch.column(2 + i) for i in range(len(keep)))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=out.names)
@@ -179,15 +183,15 @@ def predict(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: str
     return source.mapInArrow(run, out)
 
 
-def least_share(docs: DataFrame, net: ByteNet | None, held_out: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 500, lost: float = 0.005) -> float:
+def least_share(docs: DataFrame, net: ByteNet | None, held_out: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 500, most_texts: int = 10_000, lost: float = 0.005) -> float:
     """The score below which no more than ``lost`` of a bounded sample of rightly labelled held-out texts fall.
 
     Without such texts: halfway between the floor of the network's classes and 1.
     """
     known = docs.filter(held_out & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sample = bounded_sample(known, lang, key, per_label)
-    # at most per_label rows a language, MOST_LABELS languages: a proven bound
-    picked = known.join(F.broadcast(sample.select(key).distinct()), key, "left_semi")
+    # at most most_texts rows: a proven bound
+    sample = bounded_sample(known, lang, key, per_label, MOST_LABELS, most_texts).select(key).distinct()
+    picked = known.join(F.broadcast(sample), key, "left_semi")
     found = predict(picked, net, key, text, (lang,), ("_lang", "_share")).filter(F.col("_lang") == F.col(lang)).select("_share").toPandas()["_share"].to_numpy()
     if not len(found):
         return (1 + 1 / len(net.classes)) / 2 if net else 0.0

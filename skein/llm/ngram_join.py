@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import bounded_batches, free_worker, fresh, split_words, written
+from skein.llm.common import free_worker, fresh, slices, split_words, written
 from skein.operators.components import min_labels
 from skein.plans.scratch import remove, scratch_path
 
@@ -142,7 +142,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     ``most_frequent`` bounds the table of frequent columns, which only orders columns: any table gives the same links.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, ROWS)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +162,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             order = np.argsort(flat)
             return flat[order], total[order]
 
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             waiting += [s for s in ngram_sets(batch.column(0), words) if len(s)]
             if sum(map(len, waiting)) > 3_000_000:
                 columns, counts = settled()
@@ -188,7 +187,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         import xxhash
 
         free_worker()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             sets = ngram_sets(batch.column(1), words)
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             first = [c.view(np.int64) for c in first_columns(sets, frequent, counts, percent, shared)]
@@ -224,7 +223,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             at = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((wanted[at >> 6] >> (at & 63)) & 1 == 1))
             if batch.num_rows:

@@ -3,13 +3,19 @@
 Documents become token ids plus an end id. Within a window of documents (a
 bounded buffer in one task) the descending rest lengths go to the sequence of
 lowest estimated cost (linear plus quadratic in each piece's length) that has
-token capacity left; what doesn't fit there is cut. What fills no whole
+token capacity left. Of the ``tries`` cheapest sequences the first with room for
+all of it is taken; if none has, the cheapest takes what it can and the rest goes
+on (cutting is allowed, and a bounded look keeps the step logarithmic). What fills no whole
 sequence moves to the next window, and at a task's end leaves as sequences whose
 lengths are powers of two, which need no padding. There is no shuffle: each id
 is tokenized once, packed where it was read, and only piece rows leave the task.
 
 Nulls: a null text packs as an empty one (the end id alone); a null key is
-kept. Repeated rows are packed each. An empty table gives no pieces.
+kept, and a key may be of any type. Repeated rows are packed each; rests of equal
+length (ties) go in the order in which they were read, sequences of equal cost in
+that of their numbers. A very long text fills whole sequences first. An empty table
+gives no pieces. Other columns are not read, whatever their names, but ``key`` must
+not be named as a result is.
 """
 
 from __future__ import annotations
@@ -24,8 +30,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from skein.llm.common import bounded_batches, fresh, kept_by_worker, split_words
+from skein.llm.common import fresh, kept_by_worker, slices, split_words
 
 #: Words after which a worker's table is emptied; a table of that size takes some 100 MB.
 MOST_WORDS = 1_500_000
@@ -171,8 +178,8 @@ def assign(lengths: list[tuple[int, int, int]], n_sequences: int, capacity: int,
 class Packer:
     """Packs one task's documents; holds at most ``window`` ids and what was left of the window before."""
 
-    def __init__(self, capacity: int, window: int, quadratic: float, first_sequence: int):
-        self.capacity, self.window, self.quadratic, self.next = capacity, window, quadratic, first_sequence
+    def __init__(self, capacity: int, window: int, quadratic: float, first_sequence: int, tries: int = 8):
+        self.capacity, self.window, self.quadratic, self.next, self.tries = capacity, window, quadratic, first_sequence, tries
         self.docs: list[tuple[int | None, np.ndarray]] = []
         self.pending: list[tuple[int, int, int]] = []
         self.tokens = 0
@@ -192,7 +199,7 @@ class Packer:
             whole += [[(doc, start + k * cap, cap)] for k in range(full)]
             if length % cap:
                 rests.append((doc, start + full * cap, length % cap))
-        sequences, rest = assign(rests, sum(x[2] for x in rests) // cap, cap, self.quadratic)
+        sequences, rest = assign(rests, sum(x[2] for x in rests) // cap, cap, self.quadratic, self.tries)
         if last:
             sequences += _powers(rest)
             rest = []
@@ -230,12 +237,11 @@ def _powers(rest: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
 SCHEMA = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = 2, capacity: int = 4096, window_sequences: int = 512, quadratic: float = 1 / 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = 2, capacity: int = 4096, window_sequences: int = 512, quadratic: float = 1 / 4096, tries: int = 8) -> DataFrame:
     """One row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``window_sequences`` bounds a task's buffer (that many times ``capacity`` ids, and one document more).
+    ``window_sequences`` bounds a task's buffer (that many times ``capacity`` ids, and one document more), ``tries`` the sequences looked at for a piece.
     """
-    bounded_batches(docs.sparkSession, ROWS)
     source = docs.select(key, text)
     schema = T.StructType([source.schema[key], *SCHEMA.fields])
     kinds = [pa.int64()] * 6
@@ -244,10 +250,10 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         from pyspark import TaskContext
 
         encode = kept_by_worker(("word ids", tokenizer_path), lambda: WordIds(tokenizer_path))
-        packer = Packer(capacity, window_sequences * capacity, quadratic, TaskContext.get().partitionId() * STRIDE)
+        packer = Packer(capacity, window_sequences * capacity, quadratic, TaskContext.get().partitionId() * STRIDE, tries)
 
         def rows():
-            for batch in batches:
+            for batch in slices(batches, ROWS):
                 yield from packer.add(batch.column(0).to_pylist(), encode(batch.column(1), end_id))
             yield from packer.flush(last=True)
 
@@ -260,7 +266,7 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         if some:
             yield _batch(some, kinds, schema.names, key_type)
 
-    key_type = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}[source.schema[key].dataType]
+    key_type = to_arrow_type(source.schema[key].dataType)
     return source.mapInArrow(run, schema)
 
 

@@ -16,8 +16,11 @@ Characters that no piece covers fall back to the byte pieces, so decoding gives
 the text back exactly (but for the model's own mark of a space, which the model
 cannot tell from one).
 
-A null text encodes as an empty one, which has no ids. Repeated rows are encoded
-each; a text of any length is encoded whole.
+A null text encodes as an empty one, which has no ids; an empty table gives no
+rows. Repeated rows are encoded each; a text of any length is encoded whole, a long
+pre-token cut where no piece can cross. Of merges of equal rank (ties) the one
+further left comes first, as in the library. Other columns are not read, whatever
+their names, but ``key`` must not be named as a result is.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_batches, fresh, kept_by_worker
+from skein.llm.common import fresh, kept_by_worker, slices
 
 SPACE, CUT = "▁", "\x01"
 RUNS = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
@@ -61,6 +64,7 @@ class Pieces:
             normal = [i for i in normal if len(self.pieces[i]) == 1 or self.pieces[i] in self.parts]
         lengths = np.array([len(self.pieces[i]) for i in normal])
         self.longest = int(lengths.max())
+        self.joined = {p[k : k + 2] for i in normal for p in [self.pieces[i]] for k in range(len(p) - 1)}
         self.powers = np.ones(self.longest + 1, np.uint64)
         with np.errstate(over="ignore"):
             for k in range(1, self.longest + 1):
@@ -153,8 +157,20 @@ class Pieces:
             h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
+    def cut(self, word: str) -> list[str]:
+        """The parts of a word between characters that stand side by side in no piece: each is encoded as if it were alone."""
+        at = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.joined), len(word)]
+        return [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def viterbi(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word: the words of a length advance together."""
+        """The ids of each word; long ones are cut into parts first."""
+        parts = [self.cut(w) if len(w) > LONGEST else [w] for w in words]
+        whole = list(dict.fromkeys(x for p in parts for x in p))
+        found = dict(zip(whole, self._of_parts(whole), strict=True))
+        return [found[p[0]] if len(p) == 1 else [i for x in p for i in found[x]] for p in parts]
+
+    def _of_parts(self, words: list[str]) -> list[list[int]]:
+        """The ids of distinct words: those of a length advance together."""
         out: list[list[int]] = [[] for _ in words]
         by: dict[int, list[int]] = {}
         for k, w in enumerate(words):
@@ -251,14 +267,13 @@ class Encoder:
 
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """``key``, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decodes_back and, if asked for, the ids of each row."""
-    bounded_batches(docs.sparkSession, ROWS)
     source = docs.select(key, text)
     fields = [source.schema[key], T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decodes_back", T.BooleanType())]
     out = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_by_worker(("piece encoder", model_path), lambda: Encoder(model_path))
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             texts = batch.column(1).fill_null("")
             ids = encoder(texts)
             back = [encoder.pieces.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts.to_pylist(), strict=True)]
@@ -277,7 +292,7 @@ def decode(rows: DataFrame, model_path: str, key: str = "doc_id", ids: str = "id
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = kept_by_worker(("piece encoder", model_path), lambda: Encoder(model_path)).pieces
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             texts = [None if x is None else pieces.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=out.names)
 

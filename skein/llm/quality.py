@@ -6,12 +6,15 @@ passage representation is scored; only documents have labels. The whole text is
 scored: every passage is encoded, long texts simply have more of them.
 
 Training uses a bounded sample: at most ``per_label`` labelled texts of each
-label, those with the smallest key hash, each with at most ``most_passages``
-passages spread evenly over it.
-
-A null text counts as empty: one passage without characters. Without labels of
-both kinds every score is the share of label 1 (or 0.5). Repeated rows are scored
-each; label rows that are null or repeat a key with another label are left out.
+label, those with the smallest key hash, with all their passages.
+
+A null text counts as empty: one passage without characters. A very long text is
+one bag of many passages, each of bounded size. Without labels of both kinds (an
+empty table too) every score is the share of label 1 (or 0.5); an empty table to
+score gives no rows. Repeated rows and ties are scored each, alike; label rows that
+are null or repeat a key with another label are left out. Other columns are not
+read, whatever their names; those in ``keep`` come back as they were, and must not
+be named as the score is.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_batches, bounded_sample, free_worker
+from skein.llm.common import bounded_sample, free_worker, slices
 
 PASSAGE = 512
 #: Byte classes: control, space, newline, digit, upper, lower, sentence marks, bars, shouts, other marks, beyond ASCII.
@@ -105,6 +108,18 @@ class AttentionBags:
         x = (np.concatenate(bags) - self.mean) / self.scale
         return self._forward(x, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)[-1]
 
+    def gradient(self, x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted mean log loss over bags of ``sizes`` passages, by parameter."""
+        p, starts = self.p, np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        h, a, s, alpha, z, y = self._forward(x, starts, sizes)
+        dy = (y - labels) * weights / len(sizes)
+        dz = np.repeat(dy[:, None] * p["c"], sizes, axis=0)
+        da = (h * dz).sum(1)
+        dg = alpha * (da - np.repeat(np.add.reduceat(alpha * da, starts), sizes))
+        dv, du = dg[:, None] * p["w"] * s * (1 - a * a), dg[:, None] * p["w"] * a * s * (1 - s)
+        dh = (alpha[:, None] * dz + dv @ p["v"].T + du @ p["u"].T) * (1 - h * h)
+        return {"e": x.T @ dh, "f": dh.sum(0), "v": h.T @ dv, "u": h.T @ du, "w": (a * s).T @ dg, "c": z.T @ dy, "b": np.array([dy.sum()])}
+
     def fit(self, bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = 40, rate: float = 0.01, batch: int = 64, seed: int = 5) -> AttentionBags:
         g = np.random.default_rng(seed)
         bags = [(b - self.mean) / self.scale for b in bags]
@@ -114,16 +129,7 @@ class AttentionBags:
             for at in range(0, len(bags), batch):
                 rows = order[at : at + batch]
                 some = [bags[k] for k in rows]
-                sizes = np.array([len(b) for b in some])
-                starts, x = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.concatenate(some)
-                h, a, s, alpha, z, y = self._forward(x, starts, sizes)
-                dy = (y - labels[rows]) * weights[rows] / len(rows)
-                dz = np.repeat(dy[:, None] * p["c"], sizes, axis=0)
-                da = (h * dz).sum(1)
-                dg = alpha * (da - np.repeat(np.add.reduceat(alpha * da, starts), sizes))
-                dv, du = dg[:, None] * p["w"] * s * (1 - a * a), dg[:, None] * p["w"] * a * s * (1 - s)
-                dh = (alpha[:, None] * dz + dv @ p["v"].T + du @ p["u"].T) * (1 - h * h)
-                grad = {"e": x.T @ dh, "f": dh.sum(0), "v": h.T @ dv, "u": h.T @ du, "w": (a * s).T @ dg, "c": z.T @ dy, "b": np.array([dy.sum()])}
+                grad = self.gradient(np.concatenate(some), np.array([len(b) for b in some]), labels[rows], weights[rows])
                 t += 1
                 for k, d in grad.items():
                     d = d + 1e-4 * p[k]
@@ -152,9 +158,8 @@ def labelled(docs: DataFrame, labels: DataFrame, learn: Column, label: str, key:
     return docs.select(key, text).join(F.broadcast(sample), key)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", key: str = "doc_id", text: str = "text", per_label: int = 1500, most_passages: int = 24) -> AttentionBags | Constant:
-    """A model of ``labels`` learned from the rows of ``docs`` where ``learn`` holds."""
-    bounded_batches(docs.sparkSession)
+def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", key: str = "doc_id", text: str = "text", per_label: int = 1500) -> AttentionBags | Constant:
+    """A model of ``labels`` learned from the rows of ``docs`` where ``learn`` holds; ``per_label`` bounds the labelled rows, not what is read of a text."""
     sample = labelled(docs, labels, learn, label, key, text, per_label)
 
     def encode(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,10 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
             rows = []
             for k, t, y in zip(frame[key], frame[text], frame[label], strict=True):
                 t = t if isinstance(t, str) else ""
-                x = features(passages(t), len(t))
-                if len(x) > most_passages:
-                    x = x[np.unique(np.linspace(0, len(x) - 1, most_passages).round().astype(int))]
-                rows.append((str(k), int(y), x.tobytes()))
+                rows.append((str(k), int(y), features(passages(t), len(t)).tobytes()))
             yield pd.DataFrame(rows, columns=["id", "y", "x"])
 
     found = sample.mapInPandas(encode, "id string, y int, x binary").toPandas().sort_values(["id", "x"])
@@ -180,13 +182,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
 
 def score(docs: DataFrame, model: AttentionBags | Constant, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
     """``key``, the columns in ``keep`` and ``name``, the score (0 to 1, higher: label 1 likelier) of each row."""
-    bounded_batches(docs.sparkSession)
     source = docs.select(key, F.col(text).alias("_text"), *keep)
     out = T.StructType([source.schema.fields[0], *source.schema.fields[2:], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
-        for batch in batches:
+        for batch in slices(batches):
             bags = [features(passages(t), len(t)) for t in (x or "" for x in batch.column(1).to_pylist())]
             columns = [batch.column(0), *(batch.column(2 + i) for i in range(len(keep)))]
             scores = model.scores(bags) if bags else np.zeros(0)

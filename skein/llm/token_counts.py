@@ -11,7 +11,13 @@ merge (BPE) model such scores are ranks and give other counts than the model's
 own, so there the state is led by the last piece that merging allows (see
 piece_codec). Either way the counts are the library's.
 
-A null or empty text has 0 tokens. Repeated rows are counted each.
+A long pre-token (text without spaces) is first cut where no piece can cross, and
+so becomes many short ones that share their trie with the others.
+
+A null or empty text has 0 tokens, an empty table gives no rows. Repeated rows are
+counted each. Of merges of equal rank (ties) the one further left comes first, as
+in the library. Other columns are not read, whatever their names, but ``key`` must
+not be named as a result is.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_batches, kept_by_worker
+from skein.llm.common import kept_by_worker, slices
 from skein.llm.piece_codec import LONGEST, REMEMBERED, ROWS, Pieces, pretokens
 
 #: Cells of a trie's level matrix that are held at once.
@@ -40,6 +46,13 @@ class TrieCounter:
 
     def counts(self, words: list[str]) -> np.ndarray:
         """The number of tokens of each word."""
+        parts = [(k, part) for k, w in enumerate(words) for part in (self.pieces.cut(w) if len(w) > LONGEST else [w])]
+        whole = list(dict.fromkeys(part for _, part in parts))
+        found = dict(zip(whole, self._of_parts(whole).tolist(), strict=True))
+        return np.bincount([k for k, _ in parts], [found[part] for _, part in parts], len(words)).astype(np.int64)
+
+    def _of_parts(self, words: list[str]) -> np.ndarray:
+        """The counts of distinct words, by tries of bounded size."""
         order = sorted(range(len(words)), key=lambda k: words[k])
         # long words go apart, so that a short one's row isn't as long as they are
         out = np.zeros(len(words), np.int64)
@@ -117,13 +130,12 @@ class TrieCounter:
 
 def count(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_pretokens and n_tokens of each row's whole text."""
-    bounded_batches(docs.sparkSession, ROWS)
     source = docs.select(key, text)
     out = T.StructType([source.schema[key], T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = kept_by_worker(("trie counter", model_path), lambda: TrieCounter(model_path))
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             parts, tokens = counter.texts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.int64()), pa.array(tokens, pa.int64())], names=out.names)
 

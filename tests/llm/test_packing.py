@@ -63,3 +63,12 @@ def test_every_id_lies_in_one_piece(spark):
             at += length
         assert at == 256 or at & (at - 1) == 0
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_keys_of_any_type(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a b"), (None, "c"), (1, "a b")], "doc_id long, text string")
+    for kind in ("short", "string", "double", "date", "decimal(12,2)"):
+        key = F.col("doc_id").cast("string").cast("date") if kind == "date" else F.col("doc_id").cast(kind)
+        assert packing.pack(docs.withColumn("doc_id", key), PATH).groupBy("doc_id").count().count() in (1, 2)

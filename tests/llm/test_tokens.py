@@ -9,7 +9,7 @@ import sentencepiece
 from skein.llm import piece_codec, token_counts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
-ODD = ["", " ", "a", " a  b ", "\n\nx\n", "a\x01b c\n", "中😀\t", "a▁b", "﻿x", "é" * 50, "x" * 300, "aaaaaaaaa bbbb ))))((", "  \n  ", "日本語のテキスト", "ﬁ ½ ①", "w" * 5000]
+ODD = ["", " ", "a", " a  b ", "\n\nx\n", "a\x01b c\n", "中😀\t", "a▁b", "﻿x", "é" * 50, "x" * 300, "aaaaaaaaa bbbb ))))((", "  \n  ", "日本語のテキスト", "ﬁ ½ ①", "w" * 5000, "中文没有空格的长文章，" * 300 + "x", "aé日" * 400, "the日本語thing" * 90]
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +63,17 @@ def test_slices_of_arrays(library):
     assert [x.tolist() for x in piece_codec.Encoder(MODEL)(long)] == [library.encode(t) for t in long.to_pylist()]
 
 
+def test_long_texts_without_spaces_are_cut(library):
+    import time
+
+    text = "".join(chr(0x4E00 + (k * k) % 5000) for k in range(100_000))
+    pieces = piece_codec.Pieces(MODEL)
+    assert "".join(pieces.cut(text[:999])) == text[:999] and max(map(len, pieces.cut(text))) < 50
+    start = time.perf_counter()
+    assert token_counts.TrieCounter(MODEL).counts(["▁" + text])[0] == len(pieces.viterbi(["▁" + text])[0]) == len(library.encode(text))
+    assert time.perf_counter() - start < 10
+
+
 def test_frames(spark, library):
     rows = [(1, "the cat", "x"), (2, None, "y"), (3, "", None), (None, "the cat", "z"), (1, "the cat", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
@@ -73,5 +84,5 @@ def test_frames(spark, library):
     assert all(r["decodes_back"] for r in coded.collect())
     back = piece_codec.decode(coded, MODEL)
     assert sorted((r["text"] for r in back.collect())) == ["", "", "the cat", "the cat", "the cat"]
-    assert token_counts.count(docs.limit(0), MODEL).count() == 0
+    assert token_counts.count(docs.limit(0), MODEL).count() == piece_codec.encode(docs.limit(0), MODEL).count() == 0
     assert np.isfinite(n)
