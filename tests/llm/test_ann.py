@@ -55,6 +55,31 @@ def test_copies_and_ties(spark):
         assert part.sort_values("rank")["vec_id"].tolist() == want
 
 
+def test_ties_of_different_vectors_go_to_the_smaller_key(spark):
+    g = np.random.default_rng(8)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(k, [0.5, *g.normal(size=3).tolist()]) for k in range(1, 400)]
+    df = spark.createDataFrame([(*r, "") for r in rows], SCHEMA)
+    for sample in (8192, 64):  # whole, and leaves that find the rest
+        found = ann.search(df.repartition(5), F.col("vec_id") == 0, most_sample=sample, target=1.0, leaf_rows=500 if sample == 64 else 16).orderBy("rank").collect()
+        assert [r["vec_id"] for r in found] == list(range(1, 21)) and {r["score"] for r in found} == {0.5}
+
+
+def test_large_leaves_are_split_from_their_own_rows(spark):
+    g = np.random.default_rng(6)
+    x = g.normal(size=(6000, 16)) + 3 * g.normal(size=(40, 16))[g.integers(0, 40, 6000)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(*r, "") for r in rows] + [(20, rows[20][1], "again")], SCHEMA)
+    # a sample of 128 allows 16 leaves a tree, of some 400 rows
+    found = ann.search(df, F.col("vec_id") % 60 == 0, k=10, most_sample=128, leaf_rows=32, block_rows=4096).toPandas()
+    want = brute(rows, range(0, 6000, 60), 10)
+    hits = sum(len(set(part["vec_id"]) & {i for i, _ in want[q]}) for q, part in found.groupby("query_id"))
+    assert (found.groupby("query_id").size() == 10).all() and hits / 1000 >= 0.9
+    forest = ann.Forest(x, 1, 0)
+    forest.sharpness = 2.0
+    part, enough = forest.within(x[:400], x[400:450], 32)
+    assert part.max() == 15 and 0 < enough.mean() < 0.9
+
+
 def test_odd_vectors_take_no_part(spark):
     rows = [(0, [1.0, 2.0]), (20, None), (40, [0.0, 0.0]), (60, [math.nan, 1.0]), (80, [math.inf, 1.0]), (100, [1.0]), (None, [1.0, 1.0]), (3, [1.0, None]), (5, [0.5, 0.5]), (7, [-1.0, 0.0])]
     df = spark.createDataFrame([(*r, "") for r in rows], SCHEMA)
@@ -76,7 +101,7 @@ def test_queue_order_by_a_heap():
             if level == 4:
                 opened.append((t << 4) + node)
                 continue
-            margin = x @ forest.directions[t][level][node] - forest.medians[t][level][node]
-            heapq.heappush(heap, (cost + max(margin, 0) ** 2, t, level + 1, 2 * node))
-            heapq.heappush(heap, (cost + max(-margin, 0) ** 2, t, level + 1, 2 * node + 1))
+            margin = forest.sharpness * (x @ forest.directions[t, level] - forest.medians[t][level][node])
+            heapq.heappush(heap, (cost + np.log1p(np.exp(margin)), t, level + 1, 2 * node))
+            heapq.heappush(heap, (cost + np.log1p(np.exp(-margin)), t, level + 1, 2 * node + 1))
         assert set(np.flatnonzero(forest.opened(x[None], 11)[0])) == set(opened)
