@@ -69,20 +69,30 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_quality, op4_language_id, op5_fingerprints, op6_toxicity, op7_neighbours, op8_packing, op9_ngram_join, op10_warc)}
 
-#: Blocks of words, and sections that end after a paragraph whose hash ends in 0 or 1, as merkle.py has them.
-_OP5 = r"""
+
+def _leaves(text: str) -> str:
+    """The leaves of each line of a text, as merkle.py has them: runs of tokens that end after one whose MD5 ends in 0 to 3."""
+    nodes = "array_to_string(list_transform(regexp_extract_all(l, '[^ ]{1,32} *| +'), lambda w: md5(w)), ' ')"
+    return f"list_transform(string_split({text}, chr(10)), lambda l: case when l = '' then []::varchar[] else list_transform(string_split(regexp_replace({nodes}, '([0-3]) ', '\\1|', 'g'), '|'), lambda p: sha256(p)) end)"
+
+
+def _sections(paragraphs: str) -> str:
+    """Sections that end after a paragraph whose node ends in 0 or 1."""
+    return f"list_transform(string_split(regexp_replace(array_to_string({paragraphs}, ' '), '([01]) ', '\\1|', 'g'), '|'), lambda p: sha256(p))"
+
+
+_OP5 = f"""
 with d as (select doc_id, coalesce(text, '') as t, row_number() over (order by doc_id, coalesce(text, '')) as k, count(*) over () as n from documents),
 p as (select a.doc_id, a.t, b.t as u, length(a.t) as c, length(a.t) // 4 as q from d a join d b on b.k = a.k % a.n + 1),
 e as (select *, substring(t, 1, (c - q)::bigint) || substring(u, 1, q::bigint) as x from p),
-f as (select *, list_transform(string_split(t, chr(10)), lambda l: sha256(l)) as tp, list_transform(string_split(x, chr(10)), lambda l: sha256(l)) as xp,
-      list_distinct(regexp_extract_all(t, '\S+(?:[ \t]+\S+){0,3}')) as tb, list_distinct(regexp_extract_all(x, '\S+(?:[ \t]+\S+){0,3}')) as xb, list_distinct(regexp_extract_all(u, '\S+(?:[ \t]+\S+){0,3}')) as ub from e),
-g as (select *, list_transform(string_split(regexp_replace(array_to_string(tp, ' '), '([01]) ', '\1|', 'g'), '|'), lambda l: sha256(l)) as ts,
-      list_transform(string_split(regexp_replace(array_to_string(xp, ' '), '([01]) ', '\1|', 'g'), '|'), lambda l: sha256(l)) as xs,
-      len(list_intersect(tb, xb)) as tx, len(list_intersect(tb, ub)) as tu from f)
+l as (select doc_id, c, x, {_leaves("t")} as tl, {_leaves("x")} as xl, {_leaves("u")} as ul from e),
+f as (select *, list_transform(tl, lambda v: sha256(array_to_string(v, ' '))) as tp, list_transform(xl, lambda v: sha256(array_to_string(v, ' '))) as xp,
+      list_distinct(flatten(tl)) as tb, list_distinct(flatten(xl)) as xb, list_distinct(flatten(ul)) as ub from l),
+g as (select *, {_sections("tp")} as ts, {_sections("xp")} as xs, len(list_intersect(tb, xb)) as tx, len(list_intersect(tb, ub)) as tu from f)
 select doc_id, c::bigint as n_chars, sha256(x) as edited_sha256, sha256(array_to_string(ts, ' ')) as fingerprint, sha256(array_to_string(xs, ' ')) as edited_fingerprint,
   case when len(tb) + len(xb) = 0 then 1.0::double else tx::double / (len(tb) + len(xb) - tx) end as near_edited,
   case when len(tb) + len(ub) = 0 then 1.0::double else tu::double / (len(tb) + len(ub) - tu) end as near_next,
-  len(ts)::int as n_sections, len(tp)::int as n_paragraphs, len(list_filter(list_distinct(xp), lambda h: not list_contains(tp, h)))::int as edited_paragraphs from g"""
+  len(ts)::int as n_sections, len(tp)::int as n_paragraphs, len(flatten(tl))::int as n_leaves, len(list_filter(list_distinct(xp), lambda h: not list_contains(tp, h)))::int as edited_paragraphs from g"""
 
 _OP9 = r"""
 with recursive d as (select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x != '') as w from documents),

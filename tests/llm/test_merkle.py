@@ -32,24 +32,72 @@ def test_many_ranges(spark):
     assert len(keys) == 3000 and all(order[a]["next_text"] == order[b]["text"] for a, b in zip(keys, keys[1:] + keys[:1], strict=True))
 
 
+def prints(spark, *texts):
+    return merkle.fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def changes(spark, before, after):
+    rows = merkle.differences(prints(spark, before), prints(spark, after)).collect()
+    return sorted((r["change"], r["left_paragraph"], r["right_paragraph"], r["n_paragraphs"]) for r in rows)
+
+
 def test_fingerprints_tell_texts_apart(spark):
-    base = "\n".join(f"line {k} of it" for k in range(40))
-    changed = base.replace("line 20", "line twenty")
-    a = merkle.fingerprint(spark.createDataFrame([(1, base), (2, base), (3, None)], "doc_id long, text string"))
-    b = merkle.fingerprint(spark.createDataFrame([(1, changed), (2, base), (3, "")], "doc_id long, text string"))
-    prints = {r["doc_id"]: r["fingerprint"] for r in a.collect()}
-    assert prints[1] == prints[2] != prints[3]
-    rows = merkle.differences(a, b).collect()
-    assert [(r["doc_id"], r["paragraphs"]) for r in rows] == [(1, [20])] and 1 <= len(rows[0]["sections"]) <= 2
+    rows = {r["doc_id"]: r for r in prints(spark, "a b\n\nc", "a b\n\nc", None, "", "a b\nc", "a  b\n\nc", "a b \n\nc").collect()}
+    roots = [rows[k]["fingerprint"] for k in range(7)]
+    assert roots[0] == roots[1] and roots[2] == roots[3] and len(set(roots)) == 5
+    assert rows[0]["paragraph_sizes"][1] == 0 and sum(rows[0]["section_sizes"]) == 3 == len(rows[0]["paragraphs"])
+    # the tree by hand
+    sha, nodes = lambda x: hashlib.sha256(x.encode()).hexdigest(), []
+    for line in ("a b", "", "c"):
+        leaves, run = [], []
+        for w in {"a b": ["a ", "b"], "": [], "c": ["c"]}[line]:
+            run.append(hashlib.md5(w.encode()).hexdigest())
+            if run[-1][-1] in "0123":
+                leaves.append(sha(" ".join(run)))
+                run = []
+        leaves += [sha(" ".join(run))] if run else []
+        nodes.append(sha(" ".join(leaves)))
+    assert rows[0]["paragraphs"] == nodes
+
+
+def test_differences_locate_edits(spark):
+    lines = [f"line {k} of it" for k in range(40)]
+    text = lambda x: "\n".join(x)
+    assert changes(spark, text(lines), text(lines)) == []
+    assert changes(spark, text(lines), text([*lines[:20], "new", *lines[20:]])) == [("inserted", None, 20, 1)]
+    assert changes(spark, text(lines), text([*lines[:20], *lines[21:]])) == [("deleted", 20, None, 1)]
+    assert changes(spark, text(lines), text([*lines[:20], "changed", *lines[21:]])) == [("deleted", 20, None, 1), ("inserted", None, 20, 1)]
+    assert changes(spark, text(lines), text([*lines[:20], lines[3], *lines[20:]])) == [("inserted", None, 20, 1)]
+    assert changes(spark, text(lines), text([*lines[:5], *lines[6:30], lines[5], *lines[30:]])) == [("moved", 5, 29, 1)]
+    keyed = spark.createDataFrame([("x", "a\nb"), ("y", "c")], "name string, text string")
+    got = merkle.differences(merkle.fingerprint(keyed, "name"), merkle.fingerprint(keyed.replace("c", "d"), "name"), "name").collect()
+    assert {(r["name"], r["change"]) for r in got} == {("y", "deleted"), ("y", "inserted")}
 
 
 def test_likeness(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d x y z w"), (3, ""), (4, "")], "doc_id long, text string")
-    got = {r["doc_id"]: r["near_next"] for r in merkle.edited_fingerprints(docs).collect()}
-    assert abs(got[1] - 1 / 3) < 1e-12 and got[2] == 0 and got[3] == 1 and got[4] == 0
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "w x y z"), (3, ""), (4, ""), (5, "\n")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in merkle.edited_fingerprints(docs).collect()}
+    assert got[1]["near_next"] == 0 == got[2]["near_next"] and got[3]["near_next"] == 1 == got[4]["near_next"] and got[5]["near_next"] == 0
     assert merkle.edited_fingerprints(docs.limit(0)).count() == 0
     one = merkle.edited_fingerprints(docs.limit(1)).first()
-    assert one["near_next"] == 1.0
+    assert one["near_next"] == 1.0 and one["n_leaves"] > 0
+
+
+def test_a_word_more_changes_one_leaf(spark):
+    words = [f"w{k}" for k in range(4000)]
+    texts = [" ".join(words), " ".join(["early", *words]), " ".join(words[:2000] + words[2001:]), "x" * 5000 + "y" * 5000, "x" * 5000 + "z" * 5000]
+    got = [r["near_next"] for r in merkle.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert 0.99 < got[0] < 1 and 0.99 < got[1] < 1 and 0 < got[3] < 1
+
+
+def test_keys_that_are_no_integers(spark):
+    rows = [(f"doc-{k:05d}", f"text {k} of it") for k in range(700)] + [(None, "none"), ("doc-00007", "a second")]
+    for kind, cast in (("string", str), ("double", lambda k: float(k[4:]) / 8)):
+        made = [(cast(k) if k else None, t) for k, t in rows]
+        docs = spark.createDataFrame(made, f"doc_id {kind}, text string")
+        want = [t for _, t in sorted(made, key=lambda x: (x[0] is not None, x[0] or cast("doc-00000"), x[1]))]
+        got = {r["text"]: r["next_text"] for r in merkle.with_next(docs, "doc_id", "text", most_quantiles=8).collect()}
+        assert got == dict(zip(want, want[1:] + want[:1], strict=True))
 
 
 @settings(max_examples=5, deadline=None)
