@@ -144,7 +144,7 @@ class ByteNet:
         return q / q.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 300, most_texts: int = 6000, most_labels: int = MOST_LABELS) -> ByteNet | None:
+def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 250, most_texts: int = 6000, most_labels: int = MOST_LABELS) -> ByteNet | None:
     """A network learned from a bounded sample of the rows where ``learn`` holds and ``lang`` is known."""
     known = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     # at most most_texts rows: a proven bound
@@ -163,7 +163,7 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     each = found["bytes"].map(len).to_numpy() // WINDOW
     x = np.frombuffer(b"".join(map(bytes, found["bytes"])), np.uint8).reshape(-1, WINDOW)
     y = np.repeat(np.searchsorted(classes, found["name"].to_numpy(dtype=object)), each)
-    epochs = max(3, min(60, 60_000 // len(x)))
+    epochs = max(2, min(60, 45_000 // len(x)))
     return ByteNet(classes).fit(x, y, epochs, share=np.repeat(1 / each, each))
 
 

@@ -90,5 +90,37 @@ def test_errors(spark, tmp_path):
         warc.Reader(str(tmp_path / "no"), warc.read(spark, str(tmp_path)).schema).partitions()
     (tmp_path / "cut.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nabc")
     reader = warc.Reader(str(tmp_path), warc.read(spark, str(tmp_path)).schema)
-    with pytest.raises(EOFError):
+    with pytest.raises(warc.Malformed):
+        list(reader.read(reader.partitions()[0]))
+
+
+def test_append_and_overwrite(spark, tmp_path):
+    path = f"{tmp_path}/g"
+    for some, mode in ((ROWS[:2], "append"), (ROWS[2:4], "append")):
+        warc.archive(pages(spark, some), path, mode=mode)
+    assert sorted(r["page_id"] for r in warc.records(spark, path).collect()) == [1, 3, 4, 9]
+    warc.archive(pages(spark, ROWS[4:]), path, mode="overwrite")
+    assert sorted(r["page_id"] for r in warc.records(spark, path).collect()) == [7, 8, 10]
+    left = sorted(p.name for p in tmp_path.glob("g/*.warc.gz"))
+    assert left == sorted(n for names in warc.manifests(*warc.located(path)).values() for n in names)
+
+
+def test_common_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_PAYLOADS", 2)
+    rows = [(k, ("a", "b", "c", "d", None)[k % 5] if k % 7 else f"own {k}") for k in range(300)]
+    warc.archive(pages(spark, rows), f"{tmp_path}/h")
+    assert sorted(tuple(r) for r in warc.records(spark, f"{tmp_path}/h").collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("form", ["plain", "stream", "sized"])
+def test_malformed_records_are_skipped(spark, tmp_path, form):
+    good = [warc.record({"record_type": "response", "record_id": f"<urn:{k}>"}, b"payload %d" % k, True) for k in range(4)]
+    bad = [good[0].replace(b"Content-Length: 9", b"Content-Length: nine"), b"GARBAGE without a colon\r\n\r\nmore\r\n\r\n", good[1].replace(b"payload 1", b"payload x"), good[2].replace(b"Content-Length: 9\r\n", b"")]
+    parts = [good[0], bad[0], good[1], bad[1], bad[2], good[2], bad[3], good[3]]
+    file = tmp_path / ("x.warc" if form == "plain" else "x.warc.gz")
+    file.write_bytes(b"".join(parts) if form == "plain" else gzip.compress(b"".join(parts)) if form == "stream" else b"".join(warc.member(p, 1) for p in parts[:4]) + b"\x1f\x8b\x08\x04zz" + b"".join(warc.member(p, 1) for p in parts[4:]))
+    got = [r["record_id"] for r in warc.read(spark, str(file), malformed="skip").collect()]
+    assert got == [f"<urn:{k}>" for k in range(4)]
+    reader = warc.Reader(str(file), warc.read(spark, str(file)).schema)
+    with pytest.raises(warc.Malformed):
         list(reader.read(reader.partitions()[0]))
