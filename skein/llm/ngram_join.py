@@ -6,8 +6,13 @@ only reach the similarity if they share ``l`` columns among their first
 ``l`` growing with the size: see ``least_shared``); columns go by ascending frequency, as far as a bounded
 table of the most frequent ones tells, so that what many documents share comes last.
 Rows with such columns are dealt to blocks - those of one hottest column together, in
-blocks of bounded size. A row goes to the product of two blocks if it shares enough
-first columns with rows of the other one. In a product, overlap counts are
+blocks of bounded size - and multiplied in three steps. First each block by itself:
+its components are known then. Where a hottest column has many blocks, one row of each
+component (a representative) goes on to blocks of representatives, and so on while
+that joins any. Last, two blocks are multiplied with those of their rows that share
+enough first columns with a row of another component in the other block: what is one
+component by then, as a large group of near copies is, is not compared again, and no
+pair that could link two components is left out. In a product, overlap counts are
 accumulated column by column (sparsely for rare columns, as a product of dense
 slices for common ones) and compared with the bound that the two sizes give.
 
@@ -16,7 +21,9 @@ copies never becomes all its pairs; components of links are then contracted.
 
 A null or empty text, or one without words, has no n-grams and no links. Rows that
 share a key are one document. A null key gets the component of its set's smallest
-key, or null. An empty table gives no rows.
+key, or null. An empty table gives no rows. A very long text is one row of the
+incidence matrix, all of whose columns count. Columns of equal frequency (ties) go by
+their hash. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,14 +83,19 @@ def least_shared(n, percent: int, shared: int):
     return np.minimum(-(-percent * n // 100), np.maximum(shared, n // 32))
 
 
+def known(hashes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where among the sorted frequent hashes others are, and whether they are."""
+    if not len(frequent):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    return at, frequent[at] == hashes
+
+
 def first_columns(sets: list[np.ndarray], frequent: np.ndarray, counts: np.ndarray, percent: int, shared: int = 1) -> list[np.ndarray]:
     """Of each set, the rarest hashes, of which a set as similar must share ``least_shared``."""
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    if len(frequent) and len(flat):
-        at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
-        count = np.where(frequent[at] == flat, counts[at], 0)
-    else:
-        count = np.zeros(len(flat), np.int64)
+    at, there = known(flat, frequent)
+    count = np.where(there, counts[at], 0) if len(frequent) else np.zeros(len(flat), np.int64)
     out, at = [], 0
     for s in sets:
         c, most = count[at : at + len(s)], len(s) - -(-percent * len(s) // 100) + int(least_shared(len(s), percent, shared))
@@ -190,57 +202,122 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         for batch in slices(batches, ROWS):
             sets = ngram_sets(batch.column(1), words)
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            first = [c.view(np.int64) for c in first_columns(sets, frequent, counts, percent, shared)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(first, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "first"])
+            first = first_columns(sets, frequent, counts, percent, shared)
+            hot = [known(c, frequent)[1] for c in first]
+            split = [[c[h != rare].view(np.int64) for c, h in zip(first, hot, strict=True)] for rare in (True, False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(c, pa.list_(pa.int64())) for c in split)], names=["id", "n", "k1", "k2", "first", "hot"])
 
     # the first columns take most of this table's room: it goes once they have been dealt
     path = scratch_path(spark, "ngram-first")
-    schema = "id long, n long, k1 long, k2 long, first array<long>"
+    schema = "id long, n long, k1 long, k2 long, first array<long>, hot array<long>"
     source.mapInArrow(sign, schema).write.parquet(path)
     first = spark.read.schema(schema).parquet(path)
-    signed = written(first.drop("first"), "ngram-signed")
+    signed = written(first.drop("first", "hot"), "ngram-signed")
     sets = written(signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "ngram-sets")
-    # a document that is as similar may be shorter, down to this, and then shares as much as that calls for
-    shortest = F.ceil(F.col("n") * percent / 100)
-    need = F.least(F.ceil(shortest * percent / 100), F.greatest(F.lit(shared), F.floor(shortest / 32))).cast("int")
-    columns = first.filter("n > 0").join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.explode("first").alias("s"), "id", need.alias("need"))
-    columns = columns.withColumn("df", F.count("*").over(Window.partitionBy("s"))).filter("df > 1")
-    columns = written(columns.withColumn("own", F.count("*").over(Window.partitionBy("id"))).filter("own >= need"), "ngram-columns")
+    placed, blocks = _placed(first, sets, percent, shared, block_rows)
     remove(spark, path)
-    hottest = columns.groupBy("id").agg(F.max(F.struct("df", "s")).alias("h"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("h.df") / block_rows))
-    placed = columns.select("s", "id", "need").join(hottest.select("id", F.xxhash64(F.col("h.s"), part).alias("block")), "id")
-    placed = written(placed, "ngram-blocks")
-    other = placed.groupBy("s", F.col("block").alias("b")).agg(F.count("*").alias("n"))
-    met = placed.join(other, "s").filter("block != b or n > 1").groupBy(F.least("block", "b").alias("b1"), F.greatest("block", "b").alias("b2"), "id").agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    tiles = written(met.filter("n >= need").withColumn("rows", F.count("*").over(Window.partitionBy("b1", "b2"))).filter("rows > 1").select("b1", "b2", "id"), "ngram-tiles")
-
-    bit = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(FILTER_BITS))
-    # at most FILTER_BITS / 64 rows
-    bits = tiles.select(bit(F.col("id")).alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("w")).toPandas()
-    wanted = np.zeros(FILTER_BITS // 64, np.int64)
-    wanted[bits["at"].to_numpy(np.int64)] = bits["w"].to_numpy(np.int64)
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_worker()
-        for batch in slices(batches, ROWS):
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((wanted[at >> 6] >> (at & 63)) & 1 == 1))
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in ngram_sets(batch.column(1), words)], pa.list_(pa.int64()))], names=["id", "set"])
-
-    full = source.filter("id is not null").select("id", "t", bit(F.col("id")).alias("b")).mapInArrow(again, "id long, set array<long>")
-
-    def product(rows: pa.Table) -> pa.Table:
-        found = links(rows["id"].to_numpy(), [np.asarray(s, np.int64).view(np.uint64) for s in _arrays(rows["set"])], percent)
-        return pa.table({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
-
-    edges = tiles.join(full, "id").groupBy("b1", "b2").applyInArrow(product, "src long, dst long")
+    multiply = _Products(source, words, percent)
+    links_ = [multiply(_inside(placed))]
+    label = links_[0].groupBy("src").agg(F.min("dst").alias("dst"))
+    round_, waiting = 0, blocks.filter(F.col("df") > block_rows).select("id", "hot")
+    while not waiting.isEmpty():
+        # a row that points at none stands for its component
+        waiting = written(waiting.join(label.select(F.col("src").alias("id")), "id", "left_anti"), "ngram-representatives")
+        parts = waiting.groupBy("hot").agg(F.ceil(F.count("*") / block_rows).alias("parts"), F.count("*").alias("rows")).filter("rows > 1")
+        dealt = waiting.join(parts, "hot").select(F.xxhash64("hot", F.pmod(F.xxhash64("id", F.lit(round_)), "parts")).alias("b1"), "id")
+        found = multiply(dealt.select("b1", F.col("b1").alias("b2"), "id"))
+        if found.isEmpty():
+            break
+        links_.append(found)
+        new = found.groupBy("src").agg(F.min("dst").alias("dst"))
+        moved = label.withColumnRenamed("dst", "mid").join(new.select(F.col("src").alias("mid"), F.col("dst").alias("to")), "mid", "left").select("src", F.coalesce("to", "mid").alias("dst"))
+        label = written(moved.unionByName(new), "ngram-labels")
+        waiting = waiting.join(parts.filter("parts > 1").select("hot"), "hot", "left_semi")
+        round_ += 1
+    links_.append(multiply(_across(placed, label)))
+    edges = links_[0]
+    for more in links_[1:]:
+        edges = edges.unionByName(more)
     component = min_labels(edges)
     rows = signed.select("id", "n", "k1", "k2").join(sets, ["k1", "k2", "n"], "left").join(component.withColumnRenamed("id", "rep"), "rep", "left")
     return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
+def _placed(first: DataFrame, sets: DataFrame, percent: int, shared: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(s, id, need, block): the first columns that more than one set has, by the block of each set; and (id, hot, df): each set's hottest column."""
+    # a document that is as similar may be shorter, down to this, and then shares as much as that calls for
+    shortest = F.ceil(F.col("n") * percent / 100)
+    need = F.least(F.ceil(shortest * percent / 100), F.greatest(F.lit(shared), F.floor(shortest / 32))).cast("int")
+    rows = first.filter("n > 0").join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", need.alias("need"), "first", "hot")
+    # columns of the table of frequent ones are as many as that at most: their counts are broadcast, and none of them fills a task
+    hot = rows.select("id", "need", F.explode("hot").alias("s"))
+    hot = hot.join(F.broadcast(hot.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")), "s")
+    # a column that is not in that table is rare, or has a small share of all that are as common as the table's rarest
+    rare = rows.select("id", "need", F.explode("first").alias("s")).withColumn("df", F.count("*").over(Window.partitionBy("s"))).filter("df > 1")
+    columns = hot.select("s", "id", "need", "df").unionByName(rare.select("s", "id", "need", "df"))
+    columns = written(columns.withColumn("own", F.count("*").over(Window.partitionBy("id"))).filter("own >= need").drop("own"), "ngram-columns")
+    blocks = columns.groupBy("id").agg(F.max(F.struct("df", "s")).alias("h")).select("id", F.col("h.s").alias("hot"), F.col("h.df").alias("df"))
+    blocks = written(blocks.withColumn("block", F.xxhash64("hot", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / block_rows)))), "ngram-hottest")
+    return written(columns.drop("df").join(blocks.select("id", "block"), "id"), "ngram-blocks"), blocks
+
+
+def _inside(placed: DataFrame) -> DataFrame:
+    """(b1, b2, id): the rows of each block that share enough columns with others in it."""
+    shared = placed.groupBy("block", "s").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = placed.join(shared, ["block", "s"]).groupBy("block", "id").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need")
+    return met.select(F.col("block").alias("b1"), F.col("block").alias("b2"), "id")
+
+
+def _across(placed: DataFrame, label: DataFrame) -> DataFrame:
+    """(b1, b2, id): for pairs of blocks, the rows of either that share enough columns with rows of another component in the other one."""
+    rows = placed.join(label.select(F.col("src").alias("id"), "dst"), "id", "left").select("s", "id", "need", "block", F.coalesce("dst", "id").alias("c"))
+    held = rows.groupBy("s", F.col("block").alias("b")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    # columns that one component has alone, or one block, say nothing
+    several = held.groupBy("s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).filter("lo != hi and n > 1").select("s")
+    held = held.join(several, "s", "left_semi")
+    met = rows.join(held, "s").filter("block != b and not (lo = c and hi = c)")
+    met = met.groupBy(F.least("block", "b").alias("b1"), F.greatest("block", "b").alias("b2"), "id", "block", "c").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    met = written(met.filter("n >= need").select("b1", "b2", "id", F.col("block").alias("b"), "c"), "ngram-met")
+    sides = met.groupBy("b1", "b2", "b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    other = sides.select("b1", "b2", F.when(F.col("b") == F.col("b1"), F.col("b2")).otherwise(F.col("b1")).alias("b"), "lo", "hi")
+    return met.join(other, ["b1", "b2", "b"]).filter("not (lo = c and hi = c)").select("b1", "b2", "id")
+
+
+class _Products:
+    """Products of blocks: tables of (b1, b2, id) become a spanning forest of the links among the rows of each (b1, b2)."""
+
+    def __init__(self, source: DataFrame, words: int, percent: int):
+        self.source, self.words, self.percent = source.filter("id is not null"), words, percent
+
+    def __call__(self, tiles: DataFrame) -> DataFrame:
+        words, percent = self.words, self.percent
+        tiles = written(tiles, "ngram-tiles")
+        bit = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(FILTER_BITS))
+        # at most FILTER_BITS / 64 rows
+        bits = tiles.select(bit(F.col("id")).alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("w")).toPandas()
+        empty = tiles.sparkSession.createDataFrame([], "src long, dst long")
+        if bits.empty:
+            return empty
+        wanted = np.zeros(FILTER_BITS // 64, np.int64)
+        wanted[bits["at"].to_numpy(np.int64)] = bits["w"].to_numpy(np.int64)
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            free_worker()
+            for batch in slices(batches, ROWS):
+                at = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((wanted[at >> 6] >> (at & 63)) & 1 == 1))
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in ngram_sets(batch.column(1), words)], pa.list_(pa.int64()))], names=["id", "set"])
+
+        def product(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("id")
+            found = links(rows["id"].to_numpy(), [np.asarray(s, np.int64).view(np.uint64) for s in _arrays(rows["set"])], percent)
+            return pa.table({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
+
+        full = self.source.select("id", "t", bit(F.col("id")).alias("b")).mapInArrow(again, "id long, set array<long>")
+        return written(tiles.join(full, "id").groupBy("b1", "b2").applyInArrow(product, "src long, dst long"), "ngram-links")
+
+
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     out = []
     for chunk in column.chunks:

@@ -122,3 +122,15 @@ def test_bounds_keep_every_link():
 def test_sets_of_slices():
     texts = ["Ä b c d e", "né à", "a b c d"] * 3
     assert [len(s) for s in ngram_join.ngram_sets(pa.array(["q", *texts]).slice(1), 4)] == [2, 1, 1] * 3
+
+
+def test_large_groups_of_near_copies_are_not_compared_block_by_block(spark, monkeypatch):
+    g = random.Random(5)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(k, " ".join([*base[:60], f"own{k}", *base[60:]])) for k in range(90)] + [(100 + k, " ".join(g.choice(base) for _ in range(80))) for k in range(10)]
+    seen = []
+    across = ngram_join._across
+    monkeypatch.setattr(ngram_join, "_across", lambda *a: seen.append(across(*a)) or seen[-1])
+    got = run(spark, rows, block_rows=8)
+    assert got == brute(rows) and {c for k, _, c in got if k < 90} == {0}
+    assert seen[0].filter("id < 90").count() == 0
