@@ -257,10 +257,9 @@ def _placed(first: DataFrame, sets: DataFrame, percent: int, shared: int, block_
     columns = hot.select("s", "id", "need", "df").unionByName(rare.select("s", "id", "need", "df"))
     own = F.count("*").over(Window.partitionBy("id"))
     columns = written(columns.withColumn("own", own).filter("own >= need").drop("own"), "ngram-columns")
-    # rows that went left columns behind that no two rows have any more, and so on
-    for _ in range(2):
-        shared_ = columns.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-        columns = written(columns.drop("df").join(shared_, "s").withColumn("own", own).filter("own >= need").select("s", "id", "need", "df"), "ngram-columns")
+    # rows that went left columns behind that no two rows have any more
+    again = columns.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    columns = written(columns.drop("df").join(again, "s").withColumn("own", own).filter("own >= need").select("s", "id", "need", "df"), "ngram-columns")
     blocks = columns.groupBy("id").agg(F.max(F.struct("df", "s")).alias("h")).select("id", F.col("h.s").alias("hot"), F.col("h.df").alias("df"))
     blocks = written(blocks.withColumn("block", F.xxhash64("hot", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / block_rows)))), "ngram-hottest")
     return written(columns.drop("df").join(blocks.select("id", "block"), "id"), "ngram-blocks"), blocks
@@ -277,7 +276,7 @@ def _across(placed: DataFrame, label: DataFrame) -> DataFrame:
     """(b1, b2, id): for pairs of blocks, the rows of either that share enough columns with rows of another component in the other one."""
     rows = placed.join(label.select(F.col("src").alias("id"), "dst"), "id", "left").select("s", "id", "need", "block", F.coalesce("dst", "id").alias("c"))
     own = F.count("*").over(Window.partitionBy("id"))
-    for _ in range(3):
+    for _ in range(2):
         # columns that one component has alone, or one block, say nothing; nor do rows with too few others
         held = rows.groupBy("s", F.col("block").alias("b")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
         several = held.groupBy("s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).filter("lo != hi and n > 1").select("s")
