@@ -129,41 +129,42 @@ class Lexicon:
             row[: len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
         best_d = np.full(m, 127, np.int8)
         best_t = np.full(m, -1, np.int64)
-        padded = np.pad(codes, ((0, 0), (band + 1, band + longest + 1)))
-        # states hold distances to the word prefixes of length depth - band to depth + band only
+        padded = np.ascontiguousarray(np.pad(codes, ((0, 0), (band + 1, band + longest + 1))).T)
+        # states (a column for each word) hold distances to the word prefixes of length depth - band to depth + band only
         start = np.abs(np.arange(-band, band + 1)).astype(np.int8)
         start[:band] = 100
-        start = np.broadcast_to(start, (m, 2 * band + 1))
+        start = np.repeat(start[:, None], m, axis=1)
         stack = [(0, np.arange(m), start, 0, None, "")]  # the last two: the state before, and the character since
         while stack:
             node, who, state, depth, older, last = stack.pop()
             if (k := self.ends[node]) >= 0:
                 at = n[who] - depth + band
                 if self.stems[k]:  # the nearest of all prefixes that the word has
-                    d = np.where(np.arange(2 * band + 1) <= at[:, None], state, 127).min(1)
+                    d = np.where(np.arange(2 * band + 1)[:, None] <= at, state, 127).min(0)
                 else:
-                    d = np.where((at >= 0) & (at <= 2 * band), state[np.arange(len(who)), np.clip(at, 0, 2 * band)], 127)
+                    d = np.where((at >= 0) & (at <= 2 * band), state[np.clip(at, 0, 2 * band), np.arange(len(who))], 127)
                 heavier = (best_t[who] < 0) | (self.weights[k] > self.weights[np.maximum(best_t[who], 0)])
                 better = (d <= self.limits[k]) & ((d < best_d[who]) | ((d == best_d[who]) & heavier))
                 best_d[who[better]], best_t[who[better]] = d[better], k
             if not self.children[node]:
                 continue
-            near = padded[who, depth + 1 : depth + 2 * band + 2]  # the characters that the new states end with
-            kept = np.full((len(who), 2 * band + 1), 100, np.int8)
-            kept[:, :-1] = state[:, 1:] + 1
+            near = padded[depth : depth + 2 * band + 2].take(who, 1)
+            before, near = near[:-1], near[1:]  # the characters that the new states end with, and those before them
+            kept = np.full(state.shape, 100, np.int8)
+            kept[:-1] = state[1:] + 1
             for c, child in self.children[node].items():
                 new = np.minimum(kept, state + (near != ord(c)))
                 if self.swaps and depth:
-                    swapped = (near == ord(last)) & (padded[who, depth : depth + 2 * band + 1] == ord(c))
+                    swapped = (near == ord(last)) & (before == ord(c))
                     np.minimum(new, older + 1, out=new, where=swapped)
                 if band > depth:
-                    new[:, : band - depth - 1] = 100
-                    new[:, band - depth - 1] = depth + 1
+                    new[: band - depth - 1] = 100
+                    new[band - depth - 1] = depth + 1
                 for j in range(1, 2 * band + 1):
-                    np.minimum(new[:, j], new[:, j - 1] + 1, out=new[:, j])
-                live = new.min(1) <= self.reach[child]
-                if live.any():
-                    stack.append((child, who[live], new[live], depth + 1, state[live], c))
+                    np.minimum(new[j], new[j - 1] + 1, out=new[j])
+                live = np.flatnonzero(new.min(0) <= self.reach[child])
+                if len(live):
+                    stack.append((child, who[live], new.take(live, 1), depth + 1, state.take(live, 1), c))
         return [(t, d) if t >= 0 else None for t, d in zip(best_t.tolist(), best_d.tolist(), strict=True)]
 
 
@@ -319,7 +320,7 @@ def near_weights(lexicon: Lexicon, found: list, y: np.ndarray) -> np.ndarray:
     return NEAR * lexicon.weights / (1 + harmless) ** 2
 
 
-def mine(counts: pd.DataFrame, words: tuple[float, float], texts: tuple[float, float], least_share: float = 0.006, least_lift: float = 1.6, sure: float = 6.0, sure_texts: float = 12.0) -> tuple[list[str], list[float], set[str]]:
+def mine(counts: pd.DataFrame, words: tuple[float, float], texts: tuple[float, float], least_share: float = 0.01, least_lift: float = 1.6, sure: float = 6.0, sure_texts: float = 12.0) -> tuple[list[str], list[float], set[str]]:
     """Terms whose rate in toxic texts is significantly higher, their log-odds, and which of them are stems.
 
     ``counts``: w, stem, and of each label the texts (a, b), occurrences (ao, bo) and the sums over texts of their squares by the text's
@@ -395,10 +396,12 @@ def candidates(texts: pa.Array, labels: np.ndarray, folds: np.ndarray) -> pa.Rec
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", per_label: int = 4000) -> Model:
     """A model of ``labels`` learned from the rows of ``docs`` where ``learn`` holds."""
     sample = labelled(docs, labels, learn, label, key, text, per_label).select(F.coalesce(text, F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
-    # near copies would make each of their words look significant: most share their words of smallest hash under one of three hashes
+    # near copies would make each of their words look significant: most share their two long words of smallest hash under one of four hashes
     words = F.array_distinct(F.split(F.lower("t"), r"\s+"))
-    for k in range(3):
-        sample = sample.withColumn("s", F.slice(F.array_sort(F.transform(words, lambda w, k=k: F.xxhash64(F.lit(k), w))), 1, 4)).dropDuplicates(["s", "y"])
+    long = F.filter("_w", lambda w: F.length(w) >= 7)
+    sample = sample.withColumn("_w", words).withColumn("_w", F.when(F.size(long) >= 4, long).otherwise(F.col("_w")))
+    for k in range(4):
+        sample = sample.withColumn("s", F.slice(F.array_sort(F.transform("_w", lambda w, k=k: F.xxhash64(F.lit(k), w))), 1, 2)).dropDuplicates(["s", "y"])
     sample = written(sample.select("t", "y", F.pmod(F.xxhash64("s"), F.lit(FOLDS)).cast("int").alias("f")).repartition(TASKS, "t"), "toxic-sample")
 
     def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
