@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from skein.errors import GraphError, OutOfRange
+from skein.plans.scratch import written
 
 EDGE_KEYS = ("src", "dst", "eid")
 
@@ -68,13 +69,16 @@ class Graph:
             if e.filter(F.greatest(F.abs("src"), F.abs("dst")) > F.lit(2**63 - 1).cast("decimal(20,0)")).limit(1).count():
                 raise OutOfRange("vertex ids must fit a signed 64-bit integer")
             e = e.withColumns({"src": F.col("src").cast("long"), "dst": F.col("dst").cast("long")})
-        if "eid" not in e.columns:
+        numbered = "eid" in e.columns
+        if not numbered:
             e = e.withColumn("eid", F.monotonically_increasing_id())
         e = _ordered(e, EDGE_KEYS)
         if require_sorted:
             late = e.withColumn("_p", F.spark_partition_id()).withColumn("_b", F.lag("src").over(Window.partitionBy("_p").orderBy("eid"))).filter("_b > src").limit(1).count()
             if late:
                 raise GraphError("edges are not sorted by source")
+        if not numbered:
+            e = written(e, "edges")  # a plan that runs again may number its rows otherwise
         e = deduplicated(e, keep)
         if vertices is not None:
             v = _ordered(vertices.withColumnRenamed(id, "id"), ("id",))
@@ -255,6 +259,11 @@ class Graph:
     def num_partitions(self) -> int:
         return max(1, len(self.boundaries))
 
+    def capabilities(self) -> dict[str, bool]:
+        """What operators may expect of the graph."""
+        columns = set(self.vertices.columns) | set(self.edges.columns)
+        return {"directed": self.directed, "sequential": self.sequential, "partitioned": bool(self.boundaries), "weighted": bool(set(self.edges.columns) - set(EDGE_KEYS)), "labelled": "name" in columns, "valued": self.value is not None}
+
     def vertices_of_partition(self, pid: int) -> DataFrame:
         return self.vertices.join(self.partition_ids().filter(_same("pid", pid)).select("id"), "id", "left_semi")
 
@@ -265,6 +274,14 @@ class Graph:
         joined = self.vertices.drop(name).join(table.select("id", name), "id", "left")
         return self._with(joined if default is None else joined.withColumn(name, F.coalesce(name, F.lit(default))))
 
+    def contains_property(self, name: str) -> bool:
+        return name in self.vertices.columns and name != "id"
+
+    def property_of(self, u: Any, name: str, default: Any = None) -> Any:
+        """A vertex's value of a property, or ``default`` where it has none."""
+        row = self.find_vertex(u).select(name).first() if self.contains_property(name) else None
+        return default if row is None or row[0] is None else row[0]
+
     # -- changes ---------------------------------------------------------------------
 
     def add_vertex(self, u: Any = None, **values: Any) -> tuple[Graph, Any]:
@@ -304,7 +321,7 @@ class Graph:
         """Edges appended, and with them vertices that are not there yet."""
         top = self.edges.agg(F.max("eid")).first()[0]
         if "eid" not in rows.columns:
-            rows = rows.withColumn("eid", F.monotonically_increasing_id() + F.lit(0 if top is None else top + 1))
+            rows = written(rows.withColumn("eid", F.monotonically_increasing_id() + F.lit(0 if top is None else top + 1)), "edges")
         edges = deduplicated(self.edges.unionByName(rows, allowMissingColumns=True), keep)
         ends = rows.select(F.col("src").alias("id")).unionAll(rows.select(F.col("dst").alias("id"))).distinct()
         new = ends.join(self.vertices.select("id"), "id", "left_anti")

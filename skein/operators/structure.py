@@ -14,57 +14,65 @@ from skein.plans.iterate import Rounds
 from skein.plans.scratch import written
 
 
-def _pairs(g: Graph) -> DataFrame:
-    """Distinct edges as pairs a < b, without loops."""
-    return g.edges.filter("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+def _closed(g: Graph) -> DataFrame:
+    """(w, u, v) of each triangle once, and for each of its pairs which arcs there are: ``wu`` is whether w points at u, and so on.
 
-
-def triangles(g: Graph) -> DataFrame:
-    """(a, b, c), a < b < c, of each triangle, direction and parallel edges aside.
-
-    Edges point from the end of lower degree to the other, so that a hub has few edges out and wedges stay few.
+    Pairs are oriented from the end of lower degree to the other, so that a hub has few of them and wedges stay few.
     """
-    pairs = written(_pairs(g), "pairs")
+    a, b = F.least("src", "dst"), F.greatest("src", "dst")
+    there = lambda end: F.max(F.col("src") == F.col(end))
+    ends = g.arcs.filter("src != dst").select("src", a.alias("a"), b.alias("b"))
+    pairs = written(ends.groupBy("a", "b").agg(there("a").alias("ab"), there("b").alias("ba")), "pairs")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
     both = pairs.join(degree.withColumnsRenamed({"id": "a", "d": "da"}), "a").join(degree.withColumnsRenamed({"id": "b", "d": "db"}), "b")
     up = F.struct("da", "a") < F.struct("db", "b")
+    either = lambda x, y: F.when(up, F.col(x)).otherwise(F.col(y))
     # a wedge's middle end needs the order of its two far ends: the degree travels along
-    out = written(both.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(up, F.col("db")).otherwise(F.col("da")).alias("dv")), "oriented")
-    x, y = out.alias("x"), out.alias("y")
-    wedges = x.join(y, F.col("x.u") == F.col("y.u")).filter(F.struct(F.col("x.dv"), F.col("x.v")) < F.struct(F.col("y.dv"), F.col("y.v"))).select(F.col("x.u").alias("w"), F.col("x.v").alias("u"), F.col("y.v").alias("v"))
-    closed = wedges.join(out.select("u", "v"), ["u", "v"]).select(F.array_sort(F.array("w", "u", "v")).alias("t"))
-    return closed.select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
+    out = both.select(either("a", "b").alias("w"), either("b", "a").alias("v"), either("db", "da").alias("dv"), either("ab", "ba").alias("wv"), either("ba", "ab").alias("vw"))
+    out = written(out, "oriented")
+    first = out.withColumnsRenamed({"v": "u", "dv": "du", "wv": "wu", "vw": "uw"})
+    wedges = first.join(out, "w").filter(F.struct("du", "u") < F.struct("dv", "v")).drop("du", "dv")
+    return wedges.join(out.select(F.col("w").alias("u"), "v", F.col("wv").alias("uv"), F.col("vw").alias("vu")), ["u", "v"])
+
+
+def triangles(g: Graph) -> DataFrame:
+    """(a, b, c), a < b < c, of each triangle, direction and parallel edges aside."""
+    three = _closed(g).select(F.array_sort(F.array("w", "u", "v")).alias("t"))
+    return three.select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
 
 
 def triangle_count(g: Graph) -> int:
-    return triangles(g).count()
+    return _closed(g).count()
 
 
 def directed_triangle_count(g: Graph) -> int:
     """Transitive triads: u to v, v to w and u to w, all different, on distinct edges."""
-    return _triads(g, closing=("src", "w")).count()
+    return _triads(g, [(x, y, z) for x in "wuv" for y in "wuv" for z in "wuv" if len({x, y, z}) == 3], closing=(0, 2))
 
 
 def cyclic_triangle_count(g: Graph) -> int:
     """Directed cycles of three vertices."""
-    return _triads(g, closing=("w", "src")).count() // 3
+    return _triads(g, [("w", "u", "v"), ("w", "v", "u")], closing=(2, 0))
 
 
-def _triads(g: Graph, closing: tuple[str, str]) -> DataFrame:
-    e = written(g.arcs.filter("src != dst").select("src", "dst").distinct(), "arcs")
-    two = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("w")), "dst").filter("src != w")
-    third = e.select(F.col("src").alias(closing[0]), F.col("dst").alias(closing[1]))
-    return two.join(third, ["src", "w"], "left_semi")
+def _triads(g: Graph, orders: list[tuple[str, str, str]], closing: tuple[int, int]) -> int:
+    """The ways to order a triangle's vertices so that the first points at the second, that at the third, and the closing arc is there."""
+    ways = [(F.col(t[0] + t[1]) & F.col(t[1] + t[2]) & F.col(t[closing[0]] + t[closing[1]])).cast("long") for t in orders]
+    total = ways[0]
+    for way in ways[1:]:
+        total = total + way
+    return _closed(g).agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
 
 
 def jaccard(g: Graph) -> DataFrame:
     """(src, dst, eid, common, union_size, jaccard) of each edge that is no loop, parallel ones too: likeness of its ends' sets of out-neighbours."""
-    near = written(g.arcs.filter("src != dst").select("src", "dst").distinct(), "neighbours")
+    near = g.arcs.filter("src != dst").select("src", "dst").distinct()
     size = near.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
-    # neighbours of the source that the target has too
-    hits = near.join(near.select("src", F.col("dst").alias("z")), "src").filter("z != dst").join(near.select(F.col("src").alias("dst"), F.col("dst").alias("z")), ["dst", "z"], "left_semi")
-    common = hits.groupBy("src", "dst").agg(F.count("*").alias("common"))
-    rows = g.arcs.filter("src != dst").select("src", "dst", "eid").join(common, ["src", "dst"], "left")
+    # a common neighbour makes a triangle with the edge's ends, both of which point at it
+    pair = lambda x, y, z: F.when(F.col(x + z) & F.col(y + z), F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
+    hits = _closed(g).select(F.explode(F.array(pair("w", "u", "v"), pair("w", "v", "u"), pair("u", "v", "w"))).alias("p")).filter("p is not null")
+    common = hits.groupBy("p.a", "p.b").agg(F.count("*").alias("common"))
+    rows = g.arcs.filter("src != dst").select("src", "dst", "eid").withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}).join(common, ["a", "b"], "left").drop("a", "b")
     rows = rows.join(size.withColumnsRenamed({"id": "src", "n": "a"}), "src", "left").join(size.withColumnsRenamed({"id": "dst", "n": "b"}), "dst", "left")
     rows = rows.withColumn("common", F.coalesce("common", F.lit(0))).withColumn("union_size", F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0)) - F.col("common"))
     return rows.select("src", "dst", "eid", "common", "union_size", F.when(F.col("union_size") == 0, 0.0).otherwise(F.col("common") / F.col("union_size")).alias("jaccard"))
@@ -118,21 +126,26 @@ def label_propagation(g: Graph, labels: DataFrame | None = None, max_iterations:
 def minimum_spanning_forest(g: Graph, weight: Column | str, descending: bool = False) -> DataFrame:
     """The edges of a spanning forest of least total weight (largest if ``descending``), direction aside: rounds in which every tree takes its best edge out.
 
-    Equal weights are told apart by ``eid``, so the forest is unique; loops are never taken.
+    Of the edges between two vertices, either way, only the best counts. Equal weights are told apart by ``eid`` and the ends, so the
+    forest is unique, and right where both directions of a pair are stored; loops are never taken.
     """
     w = F.col(weight) if isinstance(weight, str) else weight
-    edges = written(g.edges.filter("src != dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), (-w if descending else w).alias("w"), "eid"), "mst-edges")
-    tree = Rounds(edges.select("eid"), "mst")
+    pairs = g.edges.filter("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (-w if descending else w).alias("w"), "eid", "src", "dst")
+    best = F.min(F.struct("w", "eid", "src", "dst")).alias("e")
+    edges = written(pairs.groupBy("a", "b").agg(best), "mst-edges")
+    tree = Rounds(edges.select("e.src", "e.dst", "e.eid"), "mst")
     while not edges.isEmpty():
-        ends = edges.select(F.col("a").alias("id"), "w", "eid").unionAll(edges.select(F.col("b").alias("id"), "w", "eid"))
-        best = ends.groupBy("id").agg(F.min_by("eid", F.struct("w", "eid")).alias("eid")).select("eid").distinct()
-        taken = tree.add(best)
-        label = written(min_labels(edges.join(taken, "eid", "left_semi"), "a", "b"), "mst-labels")
+        ends = edges.select(F.col("a").alias("id"), "e").unionAll(edges.select(F.col("b").alias("id"), "e"))
+        chosen = written(ends.groupBy("id").agg(F.min("e").alias("e")).select("e").distinct(), "mst-chosen")
+        tree.add(chosen.select("e.src", "e.dst", "e.eid"))
+        label = written(min_labels(edges.join(chosen, "e", "left_semi"), "a", "b"), "mst-labels")
         to = lambda c: label.withColumnsRenamed({"id": c, "component": f"{c}_"})  # noqa: B023, E731
-        edges = written(edges.join(to("a"), "a").join(to("b"), "b").filter("a_ != b_").select(F.col("a_").alias("a"), F.col("b_").alias("b"), "w", "eid"), "mst-edges")
+        left = edges.join(to("a"), "a").join(to("b"), "b").filter("a_ != b_")
+        # of the edges between two trees only the best can be chosen
+        edges = written(left.groupBy(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")).agg(F.min("e").alias("e")), "mst-edges")
     if not tree.n:
         return g.edges.limit(0)
-    return g.edges.join(tree.all().distinct(), "eid", "left_semi")
+    return g.edges.join(tree.all(), ["src", "dst", "eid"], "left_semi").dropDuplicates(["src", "dst", "eid"]).select(*g.edges.columns)
 
 
 #: The same forest whichever algorithm a caller knows it by.
@@ -166,17 +179,17 @@ def pagerank(g: Graph, damping: float = 0.85, tolerance: float = 1e-4, max_itera
     n = g.num_vertices()
     if not n:
         return g.vertices.select("id", F.lit(0.0).alias("score"))
-    start = g.vertices.select("id").join(linked, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("score"), F.lit(1.0).alias("change"))
+    start = g.vertices.select("id").join(linked, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("score"), F.lit(float("inf")).alias("change"))
     rounds = Rounds(start, "pagerank")
     state = rounds.add(start)
     for _ in range(max_iterations):
-        hung = state.filter("not linked").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+        change, hung = state.agg(F.sum("change"), F.coalesce(F.sum(F.when(~F.col("linked"), F.col("score"))), F.lit(0.0))).first()
+        if change < tolerance:
+            break
         base = (1 - damping + damping * hung) / n
         got = share.join(state.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         new = F.lit(base) + damping * F.coalesce("got", F.lit(0.0))
         state = rounds.add(state.join(got, "id", "left").select("id", "linked", new.alias("score"), F.abs(new - F.col("score")).alias("change")))
         rounds.forget(rounds.n - 2)
-        if state.agg(F.sum("change")).first()[0] < tolerance:
-            break
     return state.select("id", "score")
 

@@ -46,7 +46,8 @@ def bfs(g: Graph, sources: Any, reverse: bool = False, max_depth: int | None = N
 
     ``reverse`` follows edges backwards; ``prune`` is a predicate on ids whose vertices are reached but not left.
     """
-    arcs = (g.transpose() if reverse else g).arcs.filter("src != dst").select("src", "dst")
+    # written once: every round reads it
+    arcs = written((g.transpose() if reverse else g).arcs.filter("src != dst").select("src", "dst"), "bfs-arcs")
     start = source_rows(g, sources).select("id", F.lit(0).alias("depth"), F.lit(None).cast(g.vertices.schema["id"].dataType).alias("parent"))
     rounds = Rounds(start, "bfs")
     frontier = rounds.add(start)
@@ -104,7 +105,7 @@ def _weighted(g: Graph, weight: Column | str | None) -> DataFrame:
 
 def _relaxed(g: Graph, sources: Any, weight, combine, minimize: bool, zero: Any, most_rounds: int | None, negative: bool) -> tuple[DataFrame, DataFrame | None, int]:
     """Distances after the last round, what it improved (None if nothing), and the rounds taken."""
-    arcs = _weighted(g, weight)
+    arcs = written(_weighted(g, weight), "path-arcs")  # every round reads it
     if not negative and not arcs.filter("w < 0").limit(1).isEmpty():
         raise OutOfRange("negative weights: use bellman_ford")
     start = source_rows(g, sources)
@@ -113,7 +114,7 @@ def _relaxed(g: Graph, sources: Any, weight, combine, minimize: bool, zero: Any,
     rounds = Rounds(state, "paths")
     state = rounds.add(state)
     # of equal distances the smaller predecessor
-    best = F.min_by if minimize else F.max_by
+    first = F.struct("d", "src") if minimize else F.struct((-F.col("d")).alias("d"), "src")
     key = lambda c: F.col(c)
     top = F.min if minimize else F.max
     n = most_rounds if most_rounds is not None else None
@@ -121,7 +122,7 @@ def _relaxed(g: Graph, sources: Any, weight, combine, minimize: bool, zero: Any,
     while n is None or k < n:
         k += 1
         step = state.filter("fresh").select(F.col("id").alias("src"), "distance").join(arcs, "src")
-        offers = step.select(F.col("dst").alias("id"), combine(F.col("distance"), F.col("w")).cast(kind).alias("d"), "src").groupBy("id").agg(top("d").alias("d"), best("src", F.struct("d", "src") if minimize else F.col("d")).alias("p"))
+        offers = step.select(F.col("dst").alias("id"), combine(F.col("distance"), F.col("w")).cast(kind).alias("d"), "src").groupBy("id").agg(top("d").alias("d"), F.min_by("src", first).alias("p"))
         both = state.drop("fresh").join(offers, "id", "full_outer")
         better = F.col("d").isNotNull() & (F.col("distance").isNull() | ((F.col("d") < F.col("distance")) if minimize else (F.col("d") > F.col("distance"))))
         new = rounds.add(both.select("id", F.when(better, key("d")).otherwise(key("distance")).alias("distance"), F.when(better, key("p")).otherwise(key("predecessor")).alias("predecessor"), F.coalesce(better, F.lit(False)).alias("fresh")))

@@ -38,6 +38,12 @@ def edgelist(g: Graph, value: Column | str | None = None, basic: bool = False) -
     return _valued(e, ["src", "dst"] if basic else ["src", "dst", "eid"] if value is not None else e.columns, value)
 
 
+def edgelist_of(edges: DataFrame, src: str = "src", dst: str = "dst", value: Column | str | None = None) -> DataFrame:
+    """An edge table that is no graph's, as a list of edges."""
+    e = edges.withColumnsRenamed({src: "src", dst: "dst"})
+    return _valued(e, ["src", "dst"] if value is not None else e.columns, value)
+
+
 def incidence(g: Graph, u: Any, value: Column | str | None = None, basic: bool = False) -> DataFrame:
     """Edges out of a vertex."""
     e = g.out_edges(u)
@@ -68,6 +74,10 @@ def _ends(g: Graph, edges: DataFrame, end: str, value: Column | str | None, basi
     return _valued(found, ["id"] if value is not None else found.columns, value)
 
 
+#: The same views under the names that say their direction.
+out_incidence, out_neighbors = incidence, neighbors
+
+
 def transpose(g: Graph) -> Graph:
     return g.transpose()
 

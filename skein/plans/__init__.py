@@ -1 +1 @@
-"""Plan helpers: shared scratch tables, iteration and size-checked broadcasts."""
+"""Plan helpers: shared scratch tables and iteration."""

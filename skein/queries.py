@@ -203,6 +203,94 @@ def vertex_value_join(spark, d):
     return geography(spark, d).targets().select("src", "dst", "dst_name")
 
 
+@query(f"with e as ({GEOGRAPHY}), v as ({PLACES}) select src, dst, name as src_name from e join v on id = src")
+def source_value_join(spark, d):
+    return geography(spark, d).sources().select("src", "dst", "src_name")
+
+
+@query(f"with v as ({PLACES}) select id, name from v where id = {NATION + 7}")
+def find_vertex(spark, d):
+    return geography(spark, d).find_vertex(NATION + 7)
+
+
+@query(f"with v as ({PLACES}) select id from v where id >= {NATION} and id < {CUSTOMER}")
+def vertexlist_range(spark, d):
+    return views.vertexlist(geography(spark, d), first=NATION, last=CUSTOMER, basic=True)
+
+
+@query(f"with v as ({PLACES}) select id, name from v where id in (select s_suppkey + {SUPPLIER} from supplier where s_nationkey < 5)")
+def vertexlist_subset(spark, d):
+    some = _t(spark, d, "supplier").filter("s_nationkey < 5").select((F.col("s_suppkey") + SUPPLIER).alias("id"))
+    return views.vertexlist(geography(spark, d), subset=some)
+
+
+@query(f"with v as ({PLACES}) select id, upper(name) as value from v")
+def vertexlist_value(spark, d):
+    return views.vertexlist(geography(spark, d), value="upper(name)")
+
+
+@query("select l_suppkey as src, l_partkey as dst, l_quantity as value from lineitem")
+def edgelist_of_table(spark, d):
+    return views.edgelist_of(_t(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity")
+
+
+@query(f"with e as ({PURCHASES}) select dst from e where src = 7")
+def basic_incidence(spark, d):
+    return views.out_incidence(purchases(spark, d), 7, basic=True)
+
+
+@query(f"with e as ({PURCHASES}) select src from e where dst = {SUPPLIER + 7}")
+def basic_in_incidence(spark, d):
+    return views.in_incidence(purchases(spark, d), SUPPLIER + 7, basic=True)
+
+
+@query(f"with e as ({PURCHASES}) select dst as id from e where src = 7")
+def basic_neighbors(spark, d):
+    return views.out_neighbors(purchases(spark, d), 7, basic=True)
+
+
+@query(f"with e as ({PURCHASES}) select src as id from e where dst = {SUPPLIER + 7}")
+def basic_in_neighbors(spark, d):
+    return views.in_neighbors(purchases(spark, d), SUPPLIER + 7, basic=True)
+
+
+@query(f"with e as ({TRADE}) select n_name as name, value from e join nation on n_nationkey = dst where src = 3 and value > (select avg(value) from e) order by value desc limit 5")
+def piped_views(spark, d):
+    """An adaptor, a filter, a projection and a top-k in one chain."""
+    g = trade(spark, d)
+    mean = g.edges.agg(F.avg("value").alias("mean"))
+    return views.pipe(g, views.adaptor(views.incidence)(3), lambda e: e.join(F.broadcast(mean)).filter("value > mean"), lambda e: e.join(g.vertices, F.col("dst") == F.col("id")).select("name", "value"), lambda e: e.orderBy(F.desc("value")).limit(5))
+
+
+@query(f"with e as ({TRADE}) select (select count(*) > 0 from e where src = 3 and dst = 5) as forth, (select count(*) > 0 from e where src = 5 and dst = 3) as back, (select count(*) > 0 from nation where n_nationkey = 24) as vertex, (select count(*) > 0 from nation where n_nationkey = 25) as none, (select n_name from nation where n_nationkey = 7) as name, 'trade' as value, 4::bigint as partitions")
+def graph_lookups(spark, d):
+    g = trade(spark, d)
+    g = Graph(g.vertices, g.edges, value="trade", boundaries=(0, 5, 10, 20))
+    row = (g.contains_out_edge(3, 5), g.contains_in_edge(3, 5), g.contains_vertex(24), g.contains_vertex(25), g.vertex_value(7, "name"), g.value, g.num_partitions())
+    return spark.createDataFrame([row], "forth boolean, back boolean, vertex boolean, none boolean, name string, value string, partitions long")
+
+
+@query("select n_nationkey::bigint as id, n_name as name, coalesce(n, 0) as customers from nation left join (select c_nationkey, count(*) as n from customer where c_acctbal > 0 group by all) on c_nationkey = n_nationkey")
+def vertex_property(spark, d):
+    side = _t(spark, d, "customer").filter("c_acctbal > 0").groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.count("*").alias("customers"))
+    return trade(spark, d).with_property(side, "customers", 0).vertices.select("id", "name", "customers")
+
+
+@query(f"with e as ({TRADE}) select src, dst, value from e")
+def keep_all(spark, d):
+    return trade(spark, d).filtered().edges.select("src", "dst", "value")
+
+
+@query(f"with e as ({TRADE}) select src, dst, value from e where src % 2 = 0 and dst % 2 = 0")
+def induced_subgraph(spark, d):
+    return trade(spark, d).filtered(lambda c: F.col(c) % 2 == 0, strict=True).edges.select("src", "dst", "value")
+
+
+@query("select n_nationkey::bigint as id, null::double as distance, n_nationkey::bigint as predecessor from nation")
+def init_shortest_paths(spark, d):
+    return traverse.init_shortest_paths(trade(spark, d))
+
+
 @query(f"with {ITEMS}, e as ({COPURCHASE}) select dst as src, src as dst from e")
 def transpose(spark, d):
     return copurchase(spark, d).transpose().edges.select("src", "dst")
@@ -342,6 +430,25 @@ def dfs_edge_classes(spark, d):
     return traverse.dfs_edges(turns(spark, d))
 
 
+#: Paths from the roots of a forest, each vertex's place in the order of visits, and how many hang below it.
+VISITS = f"g as ({GEOGRAPHY}), w(id, parent, root, depth, path) as (select r_regionkey::bigint, null::bigint, r_regionkey::bigint, 0, [r_regionkey::bigint] from region union all select g.dst, g.src, w.root, w.depth + 1, list_append(w.path, g.dst) from w join g on g.src = w.id), o as (select *, row_number() over (partition by root order by path) - 1 as place from w), below as (select a.id, count(*) as n from o a join o b on b.path[1 : len(a.path)] = a.path group by all), v as (select o.id, parent, root, depth::bigint as depth, 2 * place - depth as discover, 2 * place - depth + 2 * n - 1 as finish from o join below on below.id = o.id)"
+
+
+@query(f"with recursive {VISITS} select id, parent, depth, discover, finish from v")
+def dfs_forest(spark, d):
+    return traverse.dfs(geography(spark, d)).select("id", "parent", "depth", "discover", "finish")
+
+
+@query(f"with recursive {VISITS} select id, root as component, row_number() over (partition by root order by finish desc) - 1 as position from v")
+def topological_sort_forest(spark, d):
+    return traverse.topological_sort(geography(spark, d)).select("id", "component", "position")
+
+
+@query(f"with recursive {VISITS} select dst, src, coalesce(depth, 0) as layer from g join v on v.id = g.src")
+def topological_edges(spark, d):
+    return traverse.topological_edges(geography(spark, d)).select("src", "dst", F.col("layer").cast("long").alias("layer"))
+
+
 # -- components and structure -----------------------------------------------------------------
 
 LABELS = "b(id, component) using key (id) as (select id, id from v union select a.dst, min(b.component) from b join a on a.src = b.id join recurring.b r on r.id = a.dst where b.component < r.component group by a.dst)"
@@ -373,6 +480,28 @@ def scc(spark, d):
     return components.strong_components(succession(spark, d))
 
 
+@query(SQL["scc"])
+def scc_colouring(spark, d):
+    """The rounds that large graphs take, without the kernel."""
+    return components.strong_components(succession(spark, d), kernel_edges=0)
+
+
+def trade_and_places(spark: SparkSession, d: str) -> Graph:
+    """Nations that trade, and customers and suppliers that hang on them: one large block and many of one edge."""
+    shift = lambda c: (F.col(c) + NATION).alias(c)
+    traded = trade(spark, d).edges.filter("src < dst").select(shift("src"), shift("dst"), "eid")
+    return Graph.from_edges(traded.unionByName(geography(spark, d).edges.select("src", "dst", "eid")), directed=False)
+
+
+#: Without each vertex that has several neighbours: the components that its neighbours fall into.
+CUTS = f"t as ({TRADE}), g as ({GEOGRAPHY}), e as (select src + {NATION} as src, dst + {NATION} as dst from t where src < dst union all select src, dst from g), a as (select src, dst from e union select dst, src from e), r as (select src as r from a group by all having count(distinct dst) > 1), s as (select r, src as id from r, (select distinct src from a) where src != r), b(r, id, component) using key (r, id) as (select r, id, id from s union select b.r, a.dst, min(b.component) from b join a on a.src = b.id and a.dst != b.r join recurring.b x on x.r = b.r and x.id = a.dst where b.component < x.component group by b.r, a.dst)"
+
+
+@query(f"with recursive {CUTS} select b.r as id from b join a on a.src = b.r and a.dst = b.id group by b.r having count(distinct component) > 1")
+def articulation_points_trade(spark, d):
+    return components.articulation_points(trade_and_places(spark, d))
+
+
 @query(f"with g as ({GEOGRAPHY}), n as (select id from (select src as id from g union all select dst from g) group by id having count(*) > 1) select id from n")
 def articulation_points(spark, d):
     return components.articulation_points(geography(spark, d))
@@ -406,30 +535,55 @@ def jaccard(spark, d):
     return structure.jaccard(succession(spark, d)).select("src", "dst", "common", "union_size")
 
 
-@query()
+#: An edge is in the lightest forest if no path of lighter ones joins its ends: the heaviest edge of the best path between any two vertices.
+FOREST = f"e as ({TRADE}), a as (select least(src, dst) as u, greatest(src, dst) as v, min(value * 1000000 + src * 1000 + dst) as k from e where src != dst group by all), both_ways as (select u, v, k from a union all select v, u, k from a), m(u, v, k) using key (u, v) as (select u, v, k from both_ways union select m.u, e.v, min(greatest(m.k, e.k)) from m join both_ways e on e.u = m.v and e.v != m.u left join recurring.m r on r.u = m.u and r.v = e.v where r.k is null or greatest(m.k, e.k) < r.k group by m.u, e.v), forest as (select a.u, a.v, a.k // 1000000 as value from a join m on m.u = a.u and m.v = a.v where m.k = a.k)"
+
+
+@query(f"with recursive {FOREST} select sum(value)::bigint as weight, (select count(*) from nation) - count(*) as components from forest")
 def mst_weight(spark, d):
     total, trees = structure.spanning_forest_weight(trade(spark, d), "value")
     return spark.createDataFrame([(total, trees)], "weight long, components long")
 
 
-@query()
+@query(f"with recursive {FOREST} select sum(value)::bigint as weight, (select count(*) from nation) - count(*) as components from forest")
+def mst_weight_symmetric(spark, d):
+    """Both directions of every edge are stored, as a symmetric graph has them."""
+    total, trees = structure.spanning_forest_weight(trade(spark, d).symmetrize(), "value")
+    return spark.createDataFrame([(total, trees)], "weight long, components long")
+
+
+@query(f"with recursive {FOREST}, f as (select u, v from forest union all select v, u from forest), t(id, predecessor) as (select 0::bigint, 0::bigint union all select f.v, f.u from t join f on f.u = t.id and f.v != t.predecessor) select id, predecessor from t")
 def mst_prim(spark, d):
     return structure.prim(trade(spark, d), 0, "value")[0]
 
 
-@query()
+@query(f"with recursive {ITEMS}, e as ({COPURCHASE}), near as (select id, list(other) as others from (select src as id, dst as other from e union all select dst, src from e) group by all), v as (select id, others, row_number() over (order by id) as k from near), s(k, chosen) as (select 0::bigint, []::bigint[] union all select s.k + 1, case when list_has_any(v.others, s.chosen) then s.chosen else list_append(s.chosen, v.id) end from s join v on v.k = s.k + 1) select unnest(chosen) as id from s where k = (select max(k) from v)")
 def mis(spark, d):
     return structure.maximal_independent_set(copurchase(spark, d))
 
 
-@query()
+def _voted(rounds: int) -> str:
+    """So many rounds of votes: the commonest label of the neighbours, the own one if among those, else the smallest."""
+    step = "select o.id, coalesce(n.label, o.label) as label from {0} o left join (select id, label, row_number() over (partition by id order by votes desc, label != own, label) as k from (select a.src as id, l.label, o.label as own, count(*) as votes from a join {0} l on l.id = a.dst join {0} o on o.id = a.src group by all)) n on n.id = o.id and n.k = 1"
+    parts = [f"l{k + 1} as materialized ({step.format(f'l{k}')})" for k in range(rounds)]
+    return f"with g as ({GEOGRAPHY}), a as (select src, dst from g union all select dst, src from g), l0 as (select id, id as label from ({PLACES})), {', '.join(parts)} select id, label from l{rounds}"
+
+
+@query(_voted(3))
 def label_propagation(spark, d):
-    return structure.label_propagation(geography(spark, d).symmetrize(), max_iterations=5)
+    return structure.label_propagation(geography(spark, d).symmetrize(), max_iterations=3)
 
 
-@query()
+def _ranked(rounds: int) -> str:
+    """So many rounds of PageRank with weights; vertices without edges out share theirs with all."""
+    step = "select v.id, (0.15 + 0.85 * coalesce((select sum(s.score) from {0} s where s.id not in (select src from e)), 0)) / n + 0.85 * coalesce(got, 0) as score from v left join (select e.dst, sum(s.score * e.value / t.total) as got from e join t on t.src = e.src join {0} s on s.id = e.src group by all) on dst = v.id"
+    parts = [f"s{k + 1} as materialized ({step.format(f's{k}')})" for k in range(rounds)]
+    return f"with e as ({SUCCESSION}), t as (select src, sum(value) as total from e group by all), v as (select id, count(*) over () as n from (select src as id from e union select dst from e)), s0 as (select id, 1.0::double / n as score from v), {', '.join(parts)} select id, round(score, 10) as score from s{rounds}"
+
+
+@query(_ranked(12))
 def pagerank(spark, d):
-    return structure.pagerank(succession(spark, d), weight="value")
+    return structure.pagerank(succession(spark, d), weight="value", tolerance=0.0, max_iterations=12).select("id", F.round("score", 10).alias("score"))
 
 
 # -- generators -------------------------------------------------------------------------------

@@ -19,10 +19,10 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skein.errors import GraphError
 from skein.graph import Graph, both_ways
+from skein.plans.scratch import written
 
 #: Characters of a file that one task parses whole.
 MOST_FILE_CHARS = 1 << 30
@@ -316,6 +316,7 @@ def _metis(text: str) -> Iterator[tuple]:
     n, m, fmt = int(head[0]), int(head[1]), (head[2] if len(head) > 2 else "0").zfill(3)
     constraints = int(head[3]) if len(head) > 3 else 1
     yield ("header", n, m, fmt, constraints, None)
+    n_edges = 0
     # an empty line is a vertex without neighbours
     for u, line in enumerate(lines[1 : n + 1]):
         words = line.split()
@@ -326,7 +327,8 @@ def _metis(text: str) -> Iterator[tuple]:
             yield ("weight", u, None, " ".join(held), None, u)
         step = 2 if fmt[-1] == "1" else 1
         for k in range(at, len(words), step):
-            yield ("edge", u, int(words[k]) - 1, words[k + 1] if step == 2 and k + 1 < len(words) else None, None, k)
+            yield ("edge", u, int(words[k]) - 1, words[k + 1] if step == 2 and k + 1 < len(words) else None, None, n_edges)
+            n_edges += 1
 
 
 def read_metis(spark: SparkSession, path: str) -> GraphFile:
@@ -336,7 +338,7 @@ def read_metis(spark: SparkSession, path: str) -> GraphFile:
     header = {"num_vertices": head["a"], "num_edges": head["b"], "fmt": head["w"], "ncon": head["c"]} if head else {"num_vertices": 0, "num_edges": 0, "fmt": "000", "ncon": 1}
     weights = rows.filter("kind = 'weight'").select(F.col("a").alias("id"), F.col("w").alias("weights"))
     v = spark.range(header["num_vertices"]).join(weights, "id", "left")
-    e = rows.filter("kind = 'edge'").select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("a") * F.lit(1 << 20) + F.col("k")).alias("eid"), F.col("w").alias("weight"))
+    e = rows.filter("kind = 'edge'").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("k").alias("eid"), F.col("w").alias("weight"))
     return GraphFile(v, e, True, header)
 
 
@@ -353,8 +355,9 @@ def write_adjacency_text(g: Graph, path: str, single: bool = True) -> None:
 
 def read_adjacency_text(spark: SparkSession, path: str) -> GraphFile:
     """Lines of a vertex and its targets, parted by space, with or without a colon; ``#`` opens a comment."""
-    lines = spark.read.text(path).select(F.split(F.trim(F.regexp_replace("value", ":", " ")), r"\s+").alias("w"), F.monotonically_increasing_id().alias("line")).filter((F.col("w")[0] != "") & ~F.col("w")[0].startswith("#"))
-    e = lines.select(F.col("w")[0].alias("src"), "line", F.posexplode(F.slice("w", 2, 1 << 30)).alias("k", "dst")).select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy("line", "k")).cast("long").alias("eid"))
+    lines = spark.read.text(path).select(F.split(F.trim(F.regexp_replace("value", ":", " ")), r"\s+").alias("w")).filter((F.col("w")[0] != "") & ~F.col("w")[0].startswith("#"))
+    # edges are numbered in the order of the file, and written so that the numbers stay
+    e = written(lines.select(F.col("w")[0].alias("src"), F.explode(F.slice("w", 2, 1 << 30)).alias("dst")).select("src", "dst", F.monotonically_increasing_id().alias("eid")), "adjacency")
     v = lines.select(F.explode("w").alias("id")).distinct()
     return GraphFile(v, e)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.graph import Graph
+from skein.plans.scratch import written
 
 
 def streaming_degrees(edges: DataFrame, watermark: tuple[str, str] | None = None, window: str | None = None) -> DataFrame:
@@ -34,5 +35,7 @@ def append_edges(path: str) -> Callable[[DataFrame, int], None]:
 
 def graph_at(spark: SparkSession, path: str, keep: str = "first", **kw) -> Graph:
     """The graph of all batches that ``append_edges`` has written so far."""
-    edges = spark.read.parquet(path).withColumn("eid", F.col("batch").cast("long") * F.lit(1 << 40) + F.monotonically_increasing_id() % F.lit(1 << 40))
-    return Graph.from_edges(edges.drop("batch"), keep=keep, **kw)
+    # numbered in the order of the batches; written, so that the numbers stay
+    batches = spark.read.parquet(path).repartitionByRange("batch").sortWithinPartitions("batch")
+    edges = written(batches.withColumn("eid", F.monotonically_increasing_id()).drop("batch"), "stream-edges")
+    return Graph.from_edges(edges, keep=keep, **kw)

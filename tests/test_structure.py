@@ -187,3 +187,12 @@ def test_pagerank(spark):
         base = 0.03 + 0.85 * x[4] / 5
         x = [base + 0.85 * (x[2] + x[3]), base + 0.85 * x[0], base + 0.85 * x[1], base, base]
     assert all(abs(scores[k] - x[k]) < 1e-8 for k in range(5))
+
+
+def test_forests_of_symmetric_graphs(spark):
+    g = Graph.from_rows(spark, [(0, 1, 4), (1, 2, 8), (2, 0, 1)])
+    for form in (g, g.symmetrize(), Graph.from_rows(spark, [(0, 1, 4), (1, 2, 8), (2, 0, 1), (1, 0, 4), (2, 1, 8), (0, 2, 1)])):
+        assert structure.spanning_forest_weight(form, "value") == (5, 1)
+        assert structure.minimum_spanning_forest(form, "value").count() == 2
+    assert structure.prim(g.symmetrize(), 0, "value")[1] == 5
+    assert structure.spanning_forest_weight(g.symmetrize(), "value", descending=True) == (12, 1)
