@@ -189,10 +189,11 @@ def test_pagerank(spark):
     assert all(abs(scores[k] - x[k]) < 1e-8 for k in range(5))
 
 
-def test_forests_of_symmetric_graphs(spark):
+@pytest.mark.parametrize("local", [0, 50_000])
+def test_forests_of_symmetric_graphs(spark, monkeypatch, local):
+    monkeypatch.setattr(s, "MOST_LOCAL_EDGES", local)
     g = Graph.from_rows(spark, [(0, 1, 4), (1, 2, 8), (2, 0, 1)])
-    for form in (g, g.symmetrize(), Graph.from_rows(spark, [(0, 1, 4), (1, 2, 8), (2, 0, 1), (1, 0, 4), (2, 1, 8), (0, 2, 1)])):
-        assert structure.spanning_forest_weight(form, "value") == (5, 1)
-        assert structure.minimum_spanning_forest(form, "value").count() == 2
-    assert structure.prim(g.symmetrize(), 0, "value")[1] == 5
-    assert structure.spanning_forest_weight(g.symmetrize(), "value", descending=True) == (12, 1)
+    for form in (g.symmetrize(), Graph.from_rows(spark, [(0, 1, 4), (1, 2, 8), (2, 0, 1), (1, 0, 4), (2, 1, 8), (0, 2, 1)])):
+        assert s.spanning_forest_weight(form, "value") == (5, 1)
+    assert s.minimum_spanning_forest(g.symmetrize(), "value").count() == 2 and s.prim(g.symmetrize(), 0, "value")[1] == 5
+    assert s.spanning_forest_weight(g.symmetrize(), "value", descending=True) == (12, 1)
