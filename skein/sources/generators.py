@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.plans.scratch import written
+
 WEIGHTS = ("uniform", "exponential", "constant_one")
 SPAN = 1 << 52
 
@@ -116,39 +118,71 @@ def erdos_renyi_gnm(spark: SparkSession, n: int, m: int, seed: int = 42, weights
 
 
 def barabasi_albert(spark: SparkSession, n: int, m: int, seed: int = 42, weights: str = "uniform") -> DataFrame:
-    """Growth by preferential attachment, edges both ways: a seed clique of max(m, 2) vertices, then each new vertex joins up to m earlier ones.
+    """Growth by preferential attachment, edges both ways: a seed clique of max(m, 2) vertices, then each new vertex joins m different earlier ones.
 
     Each new edge end copies the end of a uniformly drawn earlier one; a copy of a copy is resolved by hashing on,
-    without any state (Sanders and Schulz, 2016). Repeated targets fall together.
+    without any state (Sanders and Schulz, 2016). A vertex that draws a target again draws on, up to 32 more
+    for each edge (a shortage has a chance of m 10^-14 at the first new vertex, the likeliest to have one).
+    What others copy is an edge's first draw. A vertex is one row, so nothing is shuffled.
     """
     clique = min(n, max(m, 2))
     base = complete_graph(spark, clique, seed, weights).select("src", "dst")
     if n <= clique or m < 1:
         return _finished(base, seed, weights, max(1, n))
     fixed = clique * (clique - 1)  # ends that the clique's pairs hold, each pair two
-    new = spark.range((n - clique) * m).select((F.floor(F.col("id") / m) + clique).alias("src"), F.col("id").alias("e"))
+
     # positions: 0 to fixed - 1 are the clique's ends, then two for each new edge: its source and its target
-    draw = lambda e, t: below(fixed + 2 * (e - (e % m)), seed, "attach", e, F.lit(t))
-    # a chain of copies halves its position each time on average: it is folded in one expression of bounded length
-    hops = F.aggregate(F.sequence(F.lit(1), F.lit(96)), F.struct(draw(F.col("e"), 0).alias("at")), lambda acc, _: F.struct(F.when((acc["at"] >= fixed) & ((acc["at"] - fixed) % 2 == 1), draw(F.floor((acc["at"] - fixed) / 2).cast("long"), 0)).otherwise(acc["at"]).alias("at")))
-    ends = new.select("src", hops["at"].alias("at"))
-    dst = F.when(F.col("at") < fixed, F.col("at") % clique).otherwise(F.floor(F.floor((F.col("at") - fixed) / 2) / m) + clique).cast("long")
-    grown = ends.select("src", dst.alias("dst")).filter("src != dst").distinct()
-    pairs = base.unionByName(grown).unionByName(grown.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    def draw(e: Column, t: Column) -> Column:
+        return below(fixed + 2 * (e - (e % m)), seed, "attach", e, t)
+
+    def target(e: Column, t: Column) -> Column:
+        # a chain of copies halves its position each time on average: it is folded in one expression of bounded length
+        hop = lambda at, _: F.when((at >= fixed) & ((at - fixed) % 2 == 1), draw(F.floor((at - fixed) / 2).cast("long"), F.lit(0))).otherwise(at)
+        at = F.aggregate(F.sequence(F.lit(1), F.lit(96)), draw(e, t), hop)
+        found = F.transform(F.array(at), lambda p: F.when(p < fixed, p % clique).otherwise(F.floor(F.floor((p - fixed) / 2) / m) + clique).cast("long"))
+        return found[0]
+
+    def targets(tries: Column) -> Column:
+        return F.flatten(F.transform(tries, lambda t: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: target((F.col("id") - clique) * m + j, t))))
+
+    first = spark.range(clique, n).select("id", F.array_distinct(targets(F.array(F.lit(0)))).alias("t"))
+    more = F.slice(F.array_distinct(F.concat("t", targets(F.sequence(F.lit(1), F.lit(32))))), 1, m)
+    grown = first.select(F.col("id").alias("src"), F.explode(F.when(F.size("t") == m, F.col("t")).otherwise(more)).alias("dst"))
+    pairs = base.unionByName(grown).unionByName(grown.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return _finished(pairs, seed, weights, n)
 
 
 def watts_strogatz(spark: SparkSession, n: int, k: int, beta: float, seed: int = 42, weights: str = "uniform") -> DataFrame:
-    """A ring in which each vertex joins k / 2 on either side; an edge's far end is redrawn with probability beta. Edges both ways, no loops, none twice."""
-    if n < 2 or k < 2:
+    """A ring in which each vertex joins k / 2 on either side (less than half the ring); an edge's far end is redrawn with probability beta.
+
+    Edges both ways, no loops, none twice. Edges that stay have their place first. The others draw a free
+    pair, up to 33 times; of edges that draw the same one, the first of the ring gets it. An edge that finds none goes
+    back to its place on the ring, or is left out where another edge has taken that.
+    """
+    half = min(k // 2, (n - 1) // 2)
+    if n < 2 or half < 1:
         return path_graph(spark, 0, seed, weights)
-    near = spark.range(n).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(1), F.lit(min(k // 2, n - 1)))).alias("j"))
+    slots = spark.range(n).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(1), F.lit(half))).alias("j"))
+    slots = slots.withColumn("moves", uniform(seed, "coin", "u", "j") < beta)
+
+    def pair(v: Column) -> tuple[Column, Column]:
+        return F.least("u", v).cast("long").alias("a"), F.greatest("u", v).cast("long").alias("b")
+
     ring = (F.col("u") + F.col("j")) % n
-    # redrawn among the others than the vertex itself; a pair met twice falls together
-    drawn = (F.col("u") + 1 + below(n - 1, seed, "rewire", "u", "j")) % n
-    v = F.when(uniform(seed, "coin", "u", "j") < beta, drawn).otherwise(ring)
-    one = near.select("u", v.cast("long").alias("v")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).filter("a != b").distinct()
-    return _finished(one.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(one.select(F.col("b").alias("src"), F.col("a").alias("dst"))), seed, weights, n)
+    taken = slots.filter(~F.col("moves")).select(*pair(ring))
+    waiting = slots.filter("moves").select("u", "j")
+    for t in range(34):
+        far = ring if t == 33 else (F.col("u") + 1 + below(n - 1, seed, "rewire", "u", "j", F.lit(t))) % n
+        drawn = waiting.select("u", "j", *pair(far))
+        clash = taken.join(drawn.select("a", "b").distinct(), ["a", "b"]).withColumn("held", F.lit(True))
+        # few edges draw the same pair, unless nearly all pairs are taken
+        turn = F.row_number().over(Window.partitionBy("a", "b").orderBy("u", "j"))
+        tried = written(drawn.withColumn("turn", turn).join(clash, ["a", "b"], "left").select("u", "j", "a", "b", ((F.col("turn") == 1) & F.col("held").isNull()).alias("won")), "rewired")
+        taken = taken.unionByName(tried.filter("won").select("a", "b"))
+        waiting = tried.filter("not won").select("u", "j")
+        if waiting.isEmpty():
+            break
+    return _finished(taken.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*"), seed, weights, n)
 
 
 def rmat(spark: SparkSession, scale: int, m: int, a: float = 0.57, b: float = 0.19, c: float = 0.19, d: float = 0.05, seed: int = 42, weights: str = "uniform") -> DataFrame:
@@ -180,32 +214,35 @@ def plod(spark: SparkSession, n: int, alpha: float, beta: float, seed: int = 42,
     return _finished(kept.select(F.col("id").alias("src"), F.col("v").alias("dst")), seed, weights, n)
 
 
+def _starts(sizes: DataFrame, rows: int, block: int = 1024) -> DataFrame:
+    """(k, lo): the sum of the sizes s before each k from 0 to rows - 1, summed in blocks, over blocks of blocks and so on."""
+    if rows <= block:
+        return sizes.select("k", (F.sum("s").over(Window.orderBy("k")) - F.col("s")).alias("lo"))
+    local = sizes.select("k", "s", F.floor(F.col("k") / block).alias("b"))
+    local = local.withColumn("t", F.sum("s").over(Window.partitionBy("b").orderBy("k")))
+    above = _starts(local.groupBy(F.col("b").alias("k")).agg(F.sum("s").alias("s")), -(-rows // block), block)
+    return local.join(above.withColumnsRenamed({"k": "b", "lo": "o"}), "b").select("k", (F.col("o") + F.col("t") - F.col("s")).alias("lo"))
+
+
 def ssca(spark: SparkSession, n: int, max_clique: int, p_inter: float, max_parallel: int, seed: int = 42, weights: str = "uniform") -> DataFrame:
-    """Consecutive cliques of 1 to ``max_clique`` vertices whose pairs have 1 to ``max_parallel`` parallel edges, and edges between cliques, ever rarer with their distance (2^-distance)."""
-    size = below(max_clique, seed, "size", "k") + 1
-    cliques = spark.range(n).withColumnRenamed("id", "k").select("k", size.alias("s"))
-    # sizes summed within blocks of cliques, then over blocks: two small steps in place of one long one
-    block = 1024
-    inner = Window.partitionBy("b").orderBy("k")
-    local = cliques.select("k", "s", F.floor(F.col("k") / block).alias("b")).withColumn("t", F.sum("s").over(inner))
-    sums = {r["b"]: r["s"] for r in local.groupBy("b").agg(F.sum("s").alias("s")).collect()} if n else {}  # one row for 1,024 vertices
-    offset, at = {}, 0
-    for b in sorted(sums):
-        offset[b], at = at, at + sums[b]
-        if at >= n:
-            break
-    if not offset:
+    """Consecutive cliques of 1 to ``max_clique`` vertices whose ordered pairs have 1 to ``max_parallel`` parallel edges, and links between cliques.
+
+    A vertex has at most one link, with probability ``p_inter``: of 16 uniform candidates the first that is accepted,
+    in another clique with a chance of 2^-(distance of the cliques); after those, any vertex of another clique.
+    """
+    if n < 1:
         return path_graph(spark, 0, seed, weights)
-    offsets = spark.createDataFrame(list(offset.items()), "b long, o long")
-    spans = local.join(offsets, "b").select("k", (F.col("o") + F.col("t") - F.col("s")).alias("lo"), F.least(F.col("o") + F.col("t"), F.lit(n)).alias("hi")).filter(F.col("lo") < n)
-    members = spans.select("k", "lo", "hi", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("u"))
+    max_clique, max_parallel = max(1, max_clique), max(1, max_parallel)
+    cliques = spark.range(n).select(F.col("id").alias("k"), (below(max_clique, seed, "size", "id") + 1).alias("s"))
+    spans = _starts(cliques, n).join(cliques, "k").select("k", "lo", F.least(F.col("lo") + F.col("s"), F.lit(n)).alias("hi")).filter(F.col("lo") < n)
+    members = written(spans.select("k", "lo", "hi", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("u")), "cliques")
     others = members.select("k", "u", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("v")).filter("u != v")
     inside = others.select("u", "v", F.explode(F.sequence(F.lit(1), (below(max_parallel, seed, "parallel", "u", "v") + 1).cast("int"))).alias("i"))
-    far = spark.range(n).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(max(0, int(math.log2(max(2, n))))))).alias("j"))
-    v = (F.col("u") + F.pow(F.lit(2.0), F.col("j")).cast("long")) % n
-    jump = far.select("u", v.alias("v"), "j").filter((F.col("u") != F.col("v")) & (uniform(seed, "inter", "u", "j") < p_inter * F.pow(F.lit(2.0), -F.col("j"))))
-    home = members.select(F.col("u").alias("id"), "k")
-    between = jump.join(home.withColumnsRenamed({"id": "u", "k": "ku"}), "u").join(home.withColumnsRenamed({"id": "v", "k": "kv"}), "v").filter("ku != kv").select("u", "v", F.lit(0).alias("i"))
+    linked = members.filter(uniform(seed, "inter", "u") < p_inter).select("u", "k", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("i"))
+    tried = linked.withColumn("v", below(n, seed, "link", "u", "i")).join(members.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v").filter("k != kv")
+    chance = F.pow(F.lit(2.0), -F.least(F.abs(F.col("k") - F.col("kv")), F.lit(30)))
+    accepted = tried.filter((F.col("i") == 16) | (uniform(seed, "accept", "u", "i") < chance))
+    between = accepted.groupBy("u").agg(F.min_by("v", "i").alias("v")).select("u", "v", F.lit(0).alias("i"))
     edges = inside.unionByName(between)
     numbered = edges.select(F.col("u").alias("src"), F.col("v").alias("dst"), ((F.col("u") * F.lit(n) + F.col("v")) * F.lit(max_parallel + 1) + F.col("i")).alias("eid"))
     return _weighted(numbered, seed, weights)

@@ -36,8 +36,19 @@ def test_random_shapes(spark):
     assert simple(ba) and all((b, a) in rows for a, b in rows)
     degree = Graph.from_edges(ba).out_degrees().agg(F.max("degree"), F.avg("degree")).first()
     assert degree[0] > 4 * degree[1] and 4 < degree[1] <= 6
+    assert len(rows) == 2 * (3 + 397 * 3)
+    for n, m in ((30, 5), (3, 1), (2, 5), (40, 2)):
+        some = ends(g.barabasi_albert(spark, n, m))
+        clique = min(n, max(m, 2))
+        assert len(set(some)) == len(some) == clique * (clique - 1) + 2 * m * (n - clique)
+        assert all(sum(a == w and b < w for a, b in some) == m for w in range(clique, n))
     ws = g.watts_strogatz(spark, 200, 4, 0.1)
     assert simple(ws) and 700 < ws.count() <= 800 and g.watts_strogatz(spark, 20, 4, 0.0).count() == 80
+    assert ws.count() == 800 and ends(ws) != ends(g.watts_strogatz(spark, 200, 4, 0.0)) and ends(ws) == ends(g.watts_strogatz(spark, 200, 4, 0.1))
+    full = g.watts_strogatz(spark, 200, 6, 1.0)
+    assert simple(full) and full.count() == 1200
+    dense = g.watts_strogatz(spark, 5, 2, 1.0)
+    assert simple(dense) and 8 <= dense.count() <= 10 and g.watts_strogatz(spark, 2, 2, 0.5).count() == 0
     rm = g.rmat(spark, 8, 2000)
     assert simple(rm) and 0 < rm.count() <= 2000 and rm.agg(F.max(F.greatest("src", "dst"))).first()[0] < 256
     pl = g.plod(spark, 300, 1.2, 0.05)
@@ -45,6 +56,18 @@ def test_random_shapes(spark):
     ss = g.ssca(spark, 300, 6, 0.5, 3)
     pairs = ends(ss)
     assert len(pairs) > len(set(pairs)) and all(a != b and 0 <= min(a, b) and max(a, b) < 300 for a, b in pairs)
+    # numbers of parallel edges begin at 1, links have 0
+    link = [(r["src"], r["dst"]) for r in ss.filter("eid % 4 = 0").collect()]
+    inside = set(pairs) - set(link)
+    assert len({a for a, _ in link}) == len(link) and 110 < len(link) < 190 and all((b, a) in inside for a, b in inside)
+    assert sum(b < a for a, b in link) > 30 and sum(abs(a - b) > 12 for a, b in link) > 3
+    assert g.ssca(spark, 50, 1, 0.0, 1).count() == 0 and g.ssca(spark, 0, 3, 0.5, 1).count() == 0
+
+
+def test_starts_in_blocks(spark):
+    sizes = [(k, 1 + k * 7 % 5) for k in range(70)]
+    found = {r["k"]: r["lo"] for r in g._starts(spark.createDataFrame(sizes, "k long, s long"), 70, block=4).collect()}
+    assert found == {k: sum(s for _, s in sizes[:k]) for k, _ in sizes}
 
 
 @pytest.fixture
