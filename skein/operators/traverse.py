@@ -182,6 +182,52 @@ def dijkstra_distances(g: Graph, sources: Any, weight: Column | str | None = Non
     return shortest_paths(g, sources, weight, **kw).drop("predecessor")
 
 
+def dijkstra_events(g: Graph, sources: Any, weight: Column | str | None = None, events: Iterable[str] | None = None) -> DataFrame:
+    """(seq, event, id, eid): what a visit in order of distance (vertices of equal distance by id, edges by eid) fires; ``events`` names those wanted.
+
+    All is told by the final distances: an edge relaxes if it offers less than every edge into its target that was
+    examined before, and what first relaxes discovers. Weights are above zero, so that a vertex comes after those before
+    it on its path; others are an error. Edges of null or infinite weight are examined and not relaxed.
+    """
+    from skein.functions.visitors import check_events
+
+    wanted = check_events(events)
+    w = F.lit(1) if weight is None else F.col(weight) if isinstance(weight, str) else weight
+    arcs = written(g.arcs.select("src", "dst", "eid", w.cast("double").alias("w")), "event-arcs")
+    if not arcs.filter("w <= 0").limit(1).isEmpty():
+        raise OutOfRange("events in order of distance need weights above zero")
+    near = written(dijkstra_distances(g, sources, weight).filter("distance is not null"), "event-distances")
+    start = source_rows(g, sources).select("id")
+    nothing, kind = F.lit(None).cast("long"), F.col("distance").cast("double")
+
+    def rows(df: DataFrame, at: Column, step: int, sub: int, name: str, of: str = "id", eid: Column = nothing, seq_id: str = "id") -> DataFrame:
+        seq = F.struct(at.alias("at"), F.col(seq_id).alias("id"), F.lit(step).alias("step"), eid.alias("eid"), F.lit(sub).alias("sub"))
+        return df.select(seq.alias("seq"), F.lit(name).alias("event"), F.col(of).alias("id"), eid.alias("eid"))
+
+    met = arcs.join(near.select(F.col("id").alias("src"), kind.alias("a")), "src")
+    before = Window.partitionBy("dst").orderBy("a", "src", "eid").rowsBetween(Window.unboundedPreceding, -1)
+    offer = F.when(F.col("w").isNull() | (F.col("w") == float("inf")), None).otherwise(F.col("a") + F.col("w"))
+    met = met.withColumn("offer", offer).withColumn("least", F.min("offer").over(before))
+    met = met.join(start.select(F.col("id").alias("dst"), F.lit(True).alias("source")), "dst", "left")
+    relaxed = F.col("offer").isNotNull() & F.col("source").isNull() & (F.col("least").isNull() | (F.col("offer") < F.col("least")))
+    met = written(met.withColumn("relaxed", relaxed), "event-edges")
+    at, eid = F.col("a"), F.col("eid")
+    fired = [
+        rows(g.vertices, F.lit(-2.0), 0, 0, "initialize_vertex"),
+        rows(start, F.lit(-1.0), 1, 0, "discover_vertex"),
+        rows(near, kind, 1, 0, "examine_vertex"),
+        rows(met, at, 2, 0, "examine_edge", "src", eid, "src"),
+        rows(met.filter("relaxed"), at, 2, 1, "edge_relaxed", "src", eid, "src"),
+        rows(met.filter("not relaxed"), at, 2, 1, "edge_not_relaxed", "src", eid, "src"),
+        rows(met.filter("relaxed and least is null"), at, 2, 2, "discover_vertex", "dst", eid, "src"),
+        rows(near, kind, 3, 0, "finish_vertex"),
+    ]
+    out = fired[0]
+    for more in fired[1:]:
+        out = out.unionByName(more)
+    return out if wanted is None else out.filter(F.col("event").isin(*wanted))
+
+
 def bellman_ford(g: Graph, sources: Any, weight: Column | str | None = None) -> tuple[DataFrame, Any | None]:
     """Shortest paths over any weights, and a vertex that lies on a negative cycle that the sources reach (None without one)."""
     state, fresh, _ = _relaxed(g, sources, weight, operator.add, True, 0, g.num_vertices() + 1, True)
@@ -249,11 +295,12 @@ def _reach(g: Graph, source: Any) -> tuple[DataFrame, DataFrame]:
     return seen, g.arcs.join(seen.withColumnRenamed("id", "src"), "src", "left_semi")
 
 
-def dfs(g: Graph, source: Any = None) -> DataFrame:
+def dfs(g: Graph, source: Any = None, reverse: bool = False) -> DataFrame:
     """(id, parent, discover, finish, depth) of a depth-first visit from a source, or of each component from its vertices in ascending order.
 
-    Times count within a component.
+    Times count within a component. ``reverse``, here and below, follows edges against their direction.
     """
+    g = g.transpose() if reverse else g
     kind = _id_type(g)
     rows = lambda ids, out: ((r["id"], r["parent"], r["discover"], r["finish"], r["depth"]) for r in kernels.depth_first(ids, out, [source] if source is not None else ids)[0])
     return _visited(g, source, rows, f"id {kind}, parent {kind}, discover long, finish long, depth long")
@@ -267,25 +314,28 @@ def _visited(g: Graph, source: Any, kernel, schema: str) -> DataFrame:
     return by_component(g, kernel, schema, arcs, vertices=vertices)
 
 
-def dfs_edges(g: Graph, source: Any = None) -> DataFrame:
+def dfs_edges(g: Graph, source: Any = None, reverse: bool = False) -> DataFrame:
     """(eid, class): how a depth-first visit meets each edge: tree, back or forward_or_cross."""
+    g = g.transpose() if reverse else g
     return _visited(g, source, lambda ids, out: kernels.depth_first(ids, out, [source] if source is not None else ids)[1], "eid long, class string")
 
 
-def dfs_events(g: Graph, source: Any, events: Iterable[str] | None = None) -> DataFrame:
-    """(seq, event, id, eid): what a depth-first visit fires, in order; ``events`` names those wanted."""
+def dfs_events(g: Graph, source: Any, events: Iterable[str] | None = None, reverse: bool = False) -> DataFrame:
+    """(seq, event, id, vertex, eid): what a depth-first visit fires, in order; ``events`` names those wanted. ``vertex`` is the id in its own type, ``id`` its text."""
     from skein.functions.visitors import check_events
 
     wanted = check_events(events)
-    rows = lambda ids, out: ((k, e, str(u), x) for k, (e, u, x) in enumerate(kernels.depth_first(ids, out, [source])[2]) if wanted is None or e in wanted)
-    return _visited(g, source, rows, "seq long, event string, id string, eid long")
+    g = g.transpose() if reverse else g
+    rows = lambda ids, out: ((k, e, str(u), u, x) for k, (e, u, x) in enumerate(kernels.depth_first(ids, out, [source])[2]) if wanted is None or e in wanted)
+    return _visited(g, source, rows, f"seq long, event string, id string, vertex {_id_type(g)}, eid long")
 
 
-def topological_sort(g: Graph, sources: Any = None, safe: bool = True) -> DataFrame:
+def topological_sort(g: Graph, sources: Any = None, safe: bool = True, reverse: bool = False) -> DataFrame:
     """(component, position, id): a topological order of each component (of what the sources reach, if given): reverse order of finishing.
 
     ``safe``: a cycle, a loop too, raises CycleError; else the order is that of the visit.
     """
+    g = g.transpose() if reverse else g
     kind = _id_type(g)
     wanted = None if sources is None else list(sources) if isinstance(sources, (list, tuple, set, range)) else [sources]
 

@@ -97,3 +97,57 @@ def test_topological_order(spark):
     assert t.is_acyclic(g) and not t.is_acyclic(c) and not t.is_acyclic(Graph.from_rows(spark, [(0, 0)]))
     assert t.topological_sort(c, safe=False).count() == 5
     assert t.topological_edges(g).count() == 4
+
+
+def test_reverse_visits(spark):
+    g = Graph.from_rows(spark, DIAMOND)
+    assert {r["id"] for r in t.dfs(g, 1, reverse=True).collect()} == {0, 1} and {r["id"] for r in t.dfs(g, 1).collect()} == {1, 3}
+    back = [r["id"] for r in t.topological_sort(g, reverse=True).orderBy("position").collect()]
+    assert back[0] == 3 and back[-1] == 0 and sorted(back) == [0, 1, 2, 3]
+    classes = [r["class"] for r in t.dfs_edges(g, 3, reverse=True).collect()]
+    assert sorted(classes) == ["forward_or_cross", "tree", "tree", "tree"]
+    some = t.dfs_events(g, 3, ["discover_vertex"], reverse=True).orderBy("seq").collect()
+    assert some[0]["vertex"] == 3 and some[0]["id"] == "3" and {r["vertex"] for r in some} == {0, 1, 2, 3}
+
+
+def visited(edges, n, source):
+    """Events by a queue: (event, vertex, edge number) in order."""
+    import heapq
+
+    best, seen, out = {source: 0.0}, set(), [("initialize_vertex", v, None) for v in range(n)] + [("discover_vertex", source, None)]
+    queue = [(0.0, source)]
+    while queue:
+        d, u = heapq.heappop(queue)
+        if u in seen:
+            continue
+        seen.add(u)
+        out.append(("examine_vertex", u, None))
+        for e, (a, b, w) in enumerate(edges):
+            if a == u:
+                out.append(("examine_edge", u, e))
+                if b not in best or d + w < best[b]:
+                    out.append(("edge_relaxed", u, e))
+                    if b not in best:
+                        out.append(("discover_vertex", b, e))
+                    best[b] = d + w
+                    heapq.heappush(queue, (d + w, b))
+                else:
+                    out.append(("edge_not_relaxed", u, e))
+        out.append(("finish_vertex", u, None))
+    return out
+
+
+def test_dijkstra_events_against_a_queue(spark):
+    import random
+
+    draw = random.Random(5)
+    for edges, n in ((ROUTES, 5), ([(draw.randrange(30), draw.randrange(30), draw.randint(1, 9)) for _ in range(120)], 30)):
+        g = Graph.from_edges(spark.createDataFrame([(a, b, e, w) for e, (a, b, w) in enumerate(edges)], "src long, dst long, eid long, value long"), n_vertices=n)
+        found = [(r["event"], r["id"], r["eid"]) for r in t.dijkstra_events(g, 0, "value").orderBy("seq").collect()]
+        assert found == visited(edges, n, 0)
+    g = Graph.from_rows(spark, ROUTES)
+    assert {r["event"] for r in t.dijkstra_events(g, 0, "value", ["finish_vertex"]).collect()} == {"finish_vertex"}
+    with pytest.raises(ValueError):
+        t.dijkstra_events(g, 0, "value", ["finished"])
+    with pytest.raises(OutOfRange):
+        t.dijkstra_events(Graph.from_rows(spark, [(0, 1, 0)]), 0, "value")
