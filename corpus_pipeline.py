@@ -30,15 +30,19 @@ def _but_key(docs: DataFrame) -> tuple[str, ...]:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the quality classifier scores at ``LEAST_QUALITY`` or more; the held-out fold is never learned."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
+    """Keeps the documents that the quality classifier scores at ``LEAST_QUALITY`` or more; all labelled ones are learned but for the held-out fold."""
+    labels, learn = table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2
+    model = quality.teach(docs, labels, quality.train(docs, labels, learn), learn)
     return quality.score(docs, model, keep=_but_key(docs), name="_quality").filter(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose text is in a language that was learned: not ``und``, and of a score that held-out texts of such a language have."""
+    """Keeps the documents whose text is in a language that was learned: not ``und``, and of a score that held-out texts of such a language have.
+
+    All texts outside the held-out fold are learned, and all in it count for the least score.
+    """
     held_out = fold(F.col("doc_id"), 3) == 1
-    net = langid.train(docs, ~held_out)
+    net = langid.teach(docs, langid.train(docs, ~held_out), ~held_out)
     least = langid.least_share(docs, net, held_out)
     found = langid.predict(docs, net, keep=_but_key(docs), names=("_lang", "_share"))
     return found.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_share") >= least)).select(*docs.columns)

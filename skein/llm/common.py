@@ -11,6 +11,7 @@ from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,42 @@ def bounded_sample(rows: DataFrame, label: str, key: str, most: int, most_labels
     return near.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_hash", "_rank")
 
 
+def flat(parameters: dict[str, np.ndarray]) -> bytes:
+    """A model's parameters as the bytes of one vector, for ``averaged``."""
+    return np.concatenate([parameters[k].ravel().astype(np.float64) for k in sorted(parameters)]).tobytes()
+
+
+def averaged(taught: DataFrame, parameters: dict[str, np.ndarray], buckets: int = 16) -> dict[str, np.ndarray]:
+    """The mean of the ``flat`` parameters in ``taught`` (part int, n double, p binary), each weighing ``n``; ``parameters`` if none weighs anything.
+
+    Tasks add them up in ``buckets`` groups, always in the same order, so that the driver gets that many rows at any number of parts.
+    """
+
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("part")
+        total = sum(n * np.frombuffer(bytes(p), np.float64) for n, p in zip(frame["n"], frame["p"], strict=True))
+        return pd.DataFrame([(int(key[0]), float(frame["n"].sum()), total.tobytes())], columns=["bucket", "n", "p"])
+
+    # at most `buckets` rows: a proven bound
+    found = taught.filter("n > 0").groupBy((F.col("part") % buckets).alias("bucket")).applyInPandas(add, "bucket int, n double, p binary").toPandas().sort_values("bucket")
+    if found.empty:
+        return parameters
+    mean = sum(np.frombuffer(bytes(p), np.float64) for p in found["p"]) / found["n"].sum()
+    out, at = {}, 0
+    for k in sorted(parameters):
+        a = parameters[k]
+        out[k] = mean[at : at + a.size].reshape(a.shape).astype(a.dtype)
+        at += a.size
+    return out
+
+
+def descend(parameters: dict[str, np.ndarray], gradient: dict[str, np.ndarray], rate: float, longest: float = 1.0) -> None:
+    """One step against the gradient, in place; a gradient longer than ``longest`` counts as one of that length."""
+    length = float(np.sqrt(sum(float((d * d).sum()) for d in gradient.values())))
+    for k, d in gradient.items():
+        parameters[k] -= (rate * min(1.0, longest / max(length, 1e-30)) * d).astype(parameters[k].dtype)
+
+
 def kept_by_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     """A value that a Python worker makes once and keeps over its tasks (a cache: tasks never depend on it), until it makes another."""
     store = _store()

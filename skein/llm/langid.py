@@ -7,11 +7,13 @@ the bytes they hold, so that the whole text counts. At prediction, embedding and
 filters fold into tables over pairs of bytes, so that a position costs two row
 look-ups.
 
-Training uses a bounded sample: at most ``per_label`` texts of each language (all
+``train`` uses a bounded sample: at most ``per_label`` texts of each language (all
 languages together at most ``most_texts``), those with the smallest key hash, with
 all their windows, which share their text's weight. Of more than ``MOST_LABELS``
 languages the commonest are learned (of equally common ones those that sort
-first); texts in the others are predicted as one of those.
+first); texts in the others are predicted as one of those. ``teach`` goes on from
+there over every text in a learned language: each task once over its own, then the
+tasks' networks are averaged. How rows are dealt over tasks moves the result a little.
 
 Nulls, and texts without any letter, are ``und`` with score 0. With no language
 to learn from (an empty table too), every text is ``und``; an empty table to
@@ -23,17 +25,20 @@ they were, and must not be named as the results are.
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_sample, free_worker, slices
+from skein.llm.common import averaged, bounded_sample, descend, flat, free_worker, slices
+from skein.plans.scratch import remove, scratch_path
 
 UNKNOWN = "und"
 WINDOW, WIDTHS, EMBED, FILTERS = 256, (2, 3, 4), 8, 12
@@ -49,6 +54,14 @@ def windows(data: bytes, size: int = WINDOW) -> np.ndarray:
     return out.reshape(n, size)
 
 
+def shortened(x: np.ndarray, g: np.random.Generator) -> np.ndarray:
+    """The windows, three in ten of them cut, so that short texts are learned too."""
+    x = x.copy()
+    for k in np.flatnonzero(g.random(len(x)) < 0.3):
+        x[k, g.integers(8, WINDOW) :] = 0
+    return x
+
+
 class ByteNet:
     """The network: ``fit`` on windows and classes, ``proba`` of windows."""
 
@@ -74,10 +87,7 @@ class ByteNet:
             order = g.permutation(len(x))
             for at in range(0, len(x), batch):
                 rows = order[at : at + batch]
-                xb = x[rows].copy()
-                for k in np.flatnonzero(g.random(len(xb)) < 0.3):  # short texts too
-                    xb[k, g.integers(8, WINDOW) :] = 0
-                grad = self._gradient(xb, y[rows], weight[rows])
+                grad = self._gradient(shortened(x[rows], g), y[rows], weight[rows])
                 t += 1
                 step = rate * (1 - epoch / epochs)
                 for k, d in grad.items():
@@ -87,6 +97,13 @@ class ByteNet:
                 self.p["e"][0] = 0
         return self
 
+    def go_on(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, g: np.random.Generator, rate: float, batch: int = 64) -> None:
+        """Once over the windows, in plain steps: those of many tasks add up as their gradients do."""
+        order = g.permutation(len(x))
+        for at in range(0, len(x), batch):
+            rows = order[at : at + batch]
+            descend(self.p, self._gradient(shortened(x[rows], g), y[rows], weight[rows]), rate)
+
     def _gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p, n = self.p, len(x)
         e = p["e"][x]
@@ -183,19 +200,64 @@ def predict(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: str
     return source.mapInArrow(run, out)
 
 
-def least_share(docs: DataFrame, net: ByteNet | None, held_out: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 500, most_texts: int = 10_000, lost: float = 0.005) -> float:
-    """The score below which no more than ``lost`` of a bounded sample of rightly labelled held-out texts fall.
+def teach(docs: DataFrame, net: ByteNet | None, learn: Column, text: str = "text", lang: str = "lang", rate: float = 0.1) -> ByteNet | None:
+    """``net`` taught by every row where ``learn`` holds and ``lang`` is one of its languages, which weigh alike."""
+    if net is None:
+        return None
+    known = docs.filter(learn & F.col(text).isNotNull() & F.col(lang).isin(net.classes)).select(F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    # one row for each of the network's languages: a proven bound
+    counts = known.groupBy("_lang").agg(F.count("*"), F.sum(F.ceil(F.greatest(F.octet_length("_text"), F.lit(1)) / WINDOW))).collect()
+    if not counts:
+        return net
+    weights = {r[0]: sum(c[2] for c in counts) / len(counts) / r[1] for r in counts}  # of a text, shared by its windows; the mean of all windows is 1
+    index = {name: k for k, name in enumerate(net.classes)}
 
-    Without such texts: halfway between the floor of the network's classes and 1.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
+        part, own, n = TaskContext.get().partitionId(), copy.deepcopy(net), 0
+        g = np.random.default_rng([7, part])
+        for batch in slices(batches):
+            rows = [(windows(t.encode()), name) for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if LETTER.search(t)]
+            if rows:
+                each = np.array([len(w) for w, _ in rows])
+                y = np.repeat([index[name] for _, name in rows], each)
+                weight = np.repeat([weights[name] / len(w) for w, name in rows], each).astype(np.float32)
+                own.go_on(np.concatenate([w for w, _ in rows]), y, weight, g, rate)
+                own.p["e"][0] = 0
+                n += len(y)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([float(n)]), "p": pa.array([flat(own.p)], pa.binary())})
+
+    out = copy.deepcopy(net)
+    out.p = averaged(known.mapInArrow(run, "part int, n double, p binary"), net.p)
+    return out
+
+
+def least_share(docs: DataFrame, net: ByteNet | None, held_out: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", lost: float = 0.005, bins: int = 4096) -> float:
+    """The score below which no more than ``lost`` of all rightly labelled held-out texts fall.
+
+    Their scores, and nothing else, are written. Each round counts them in bins of the range that holds the score looked
+    for, and goes on within one bin, until that holds a single score. Without such texts: halfway between the floor of the
+    network's classes and 1. All texts weigh alike, so the loss may be larger among those in a rare language.
     """
     known = docs.filter(held_out & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # at most most_texts rows: a proven bound
-    sample = bounded_sample(known, lang, key, per_label, MOST_LABELS, most_texts).select(key).distinct()
-    picked = known.join(F.broadcast(sample), key, "left_semi")
-    found = predict(picked, net, key, text, (lang,), ("_lang", "_share")).filter(F.col("_lang") == F.col(lang)).select("_share").toPandas()["_share"].to_numpy()
-    if not len(found):
+    found = predict(known, net, key, text, (lang,), ("_lang", "_share")).filter((F.col("_lang") == F.col(lang)) & (F.col("_lang") != UNKNOWN))
+    path = scratch_path(docs.sparkSession, "shares")
+    found.select("_share").write.parquet(path)
+    shares = docs.sparkSession.read.parquet(path)
+    n, low, high = shares.agg(F.count("*"), F.min("_share"), F.max("_share")).first()
+    below = int(lost * (n - 1))
+    while n and low < high:
+        number = F.least(F.floor((F.col("_share") - low) / (high - low) * bins), F.lit(bins - 1))
+        inside = shares.filter(F.col("_share").between(low, high)).groupBy(number.alias("_bin"))
+        # at most `bins` rows: a proven bound
+        for _, count, low, high in sorted(inside.agg(F.count("*"), F.min("_share"), F.max("_share")).collect()):  # noqa: B007  the last bin entered is kept
+            if below < count:
+                break
+            below -= count
+    remove(docs.sparkSession, path)
+    if not n:
         return (1 + 1 / len(net.classes)) / 2 if net else 0.0
-    return float(np.quantile(found, lost, method="lower"))
+    return float(low)
 
 
 def label(texts: list[str | None], net: ByteNet | None, tables=None, most: int = 4096) -> tuple[list[str], list[float]]:

@@ -5,8 +5,11 @@ learned layer), a gated attention unit weighs the passages, and the weighted
 passage representation is scored; only documents have labels. The whole text is
 scored: every passage is encoded, long texts simply have more of them.
 
-Training uses a bounded sample: at most ``per_label`` labelled texts of each
-label, those with the smallest key hash, with all their passages.
+``train`` uses a bounded sample: at most ``per_label`` labelled texts of each
+label, those with the smallest key hash, with all their passages. ``teach`` goes on
+from there over every labelled text: each task once over its own, then the tasks'
+models are averaged (the sample's mean and scale of each statistic stay: the learned
+layer takes up what they leave). How rows are dealt over tasks moves the result a little.
 
 A null text counts as empty: one passage without characters. A very long text is
 one bag of many passages, each of bounded size. Without labels of both kinds (an
@@ -19,17 +22,20 @@ be named as the score is.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterable, Iterator
 from operator import eq
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import bounded_sample, free_worker, slices
+from skein.llm.common import averaged, bounded_sample, descend, flat, free_worker, slices
+from skein.plans.scratch import remove, scratch_path
 
 PASSAGE = 512
 #: Byte classes: control, space, newline, digit, upper, lower, sentence marks, bars, shouts, other marks, beyond ASCII.
@@ -139,6 +145,15 @@ class AttentionBags:
         return self
 
 
+    def go_on(self, bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, g: np.random.Generator, rate: float, batch: int = 64) -> None:
+        """Once over the bags, in plain steps: those of many tasks add up as their gradients do."""
+        order = g.permutation(len(bags))
+        for at in range(0, len(bags), batch):
+            rows = order[at : at + batch]
+            x = (np.concatenate([bags[k] for k in rows]) - self.mean) / self.scale
+            descend(self.p, self.gradient(x, np.array([len(bags[k]) for k in rows]), labels[rows], weights[rows]), rate)
+
+
 class Constant:
     """Stands for a model where there is nothing to learn from."""
 
@@ -149,10 +164,14 @@ class Constant:
         return np.full(len(bags), self.score)
 
 
+def unambiguous(labels: DataFrame, label: str, key: str) -> DataFrame:
+    """The keys and labels that are 0 or 1 and don't repeat a key with another label."""
+    return labels.filter(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias(label), F.max(label).alias("_most")).filter(F.col("_most") == F.col(label)).select(key, label)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, learn: Column, label: str, key: str, text: str, per_label: int) -> DataFrame:
     """A bounded sample of (key, text, label): the texts whose label is known and ``learn`` allows."""
-    clear = labels.filter(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias(label), F.max(label).alias("_most")).filter(F.col("_most") == F.col(label)).select(key, label)
-    keys = docs.filter(learn).select(key).distinct().join(clear, key)
+    keys = docs.filter(learn).select(key).distinct().join(unambiguous(labels, label, key), key)
     sample = bounded_sample(keys, label, key, per_label)
     # at most per_label rows for each of two labels: a proven bound
     return docs.select(key, text).join(F.broadcast(sample), key)
@@ -180,6 +199,47 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
     return AttentionBags(every.mean(0), every.std(0) + 0.02).fit(bags, y, weights, epochs=max(25, min(200, 60_000 // len(bags))))
 
 
+def teach(docs: DataFrame, labels: DataFrame, model: AttentionBags | Constant, learn: Column, label: str = "quality", key: str = "doc_id", text: str = "text", rate: float = 0.05) -> AttentionBags | Constant:
+    """``model`` taught by every row of ``docs`` where ``learn`` holds and ``labels`` has its label; both labels weigh alike."""
+    if isinstance(model, Constant):
+        return model
+    source = docs.filter(learn).select(F.col(key).alias("_key"), text)
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
+        for batch in slices(batches):
+            x = [features(passages(t), len(t)).tobytes() for t in (x or "" for x in batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["_key", "_x"])
+
+    encoded = source.mapInArrow(encode, T.StructType([source.schema.fields[0], T.StructField("_x", T.BinaryType())]))
+    known = unambiguous(labels, label, key).select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_y"))
+    path = scratch_path(docs.sparkSession, "bags")
+    # labels are of any number, so none are broadcast: the same plan at any size
+    encoded.join(known.hint("merge"), "_key").select("_x", "_y").write.parquet(path)
+    bags = docs.sparkSession.read.parquet(path)
+    n, good = bags.agg(F.count("*"), F.sum("_y")).first()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
+        part, own, seen = TaskContext.get().partitionId(), copy.deepcopy(model), 0
+        g = np.random.default_rng([5, part])
+        for batch in slices(batches):
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            x = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in batch.column(0).to_pylist()]
+            if x:
+                own.go_on(x, y, np.where(y == 1, 0.5 * n / good, 0.5 * n / (n - good)), g, rate)
+                seen += len(x)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([float(seen)]), "p": pa.array([flat(own.p)], pa.binary())})
+
+    if not n or not 0 < good < n:
+        remove(docs.sparkSession, path)
+        return model
+    out = copy.deepcopy(model)
+    out.p = averaged(bags.mapInArrow(run, "part int, n double, p binary"), model.p)
+    remove(docs.sparkSession, path)
+    return out
+
+
 def score(docs: DataFrame, model: AttentionBags | Constant, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
     """``key``, the columns in ``keep`` and ``name``, the score (0 to 1, higher: label 1 likelier) of each row."""
     source = docs.select(key, F.col(text).alias("_text"), *keep)

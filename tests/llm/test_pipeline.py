@@ -10,7 +10,8 @@ from test_ngram_join import brute
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from skein.llm import queries
+from skein.llm import langid, quality, queries
+from skein.llm.common import fold
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,6 +63,57 @@ def test_texts_of_no_learned_language_go(spark):
     assert share([k for k, v in lang.items() if v != "de"]) > 0.98
 
 
+def test_all_held_out_texts_set_the_least_score(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    word = lambda letters: "".join(g.choice(list(letters), 4))
+    text = lambda own, other, n: " ".join(word(own if g.random() < n else other) for _ in range(8))
+    # three languages, one of them rare; the clearer or the less clear a text, the more or fewer words of its own language
+    rows = [(k, text("aeiou", "bcdfg", g.uniform(0.4, 1)), "v") if k % 2 else (k, text("bcdfg", "aeiou", g.uniform(0.4, 1)), "c") for k in range(9000)]
+    rows += [(k, text("wxyz", "aeiou", g.uniform(0.4, 1)), "w") for k in range(9000, 9200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.train(docs, fold(F.col("doc_id"), 3) != 1, per_label=100)
+    monkeypatch.setattr(langid, "train", lambda *a, **k: net)
+    monkeypatch.setattr(langid, "teach", lambda *a, **k: net, raising=False)
+    found = langid.predict(docs, net, keep=("lang",)).withColumn("held", fold(F.col("doc_id"), 3) == 1).toPandas()
+    right = found[found["held"] & (found["lang"] == found["lang_pred"])]
+    least = np.quantile(right["score"], 0.005, method="lower")
+    assert len(right) > 2000 and right["lang"].nunique() == 3
+    assert {r["doc_id"] for r in pipeline.known_language(spark, docs, "").collect()} == set(found[found["score"] >= least]["doc_id"])
+
+
+def test_every_text_outside_the_held_out_fold_is_learned(spark, monkeypatch):
+    # one text in eight is of letters that the sample, of ten texts of each kind, holds too seldom or never
+    g = np.random.default_rng(5)
+    word = lambda letters: "".join(g.choice(list(letters), 4))
+    seldom = lambda k: k % 16 < 2
+    rows = [(k, " ".join(word((("hijk", "lmno") if seldom(k) else ("abcd", "vxyz"))[k % 2]) for _ in range(30)), "ab"[k % 2]) for k in range(3200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn = fold(F.col("doc_id"), 3) != 1
+    net = langid.train(docs.filter("doc_id % 16 >= 2"), learn, per_label=10)
+    loss = lambda n: float(np.mean([1 - s if p == y else s for _, y, p, s in langid.predict(docs.filter((~learn) & (F.col("doc_id") % 16 < 2)), n, keep=("lang",)).collect()]))
+    assert loss(langid.teach(docs, net, learn)) < 0.8 * loss(net)
+    assert langid.teach(docs, None, learn) is None and langid.teach(docs.limit(0), net, learn) is net
+    monkeypatch.setattr(langid, "train", lambda *a, **k: net)
+    taught = []
+    monkeypatch.setattr(langid, "least_share", lambda found, n, *a: taught.append(n) or 0.0)
+    pipeline.known_language(spark, docs, "")
+    assert loss(taught[0]) < 0.8 * loss(net)
+
+
+def test_every_labelled_text_is_learned(spark):
+    # bad texts are of two kinds; the model begins without the second, which is half of them
+    text = lambda k: ("plain words of a text " if k % 2 else "$$ ## %% " if k % 4 else "12 34 5678 ") * (20 + k % 7)
+    docs = spark.createDataFrame([(k, text(k)) for k in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4000)], "doc_id long, quality int")
+    learn = fold(F.col("doc_id"), 4) != 2
+    model = quality.train(docs.filter("doc_id % 4 > 0"), labels, learn, per_label=20)
+    share = lambda m: np.mean([r["score"] for r in quality.score(docs.filter((~learn) & (F.col("doc_id") % 4 == 0)), m).collect()])
+    before, after = share(model), quality.teach(docs, labels, model, learn)
+    assert share(after) < before / 2
+    empty = quality.Constant(1.0)
+    assert quality.teach(docs, labels, empty, learn) is empty and quality.teach(docs, labels.limit(0), model, learn) is model
+
+
 def test_near_copies_of_two_changed_words(spark):
     words = [f"w{k}" for k in range(100)]
     other = [("x" if k in (30, 70) else "") + w for k, w in enumerate(words)]  # five words: 86 of 106 alike, four: 89 of 105
