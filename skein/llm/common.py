@@ -114,6 +114,11 @@ def free_worker() -> None:
     """Gives back what a worker kept for another operator: workers outlive operators, and their memory is bounded together."""
     _store().clear()
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Gives the system what Arrow and the C library have freed but kept: over many batches that grows to several times what is in use."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import free_worker, fresh, slices, split_words, written
+from skein.llm.common import free_worker, fresh, give_back, slices, split_words, written
 from skein.operators.components import min_labels
 from skein.plans.scratch import remove, scratch_path
 
@@ -178,6 +178,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             waiting += [s for s in ngram_sets(batch.column(0), words) if len(s)]
             if sum(map(len, waiting)) > 3_000_000:
                 columns, counts = settled()
+                give_back()
         if waiting:
             columns, counts = settled()
         often = counts >= local_count
@@ -206,6 +207,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             hot = [known(c, frequent)[1] for c in first]
             split = [[c[h != rare].view(np.int64) for c, h in zip(first, hot, strict=True)] for rare in (True, False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(c, pa.list_(pa.int64())) for c in split)], names=["id", "n", "k1", "k2", "first", "hot"])
+            give_back()
 
     # the first columns take most of this table's room: it goes once they have been dealt
     path = scratch_path(spark, "ngram-first")
@@ -315,6 +317,7 @@ class _Products:
                 batch = batch.filter(pa.array((wanted[at >> 6] >> (at & 63)) & 1 == 1))
                 if batch.num_rows:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in ngram_sets(batch.column(1), words)], pa.list_(pa.int64()))], names=["id", "set"])
+                give_back()
 
         def product(rows: pa.Table) -> pa.Table:
             rows = rows.sort_by("id")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from skein.llm.common import fresh, kept_by_worker, slices, split_words
+from skein.llm.common import fresh, give_back, kept_by_worker, slices, split_words
 
 #: Words after which a worker's table is emptied; a table of that size takes some 100 MB.
 MOST_WORDS = 1_500_000
@@ -251,14 +251,8 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
 
         encode = kept_by_worker(("word ids", tokenizer_path), lambda: WordIds(tokenizer_path))
         packer = Packer(capacity, window_sequences * capacity, quadratic, TaskContext.get().partitionId() * STRIDE, tries)
-
-        def rows():
-            for batch in slices(batches, ROWS):
-                yield from packer.add(batch.column(0).to_pylist(), encode(batch.column(1), end_id))
-            yield from packer.flush(last=True)
-
         some: list[tuple] = []
-        for row in rows():
+        for row in _pieces(batches, encode, packer, end_id):
             some.append(row)
             if len(some) == 8192:
                 yield _batch(some, kinds, schema.names, key_type)
@@ -270,6 +264,14 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     return source.mapInArrow(run, schema)
 
 
+def _pieces(batches: Iterable[pa.RecordBatch], encode: WordIds, packer: Packer, end_id: int) -> Iterator[tuple]:
+    """The pieces of one task's documents; what a batch needed besides is given back, as two workers and a grown heap share an executor's memory."""
+    for batch in slices(batches, ROWS):
+        yield from packer.add(batch.column(0).to_pylist(), encode(batch.column(1), end_id))
+        give_back()
+    yield from packer.flush(last=True)
+
+
 def _batch(rows: list[tuple], kinds: list, names: list[str], key_type) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(columns[0], key_type), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))], names=names)

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -8,6 +11,7 @@ from tokenizers import Tokenizer
 
 from skein.llm import packing
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", "Hello  World", "a\x1cb  c", "<|endoftext|> x", "<|ENDOFTEXT|>", "é é́ ́x", "\xa0a b\x85c​d", "don't  IT'S 12 3½ ﬁ", "x" * 3000, "word " * 9000, "ÀÉ Ünï\nß"]
 
@@ -72,3 +76,30 @@ def test_keys_of_any_type(spark):
     for kind in ("short", "string", "double", "date", "decimal(12,2)"):
         key = F.col("doc_id").cast("string").cast("date") if kind == "date" else F.col("doc_id").cast(kind)
         assert packing.pack(docs.withColumn("doc_id", key), PATH).groupBy("doc_id").count().count() in (1, 2)
+
+
+def test_a_task_keeps_no_freed_memory():
+    # in a process of its own: its words take some 4 MB, and what each batch needs besides some 50 MB
+    code = f"""
+import re, sys
+sys.path.insert(0, {ROOT!r})
+import numpy as np, pyarrow as pa
+from skein.llm import packing
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    g = np.random.default_rng(1)
+    words = np.array([f"w{{k}}" for k in range(100_000)])
+    for _ in range(3):
+        yield pa.RecordBatch.from_arrays([pa.array(range(1024)), pa.array([" ".join(words[g.integers(0, len(words), 600)]) for _ in range(1024)])], names=["doc_id", "text"])
+
+encode, made = packing.WordIds({PATH!r}), list(batches())
+before = held()
+for _ in packing._pieces(made, encode, packing.Packer(4096, 64 * 4096, 1 / 4096, 0), 2):
+    pass
+print("GREW", held() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert float(done.stdout.split("GREW")[1]) < 25, done.stdout + done.stderr
