@@ -9,7 +9,8 @@ its own document in the join, unless its text is that of another key. Repeated r
 (ties) share their fate: all rows of a kept key stay. Very long texts are read whole
 by every stage. An empty table passes through all stages and gives no pieces. Further
 columns pass the first three stages as they are, whatever their names, but for
-``_quality``, ``_lang`` and ``_share``.
+``_quality``, ``_lang`` and ``_share``. Each stage begins with small heaps on idle
+executors: what the stages before have grown them by is given back.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import langid, ngram_join, packing, quality
-from skein.llm.common import fold, scratch_path, table
+from skein.llm.common import fold, free_heaps, scratch_path, table
 from skein.llm.queries import tokenizer
 
 #: Below this score a document is rejected as of low quality.
@@ -31,6 +32,7 @@ def _but_key(docs: DataFrame) -> tuple[str, ...]:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier scores at ``LEAST_QUALITY`` or more; all labelled ones are learned but for the held-out fold."""
+    free_heaps(spark)
     labels, learn = table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2
     model = quality.teach(docs, labels, quality.train(docs, labels, learn), learn)
     return quality.score(docs, model, keep=_but_key(docs), name="_quality").filter(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
@@ -41,6 +43,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     All texts outside the held-out fold are learned, and all in it count for the least score.
     """
+    free_heaps(spark)
     held_out = fold(F.col("doc_id"), 3) == 1
     net = langid.teach(docs, langid.train(docs, ~held_out), ~held_out)
     least = langid.least_share(docs, net, held_out)
@@ -50,6 +53,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each group of near copies: sets of five words that are alike to 80 per cent or more."""
+    free_heaps(spark)
     found = ngram_join.near_duplicates(docs, words=5, percent=80)
     kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
     return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
@@ -57,6 +61,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences."""
+    free_heaps(spark)
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 

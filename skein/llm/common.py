@@ -124,6 +124,16 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def free_heaps(spark: SparkSession) -> None:
+    """Lets the executors' heaps give back what an earlier stage has grown them by: a heap keeps its size until it is collected as a whole.
+
+    One small task for each core, so that idle executors get some each; results never depend on which of them did.
+    """
+    n = spark.sparkContext.defaultParallelism
+    with contextlib.suppress(Exception):  # a platform may not allow the call
+        spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("_")).write.format("noop").mode("overwrite").save()
+
+
 def _store() -> dict:
     module = sys.modules.setdefault("_skein_worker", types.ModuleType("_skein_worker"))
     return module.__dict__.setdefault("kept", {})

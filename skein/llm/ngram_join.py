@@ -44,6 +44,8 @@ from skein.plans.scratch import remove, scratch_path
 #: Bits of the filter that keeps texts which share no column from being hashed again (2 MB).
 FILTER_BITS = 1 << 24
 ROWS = 2048
+#: N-grams that are hashed at once, and that a task gathers before it counts them: what those steps need besides is several times as much.
+SPAN, GATHERED = 1 << 16, 1 << 22
 MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -61,9 +63,11 @@ def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     bounds, flat = offsets.tolist(), words[number] if len(number) else np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         grams = np.zeros(max(0, len(flat) - n + 1), np.uint64)
-        for k in range(n if len(grams) else 0):
-            grams = _mix(grams, flat[k : len(flat) - n + 1 + k], k)
-        grams ^= grams >> np.uint64(32)
+        for at in range(0, len(grams), SPAN):
+            h = grams[at : at + SPAN]
+            for k in range(n):
+                h = _mix(h, flat[at + k : at + k + len(h)], k)
+            grams[at : at + SPAN] = h ^ (h >> np.uint64(32))
         out = []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a >= n:
@@ -108,6 +112,42 @@ def first_columns(sets: list[np.ndarray], frequent: np.ndarray, counts: np.ndarr
     return out
 
 
+def column_counts(batches: Iterator[pa.RecordBatch], words: int, gathered: int = GATHERED) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of one task's n-grams, and of how many texts, counted from when one was first met twice among ``gathered``.
+
+    What was met once so far is forgotten: the counts only order columns. Hashes lie in one buffer that is sorted in place,
+    and only those that repeat are taken out of it, as two workers and a grown heap share an executor's memory.
+    """
+    columns, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    room, used = np.empty(gathered, np.uint64), 0
+
+    def settled() -> tuple[np.ndarray, np.ndarray]:
+        some = room[:used]
+        some.sort()
+        again = some[1:] == some[:-1]
+        edge = np.diff(again, prepend=False, append=False)  # where a run of equal ones begins, and where it ends
+        runs = np.flatnonzero(edge).reshape(-1, 2)
+        new, n = some[runs[:, 0]], runs[:, 1] - runs[:, 0] + 1
+        total = counts + np.searchsorted(some, columns, "right") - np.searchsorted(some, columns, "left")
+        more = ~known(new, columns)[1]
+        at = np.searchsorted(columns, new[more])
+        return np.insert(columns, at, new[more]), np.insert(total, at, n[more])
+
+    for batch in slices(batches, ROWS):
+        for s in ngram_sets(batch.column(0), words):
+            if used + len(s) > len(room):
+                columns, counts = settled()
+                used = 0
+                if len(s) > len(room):
+                    room = np.empty(len(s), np.uint64)
+            room[used : used + len(s)] = s
+            used += len(s)
+        give_back()
+    if used:
+        columns, counts = settled()
+    return columns, counts
+
+
 def links(ids: np.ndarray, sets: list[np.ndarray], percent: int, dense_from: int = 9) -> list[tuple[int, int]]:
     """A spanning forest of the links among a block's sets: pairs of ids whose sets are as similar as ``percent``."""
     m = len(sets)
@@ -158,29 +198,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
-        columns, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        waiting: list[np.ndarray] = []
-
-        def settled() -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate(waiting), return_counts=True)
-            waiting.clear()
-            kept = np.searchsorted(columns, new)
-            known = kept < len(columns)
-            known[known] = columns[kept[known]] == new[known]
-            counts[kept[known]] += n[known]
-            # what was met once so far is forgotten: the counts only order columns
-            more = ~known & (n > 1)
-            flat, total = np.concatenate([columns, new[more]]), np.concatenate([counts, n[more]])
-            order = np.argsort(flat)
-            return flat[order], total[order]
-
-        for batch in slices(batches, ROWS):
-            waiting += [s for s in ngram_sets(batch.column(0), words) if len(s)]
-            if sum(map(len, waiting)) > 3_000_000:
-                columns, counts = settled()
-                give_back()
-        if waiting:
-            columns, counts = settled()
+        columns, counts = column_counts(batches, words)
         often = counts >= local_count
         yield pa.RecordBatch.from_arrays([pa.array(columns[often].view(np.int64)), pa.array(counts[often])], names=["s", "n"])
 

@@ -1,11 +1,17 @@
+import os
 import random
 import re
+import subprocess
+import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
 from skein.llm import ngram_join
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def words(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
@@ -134,3 +140,60 @@ def test_large_groups_of_near_copies_are_not_compared_block_by_block(spark, monk
     got = run(spark, rows, block_rows=8)
     assert got == brute(rows) and {c for k, _, c in got if k < 90} == {0}
     assert seen[0].filter("id < 90").count() == 0
+
+
+def test_columns_are_counted_in_little_memory():
+    # in a process of its own: the operator's first pass over 6,144 texts of 900 words
+    code = f"""
+import re, sys, threading, time
+from unittest.mock import MagicMock
+sys.path.insert(0, {ROOT!r})
+import numpy as np, pyarrow as pa
+from skein.llm import ngram_join
+
+class Got(Exception):
+    pass
+
+class Docs:
+    sparkSession = None
+    def select(self, *a): return self
+    def mapInArrow(self, f, schema): raise Got(f)
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def watch():
+    while True:
+        most[0] = max(most[0], held())
+        time.sleep(0.005)
+
+g = np.random.default_rng(1)
+words = np.array([f"w{{k}}" for k in range(20_000)])
+made = [pa.RecordBatch.from_arrays([pa.array([" ".join(words[g.integers(0, len(words), 900)]) for _ in range(2048)])], names=["t"]) for _ in range(3)]
+ngram_join.F = MagicMock()
+try:
+    ngram_join.near_duplicates(Docs())
+except Got as e:
+    count = e.args[0]
+before = held()
+most = [before]
+threading.Thread(target=watch, daemon=True).start()
+list(count(iter(made)))
+print("GREW", most[0] - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert float(done.stdout.split("GREW")[1]) < 150, done.stdout + done.stderr
+
+
+def test_counts_of_one_task():
+    g = np.random.default_rng(1)
+    words = np.array([f"w{k}" for k in range(30)])
+    texts = [" ".join(words[g.integers(0, 30, g.integers(0, 60))]) for _ in range(3000)] + [None, "", "a b"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 700])], names=["t"]) for k in range(0, len(texts), 700)]
+    want = Counter(int(x) for s in ngram_join.ngram_sets(pa.array(texts), 2) for x in s)
+    columns, counts = ngram_join.column_counts(iter(batches), 2)
+    assert columns.tolist() == sorted(columns.tolist()) and dict(zip(columns.tolist(), counts.tolist())) == {k: n for k, n in want.items() if n > 1}
+    for gathered in (10, 5000):  # a buffer smaller than a text's set too
+        columns, counts = ngram_join.column_counts(iter(batches), 2, gathered)
+        assert len(columns) and all(n <= want[k] for k, n in zip(columns.tolist(), counts.tolist())) and (counts > 1).all()
+    assert len(ngram_join.column_counts(iter([]), 2)[0]) == 0

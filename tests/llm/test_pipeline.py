@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, and the queries' registration."""
 
+import gc
 import zlib
 from collections import defaultdict
 
@@ -128,5 +129,16 @@ def test_extra_columns_pass_through(spark):
     assert pipeline.STAGES[2][1](spark, docs.limit(0), SF).count() == 0
 
 
+def test_each_stage_begins_with_a_heap_that_was_given_back(spark):
+    docs, runtime = spark.read.parquet(f"{SF}/documents.parquet"), spark._jvm.java.lang.Runtime.getRuntime()
+    for name, stage in pipeline.STAGES:
+        grown = spark._jvm.java.nio.ByteBuffer.allocate(1500 << 20)
+        had = runtime.totalMemory()
+        del grown
+        gc.collect()
+        stage(spark, docs.limit(0), SF)
+        assert runtime.totalMemory() < had - (400 << 20), name
+
+
 def test_registered():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
