@@ -17,7 +17,8 @@ accumulated column by column (sparsely for rare columns, as a product of dense
 slices for common ones) and compared with the bound that the two sizes give.
 
 A product returns a spanning forest of its links only, so that a group of near
-copies never becomes all its pairs; components of links are then contracted.
+copies never becomes all its pairs; components of links are then contracted. Each step
+writes a table and gives back the disk of what it shuffled.
 
 A null or empty text, or one without words, has no n-grams and no links. Rows that
 share a key are one document. A null key gets the component of its set's smallest
@@ -33,15 +34,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import free_worker, fresh, give_back, slices, split_words, written
+from skein.llm.common import free_worker, fresh, give_back, slices, split_words
 from skein.operators.components import min_labels
-from skein.plans.scratch import remove, scratch_path
+from skein.plans.scratch import freed_shuffles, remove, scratch_path, written
 
-#: Bits of the filter that keeps texts which share no column from being hashed again (2 MB).
+#: Bits of the filters that keep rows which are no copies from being looked up, and texts which share no column from being hashed again (2 MB).
 FILTER_BITS = 1 << 24
 ROWS = 2048
 #: N-grams that are hashed at once, and that a task gathers before it counts them: what those steps need besides is several times as much.
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         often = counts >= local_count
         yield pa.RecordBatch.from_arrays([pa.array(columns[often].view(np.int64)), pa.array(counts[often])], names=["s", "n"])
 
-    met = written(source.select("t").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "ngram-counts")
+    met = _written(source.select("t").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "ngram-counts")
     power = F.floor(F.log2("n"))
     room, least = most_frequent, 64
     for row in met.groupBy(power.alias("p")).count().orderBy(F.desc("p")).collect():  # at most 64 rows
@@ -227,22 +228,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(c, pa.list_(pa.int64())) for c in split)], names=["id", "n", "k1", "k2", "first", "hot"])
             give_back()
 
-    # the first columns take most of this table's room: it goes once they have been dealt
-    path = scratch_path(spark, "ngram-first")
+    # the first columns take most of this table's room, as those of them that several have do of the next: each goes once the next is written
+    path, held = scratch_path(spark, "ngram-first"), scratch_path(spark, "ngram-columns")
     schema = "id long, n long, k1 long, k2 long, first array<long>, hot array<long>"
     source.mapInArrow(sign, schema).write.parquet(path)
     first = spark.read.schema(schema).parquet(path)
-    signed = written(first.drop("first", "hot"), "ngram-signed")
-    sets = written(signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "ngram-sets")
-    placed, blocks = _placed(first, sets, percent, shared, block_rows)
+    signed = first.drop("first", "hot")
+    sets = signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
+    signed = _written(signed.join(sets, ["k1", "k2", "n"], "left").select("id", "n", "rep"), "ngram-signed")
+    with freed_shuffles(spark):
+        _columns(first, signed).write.parquet(held)
     remove(spark, path)
+    columns = _enough(spark.read.schema("s long, id long").parquet(held), signed, percent, shared)
+    remove(spark, held)
+    placed = _placed(columns, block_rows)
     multiply = _Products(source, words, percent)
     links_ = [multiply(_inside(placed))]
     label = links_[0].groupBy("src").agg(F.min("dst").alias("dst"))
-    round_, waiting = 0, blocks.filter(F.col("df") > block_rows).select("id", "hot")
+    round_, waiting = 0, _written(placed.filter(F.col("df") > block_rows).select("id", "hot").distinct(), "ngram-waiting")
     while not waiting.isEmpty():
         # a row that points at none stands for its component
-        waiting = written(waiting.join(label.select(F.col("src").alias("id")), "id", "left_anti"), "ngram-representatives")
+        waiting = _written(waiting.join(label.select(F.col("src").alias("id")), "id", "left_anti"), "ngram-representatives")
         parts = waiting.groupBy("hot").agg(F.ceil(F.count("*") / block_rows).alias("parts"), F.count("*").alias("rows")).filter("rows > 1")
         dealt = waiting.join(parts, "hot").select(F.xxhash64("hot", F.pmod(F.xxhash64("id", F.lit(round_)), "parts")).alias("b1"), "id")
         found = multiply(dealt.select("b1", F.col("b1").alias("b2"), "id"))
@@ -251,7 +257,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         links_.append(found)
         new = found.groupBy("src").agg(F.min("dst").alias("dst"))
         moved = label.withColumnRenamed("dst", "mid").join(new.select(F.col("src").alias("mid"), F.col("dst").alias("to")), "mid", "left").select("src", F.coalesce("to", "mid").alias("dst"))
-        label = written(moved.unionByName(new), "ngram-labels")
+        label = _written(moved.unionByName(new), "ngram-labels")
         waiting = waiting.join(parts.filter("parts > 1").select("hot"), "hot", "left_semi")
         round_ += 1
     links_.append(multiply(_across(placed, label)))
@@ -259,30 +265,58 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     for more in links_[1:]:
         edges = edges.unionByName(more)
     component = min_labels(edges)
-    rows = signed.select("id", "n", "k1", "k2").join(sets, ["k1", "k2", "n"], "left").join(component.withColumnRenamed("id", "rep"), "rep", "left")
+    rows = signed.join(component.withColumnRenamed("id", "rep"), "rep", "left")
     return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
-def _placed(first: DataFrame, sets: DataFrame, percent: int, shared: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(s, id, need, block): the first columns that more than one set has, by the block of each set; and (id, hot, df): each set's hottest column."""
-    # a document that is as similar may be shorter, down to this, and then shares as much as that calls for
-    shortest = F.ceil(F.col("n") * percent / 100)
-    need = F.least(F.ceil(shortest * percent / 100), F.greatest(F.lit(shared), F.floor(shortest / 32))).cast("int")
-    rows = first.filter("n > 0").join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", need.alias("need"), "first", "hot")
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back; what its plan has shuffled is deleted then."""
+    with freed_shuffles(df.sparkSession):
+        return written(df, name)
+
+
+def _bit(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(7), id_), F.lit(FILTER_BITS))
+
+
+def _filter(ids: DataFrame) -> DataFrame:
+    """(at, w): the words, of 64 bits each, of a filter of the column id; at most FILTER_BITS / 64 rows."""
+    return ids.select(_bit(F.col("id")).alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("w"))
+
+
+def _columns(first: DataFrame, signed: DataFrame) -> DataFrame:
+    """(s, id): the first columns that more than one set has."""
+    # only rows that a filter takes for copies of others are shuffled whole, to be looked up among the sets
+    copies = F.broadcast(_filter(signed.filter("id != rep")))
+    rows = first.filter("n > 0 and id is not null").select("id", "first", "hot", _bit(F.col("id")).alias("b")).join(copies, F.shiftright("b", 6) == F.col("at"), "left")
+    copy = F.col("w").isNotNull() & (F.expr("shiftright(w, cast(b & 63 as int)) & 1") == 1)
+    sets = signed.filter("rep is not null").select(F.col("rep").alias("id")).distinct()  # a semi join would be moved below the filter, to all rows
+    rows = rows.filter(~copy).select("id", "first", "hot").unionByName(rows.filter(copy).select("id", "first", "hot").join(sets, "id"))
     # columns of the table of frequent ones are as many as that at most: their counts are broadcast, and none of them fills a task
-    hot = rows.select("id", "need", F.explode("hot").alias("s"))
+    hot = rows.select("id", F.explode("hot").alias("s"))
     hot = hot.join(F.broadcast(hot.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")), "s")
     # a column that is not in that table is rare, or has a small share of all that are as common as the table's rarest
-    rare = rows.select("id", "need", F.explode("first").alias("s")).withColumn("df", F.count("*").over(Window.partitionBy("s"))).filter("df > 1")
-    columns = hot.select("s", "id", "need", "df").unionByName(rare.select("s", "id", "need", "df"))
+    rare = rows.select("id", F.explode("first").alias("s")).withColumn("df", F.count("*").over(Window.partitionBy("s"))).filter("df > 1")
+    return hot.select("s", "id").unionByName(rare.select("s", "id"))
+
+
+def _enough(columns: DataFrame, signed: DataFrame, percent: int, shared: int) -> DataFrame:
+    """(s, id, need): the columns of the sets that have as many of them as they need."""
+    # a document that is as similar may be shorter, down to this, and then shares as much as that calls for; of rows that share a key the shortest counts
+    shortest = F.ceil(F.col("n") * percent / 100)
+    need = F.least(F.ceil(shortest * percent / 100), F.greatest(F.lit(shared), F.floor(shortest / 32))).cast("int")
+    needs = signed.filter("n > 0").groupBy("id").agg(F.min(need).alias("need"))
     own = F.count("*").over(Window.partitionBy("id"))
-    columns = written(columns.withColumn("own", own).filter("own >= need").drop("own"), "ngram-columns")
-    # rows that went left columns behind that no two rows have any more
+    return _written(columns.withColumn("own", own).join(needs, "id").filter("own >= need").select("s", "id", "need"), "ngram-columns")
+
+
+def _placed(columns: DataFrame, block_rows: int) -> DataFrame:
+    """(s, id, need, block, hot, df): those columns that two sets have still, with the block of each set, its hottest column and how many have that."""
     again = columns.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    columns = written(columns.drop("df").join(again, "s").withColumn("own", own).filter("own >= need").select("s", "id", "need", "df"), "ngram-columns")
-    blocks = columns.groupBy("id").agg(F.max(F.struct("df", "s")).alias("h")).select("id", F.col("h.s").alias("hot"), F.col("h.df").alias("df"))
-    blocks = written(blocks.withColumn("block", F.xxhash64("hot", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / block_rows)))), "ngram-hottest")
-    return written(columns.drop("df").join(blocks.select("id", "block"), "id"), "ngram-blocks"), blocks
+    each = Window.partitionBy("id")
+    rows = columns.join(again, "s").withColumn("own", F.count("*").over(each)).withColumn("h", F.max(F.struct("df", "s")).over(each)).filter("own >= need")
+    rows = rows.select("s", "id", "need", F.col("h.s").alias("hot"), F.col("h.df").alias("df"))
+    return _written(rows.withColumn("block", F.xxhash64("hot", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / block_rows)))), "ngram-blocks")
 
 
 def _inside(placed: DataFrame) -> DataFrame:
@@ -300,11 +334,11 @@ def _across(placed: DataFrame, label: DataFrame) -> DataFrame:
         # columns that one component has alone, or one block, say nothing; nor do rows with too few others
         held = rows.groupBy("s", F.col("block").alias("b")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
         several = held.groupBy("s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).filter("lo != hi and n > 1").select("s")
-        rows = written(rows.join(several, "s", "left_semi").withColumn("own", own).filter("own >= need").drop("own"), "ngram-several")
+        rows = _written(rows.join(several, "s", "left_semi").withColumn("own", own).filter("own >= need").drop("own"), "ngram-several")
     held = rows.groupBy("s", F.col("block").alias("b")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     met = rows.join(held, "s").filter("block != b and not (lo = c and hi = c)")
     met = met.groupBy(F.least("block", "b").alias("b1"), F.greatest("block", "b").alias("b2"), "id", "block", "c").agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    met = written(met.filter("n >= need").select("b1", "b2", "id", F.col("block").alias("b"), "c"), "ngram-met")
+    met = _written(met.filter("n >= need").select("b1", "b2", "id", F.col("block").alias("b"), "c"), "ngram-met")
     sides = met.groupBy("b1", "b2", "b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     other = sides.select("b1", "b2", F.when(F.col("b") == F.col("b1"), F.col("b2")).otherwise(F.col("b1")).alias("b"), "lo", "hi")
     return met.join(other, ["b1", "b2", "b"]).filter("not (lo = c and hi = c)").select("b1", "b2", "id")
@@ -318,10 +352,8 @@ class _Products:
 
     def __call__(self, tiles: DataFrame) -> DataFrame:
         words, percent = self.words, self.percent
-        tiles = written(tiles, "ngram-tiles")
-        bit = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(FILTER_BITS))
-        # at most FILTER_BITS / 64 rows
-        bits = tiles.select(bit(F.col("id")).alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("w")).toPandas()
+        tiles = _written(tiles, "ngram-tiles")
+        bits = _filter(tiles).toPandas()
         empty = tiles.sparkSession.createDataFrame([], "src long, dst long")
         if bits.empty:
             return empty
@@ -342,8 +374,8 @@ class _Products:
             found = links(rows["id"].to_numpy(), [np.asarray(s, np.int64).view(np.uint64) for s in _arrays(rows["set"])], percent)
             return pa.table({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
 
-        full = self.source.select("id", "t", bit(F.col("id")).alias("b")).mapInArrow(again, "id long, set array<long>")
-        return written(tiles.join(full, "id").groupBy("b1", "b2").applyInArrow(product, "src long, dst long"), "ngram-links")
+        full = self.source.select("id", "t", _bit(F.col("id")).alias("b")).mapInArrow(again, "id long, set array<long>")
+        return _written(tiles.join(full, "id").groupBy("b1", "b2").applyInArrow(product, "src long, dst long"), "ngram-links")
 
 
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:

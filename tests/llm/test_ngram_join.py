@@ -3,7 +3,9 @@ import random
 import re
 import subprocess
 import sys
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -197,3 +199,34 @@ def test_counts_of_one_task():
         columns, counts = ngram_join.column_counts(iter(batches), 2, gathered)
         assert len(columns) and all(n <= want[k] for k, n in zip(columns.tolist(), counts.tolist())) and (counts > 1).all()
     assert len(ngram_join.column_counts(iter([]), 2)[0]) == 0
+
+
+def test_disk_is_given_back_step_by_step(spark, monkeypatch):
+    dirs = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f: f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*.data") if f.exists()}
+
+    before, left, written = set(shuffled()), [], ngram_join.written
+
+    def watched(df, name):
+        end = time.time() + 5  # executors delete a little later
+        while time.time() < end and (held := sum(n for f, n in shuffled().items() if f not in before)) > 100_000:
+            time.sleep(0.1)
+        left.append(held)
+        return written(df, name)
+
+    monkeypatch.setattr(ngram_join, "written", watched)
+    g = random.Random(7)
+    rows = [(k, " ".join(f"w{g.randrange(900)}" for _ in range(400))) for k in range(300)]
+    rows += [(k + 1000, t + " end") for k, t in rows]
+    got = run(spark, rows)
+    assert {c for k, _, c in got} == set(range(300)) and max(left) < 100_000, left
+
+
+def test_the_filter_of_copies_only_saves_work(spark, monkeypatch):
+    rows = made(4, 60)
+    rows += [(k + 500, t) for k, t in rows[::2]] + [(3, "some other words that no text has"), (3, "x"), (600, "x")]
+    assert run(spark, rows) == brute(rows)
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 64)  # which takes most rows for copies
+    assert run(spark, rows) == brute(rows)
