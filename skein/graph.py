@@ -38,6 +38,7 @@ class Graph:
 
     ``sequential``: ids are 0 to n - 1 and stay so (removing a vertex renumbers those above it).
     ``value``: one user value for the whole graph. ``boundaries``: first ids of the partitions.
+    ``about``: roughly how many edges there are, if known; operators deal large shuffles over more tasks by it.
     """
 
     vertices: DataFrame
@@ -46,12 +47,13 @@ class Graph:
     sequential: bool = False
     value: Any = None
     boundaries: tuple = ()
+    about: int = 0
     _counts: dict[str, int] = field(default_factory=dict, compare=False, repr=False)
 
     # -- building -----------------------------------------------------------------
 
     @classmethod
-    def from_edges(cls, edges: DataFrame, vertices: DataFrame | None = None, *, src: str = "src", dst: str = "dst", id: str = "id", n_vertices: int | None = None, keep: str = "all", directed: bool = True, value: Any = None, boundaries: Iterable = (), require_sorted: bool = False) -> Graph:
+    def from_edges(cls, edges: DataFrame, vertices: DataFrame | None = None, *, src: str = "src", dst: str = "dst", id: str = "id", n_vertices: int | None = None, keep: str = "all", directed: bool = True, value: Any = None, boundaries: Iterable = (), require_sorted: bool = False, about: int = 0) -> Graph:
         """A graph from an edge table and, where given, a vertex table; columns are mapped by name.
 
         ``n_vertices``: ids are 0 to that less one, whether an edge names them or not; an edge beyond is an error.
@@ -90,7 +92,7 @@ class Graph:
             v = e.sparkSession.range(n_vertices)
         else:
             v = e.select(F.col("src").alias("id")).unionAll(e.select(F.col("dst").alias("id"))).distinct()
-        return cls(v, e, directed, n_vertices is not None, value, tuple(boundaries))
+        return cls(v, e, directed, n_vertices is not None, value, tuple(boundaries), about)
 
     @classmethod
     def from_rows(cls, spark: SparkSession, edges: Iterable[tuple], n_vertices: int | None = None, weight: str = "value", **kw) -> Graph:

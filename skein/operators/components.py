@@ -56,11 +56,11 @@ def weak_components(arcs: DataFrame, vertices: DataFrame | None = None) -> DataF
 def connected_components(g) -> DataFrame:
     """(id, component): components numbered from 0 by their smallest id. Direction is ignored."""
     label = written(weak_components(g.edges, g.vertices), "components")
-    number = _numbered(label.select("component").distinct())
+    number = numbered(label.select("component").distinct())
     return label.join(number, "component").select("id", F.col("number").alias("component"))
 
 
-def _numbered(keys: DataFrame) -> DataFrame:
+def numbered(keys: DataFrame) -> DataFrame:
     """Distinct ``component`` keys numbered from 0 in ascending order: ranks within key ranges, plus what the ranges before hold."""
     dealt = written(keys.repartitionByRange("component").withColumn("_p", F.spark_partition_id()), "ranges")
     before, at = {}, 0
@@ -173,7 +173,7 @@ def condensation_order(g) -> DataFrame:
     arcs = g.edges.select("src", "dst").join(a, "src").join(b, "dst").filter("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
     dag = Graph.from_edges(arcs, label.select(F.col("component").alias("id")).distinct())
     layers = topological_layers(dag).select(F.struct("layer", "id").alias("component"))
-    number = _numbered(layers).select(F.col("component.id").alias("component"), "number")
+    number = numbered(layers).select(F.col("component.id").alias("component"), "number")
     return label.join(number, "component").select("id", "component", "number")
 
 

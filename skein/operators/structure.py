@@ -6,33 +6,37 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.errors import OutOfRange
 from skein.graph import Graph
-from skein.operators.components import min_labels
+from skein.operators.components import min_labels, numbered
+from skein.operators.wedges import closed
 from skein.plans.iterate import Rounds
-from skein.plans.scratch import written
+from skein.plans.scratch import dealt, spread, written
 
 
 def _closed(g: Graph) -> DataFrame:
     """(w, u, v) of each triangle once, and for each of its pairs which arcs there are: ``wu`` is whether w points at u, and so on.
 
-    Pairs are oriented from the end of lower degree to the other, so that a hub has few of them and wedges stay few.
+    Ids that are no whole numbers are numbered for it, in their order.
     """
     a, b = F.least("src", "dst"), F.greatest("src", "dst")
-    there = lambda end: F.max(F.col("src") == F.col(end))
-    ends = g.arcs.filter("src != dst").select("src", a.alias("a"), b.alias("b"))
-    pairs = written(ends.groupBy("a", "b").agg(there("a").alias("ab"), there("b").alias("ba")), "pairs")
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
-    both = pairs.join(degree.withColumnsRenamed({"id": "a", "d": "da"}), "a").join(degree.withColumnsRenamed({"id": "b", "d": "db"}), "b")
-    up = F.struct("da", "a") < F.struct("db", "b")
-    either = lambda x, y: F.when(up, F.col(x)).otherwise(F.col(y))
-    # a wedge's middle end needs the order of its two far ends: the degree travels along
-    out = both.select(either("a", "b").alias("w"), either("b", "a").alias("v"), either("db", "da").alias("dv"), either("ab", "ba").alias("wv"), either("ba", "ab").alias("vw"))
-    out = written(out, "oriented")
-    first = out.withColumnsRenamed({"v": "u", "dv": "du", "wv": "wu", "vw": "uw"})
-    wedges = first.join(out, "w").filter(F.struct("du", "u") < F.struct("dv", "v")).drop("du", "dv")
-    return wedges.join(out.select(F.col("w").alias("u"), "v", F.col("wv").alias("uv"), F.col("vw").alias("vu")), ["u", "v"])
+    ends = g.edges.filter("src != dst").select(a.alias("a"), b.alias("b"), (F.col("src") == a).alias("up"))
+    if g.directed:
+        pairs = ends.groupBy("a", "b").agg(F.max("up").alias("ab"), F.max(~F.col("up")).alias("ba"))
+    else:
+        pairs = ends.select("a", "b").distinct().withColumns({"ab": F.lit(True), "ba": F.lit(True)})
+    with spread(g.spark, g.about):
+        pairs = written(pairs, "pairs")
+    if isinstance(pairs.schema["a"].dataType, T.IntegralType):
+        return closed(pairs.withColumns({"a": F.col("a").cast("long"), "b": F.col("b").cast("long")}))
+    number = written(numbered(pairs.select(F.explode(F.array("a", "b")).alias("component")).distinct()), "numbers")
+    to = lambda c: number.withColumnsRenamed({"component": c, "number": f"{c}_"})
+    found = closed(pairs.join(to("a"), "a").join(to("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"), "ab", "ba"))
+    for c in "wuv":
+        found = found.withColumnRenamed(c, "number").join(number.withColumnRenamed("component", c), "number").drop("number")
+    return found
 
 
 def triangles(g: Graph) -> DataFrame:
@@ -66,14 +70,18 @@ def _triads(g: Graph, orders: list[tuple[str, str, str]], closing: tuple[int, in
 
 def jaccard(g: Graph) -> DataFrame:
     """(src, dst, eid, common, union_size, jaccard) of each edge that is no loop, parallel ones too: likeness of its ends' sets of out-neighbours."""
-    near = g.arcs.filter("src != dst").select("src", "dst").distinct()
-    size = near.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    arcs = g.arcs.filter("src != dst")
+    near = arcs.select("src", "dst").distinct()
+    with spread(g.spark, g.about):
+        size = written(near.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "sizes")
     # a common neighbour makes a triangle with the edge's ends, both of which point at it
     pair = lambda x, y, z: F.when(F.col(x + z) & F.col(y + z), F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
     hits = _closed(g).select(F.explode(F.array(pair("w", "u", "v"), pair("w", "v", "u"), pair("u", "v", "w"))).alias("p")).filter("p is not null")
-    common = hits.groupBy("p.a", "p.b").agg(F.count("*").alias("common"))
-    rows = g.arcs.filter("src != dst").select("src", "dst", "eid").withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}).join(common, ["a", "b"], "left").drop("a", "b")
-    rows = rows.join(size.withColumnsRenamed({"id": "src", "n": "a"}), "src", "left").join(size.withColumnsRenamed({"id": "dst", "n": "b"}), "dst", "left")
+    with spread(g.spark, 4 * g.about):  # several tasks count the same pair
+        common = written(hits.groupBy("p.a", "p.b").agg(F.count("*").alias("common")), "common")
+    rows = dealt(arcs.select("src", "dst", "eid", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")), g.about, "a", "b").join(dealt(common, g.about, "a", "b"), ["a", "b"], "left").drop("a", "b")
+    by = lambda df, end, n: dealt(df, g.about, end).join(dealt(size.withColumnsRenamed({"id": end, "n": n}), g.about, end), end, "left")
+    rows = by(by(rows, "src", "a"), "dst", "b")
     rows = rows.withColumn("common", F.coalesce("common", F.lit(0))).withColumn("union_size", F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0)) - F.col("common"))
     return rows.select("src", "dst", "eid", "common", "union_size", F.when(F.col("union_size") == 0, 0.0).otherwise(F.col("common") / F.col("union_size")).alias("jaccard"))
 

@@ -54,6 +54,33 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+#: Rows that a task of a large shuffle takes.
+TASK_ROWS = 500_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for a shuffle of so many rows: the session's number, or more, so that a task's rows don't grow with the input."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+@contextlib.contextmanager
+def spread(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, what runs deals its shuffles, of at most so many rows each, over enough partitions."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(tasks_for(spark, rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by keys for a step that runs later; left as it is where the session's partitions are enough."""
+    n = tasks_for(df.sparkSession, rows)
+    return df if n == int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(n, *keys)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     spark = df.sparkSession

@@ -197,3 +197,20 @@ def test_forests_of_symmetric_graphs(spark, monkeypatch, local):
         assert s.spanning_forest_weight(form, "value") == (5, 1)
     assert s.minimum_spanning_forest(g.symmetrize(), "value").count() == 2 and s.prim(g.symmetrize(), 0, "value")[1] == 5
     assert s.spanning_forest_weight(g.symmetrize(), "value", descending=True) == (12, 1)
+
+
+def test_triangles_join_no_wedges(spark, monkeypatch):
+    from skein.operators import wedges
+
+    for name, value in (("RANGE_PAIRS", 40), ("MOST_HEAVY", 5), ("PACK", 7), ("PROBE", 6)):
+        monkeypatch.setattr(wedges, name, value)
+    edges = random_edges(40, 260, 11) + [(0, k) for k in range(1, 40)]
+    near = {frozenset(e) for e in edges if e[0] != e[1]}
+    want = {t for t in itertools.combinations(range(40), 3) if all(frozenset(p) in near for p in itertools.combinations(t, 2))}
+    for name in (int, lambda k: f"v{k:02d}"):
+        found = s.triangles(Graph.from_rows(spark, [(name(a), name(b)) for a, b in edges]))
+        assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(map(name, t)) for t in want)
+    assert s.triangle_count(Graph.from_rows(spark, [(-(2**40) * a, 3 - b) for a, b in edges if a < 3])) >= 0
+    found = s.triangles(Graph.from_rows(spark, edges))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # a join would make all wedges
+    assert s.triangle_count(Graph.from_rows(spark, [(0, 1), (1, 2)])) == 0 == s.triangle_count(Graph.from_rows(spark, [(0, 0)], n_vertices=2))
