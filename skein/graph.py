@@ -18,9 +18,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from skein.errors import GraphError, OutOfRange
-from skein.plans.scratch import written
+from skein.plans.scratch import dealt, tasks_for, written
 
 EDGE_KEYS = ("src", "dst", "eid")
+#: Targets that a source's pairs are made with at once.
+BLOCK = 1_000
 
 
 def _ordered(df: DataFrame, first: Iterable[str]) -> DataFrame:
@@ -223,8 +225,35 @@ class Graph:
 
     def find_edges(self, probes: DataFrame) -> DataFrame:
         """The first edge of each probed pair, where there is one."""
-        first = F.row_number().over(Window.partitionBy("src", "dst").orderBy("eid"))
-        return self.arcs.join(probes.select("src", "dst").distinct(), ["src", "dst"], "left_semi").withColumn("_n", first).filter("_n = 1").drop("_n")
+        return _first_of_pairs(self.arcs.join(probes.select("src", "dst"), ["src", "dst"], "left_semi"))
+
+    def contains_edges_alike(self, sources: DataFrame, targets: DataFrame) -> DataFrame:
+        """``contains_edges`` of every pair of a source and a target, tables of (id, k), whose k is the same; an id has one k.
+
+        Pairs are made last, in place, from targets in blocks: neither they nor a table of them are shuffled.
+        """
+        s, t = sources.select("id", "k").distinct(), targets.select("id", "k").distinct()
+        for ends in (s, t):
+            twice = ends.groupBy("id").count().filter("count > 1").limit(1).collect()
+            if twice:
+                raise GraphError(f"vertex {twice[0]['id']} has more than one k")
+        most, total = t.groupBy("k").agg(F.count("*").alias("t")).join(s.groupBy("k").agg(F.count("*").alias("s")), "k").agg(F.max("t"), F.sum(F.col("t") * F.col("s"))).first()
+        blocks = max(1, -(-(most or 0) // BLOCK))
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias("block")
+        have = self._alike(s, t).groupBy(F.col("src").alias("id"), block("dst")).agg(F.collect_set("dst").alias("have"))
+        spots = s.select("id", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+        spots = spots.join(have, ["id", "block"], "left").withColumnRenamed("id", "src")
+        n = tasks_for(self.spark, (total or 0) // 10)
+        both = spots.repartition(n, "k", "block").join(t.select(F.col("id").alias("dst"), "k", block("id")).repartition(n, "k", "block"), ["k", "block"])
+        return both.select("src", "dst", F.coalesce(F.array_contains("have", F.col("dst")), F.lit(False)).alias("found"))
+
+    def find_edges_alike(self, sources: DataFrame, targets: DataFrame) -> DataFrame:
+        """``find_edges`` of every pair of a source and a target, tables of (id, k), whose k is the same; the pairs are not made."""
+        return _first_of_pairs(self._alike(sources.select("id", "k").distinct(), targets.select("id", "k").distinct()))
+
+    def _alike(self, s: DataFrame, t: DataFrame) -> DataFrame:
+        keyed = dealt(self.arcs, self.about, "src").join(dealt(s.withColumnRenamed("id", "src"), self.about, "src"), "src")
+        return dealt(keyed, self.about, "dst", "k").join(dealt(t.withColumnRenamed("id", "dst"), self.about, "dst", "k"), ["dst", "k"], "left_semi").select(*self.arcs.columns)
 
     def out_degrees(self) -> DataFrame:
         return self._degrees("src")
@@ -352,6 +381,11 @@ class Graph:
         return self._with(v, e)
 
 
+def _first_of_pairs(arcs: DataFrame) -> DataFrame:
+    first = F.row_number().over(Window.partitionBy("src", "dst").orderBy("eid"))
+    return arcs.withColumn("_n", first).filter("_n = 1").drop("_n")
+
+
 def swapped(edges: DataFrame) -> DataFrame:
     """Edges with their ends exchanged."""
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(c for c in edges.columns if c not in ("src", "dst")))

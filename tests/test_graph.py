@@ -127,3 +127,22 @@ def test_string_ids_and_adjacency(spark):
     rows = spark.createDataFrame([(0, [1, 2]), (1, []), (5, None)], "id long, neighbours array<long>")
     a = Graph.from_adjacency(rows)
     assert ends(a.edges) == [(0, 1), (0, 2)] and a.num_vertices() == 4
+
+
+def test_pairs_of_like_ends_are_not_made_to_be_looked_up(spark, monkeypatch):
+    import skein.graph
+
+    monkeypatch.setattr(skein.graph, "BLOCK", 2)  # several blocks of targets
+    edges = [(a, b, 10 * a + b) for a in range(8) for b in range(100, 112) if (a * b) % 3 == 0]
+    g = Graph.from_rows(spark, edges + [(0, 102, 1), (0, 102, 2)])
+    alike = lambda ids: spark.createDataFrame([(i, None if i == 7 else i % 4) for i in ids] + [(ids[0], ids[0] % 4)], "id long, k long")
+    sources, targets = alike(list(range(10))), alike(list(range(98, 115)))
+    probes = sources.join(targets.withColumnRenamed("id", "dst"), "k").select(F.col("id").alias("src"), "dst").distinct()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(g.contains_edges_alike(sources, targets)) == rows(g.contains_edges(probes))
+    assert rows(g.find_edges_alike(sources, targets)) == rows(g.find_edges(probes)) and len(rows(g.find_edges_alike(sources, targets))) > 5
+    back = g.transpose()
+    assert rows(back.find_edges_alike(targets, sources)) == rows(back.find_edges(probes.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    assert rows(g.contains_edges_alike(sources.limit(0), targets)) == []
+    with pytest.raises(GraphError):
+        g.contains_edges_alike(sources.unionAll(sources.withColumn("k", F.col("k") + 1)), targets)
