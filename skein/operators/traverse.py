@@ -137,19 +137,22 @@ def _relaxed(g: Graph, sources: Any, weight, combine, minimize: bool, zero: Any,
 
 
 def _on_cycle(state: DataFrame, root: Column | None = None) -> Any | None:
-    """A vertex on a cycle of predecessors, or None: every vertex jumps along them until it has gone as far as there are vertices.
+    """A vertex on a cycle of predecessors, or None: vertices jump along them, twice as far each time, and leave once they are known to end at a root.
 
-    A source that nothing improved (``root``) is its own predecessor and hangs on no cycle; a loop does.
+    A source that nothing improved (``root``) is its own predecessor and hangs on no cycle; a loop does. What has jumped as
+    often as there are vertices has come to a cycle; without one, the jumps end with the longest path.
     """
     if root is None:
         root = (F.col("id") == F.col("predecessor")) & (F.col("distance") == 0)
-    start = written(state.select("id", F.col("predecessor").alias("to"), root.alias("root")), "hops")
-    hop, n, gone = start.select("id", "to"), start.count(), 1
+    hop = written(state.select("id", F.col("predecessor").alias("to"), F.coalesce(root, F.lit(False)).alias("root")).filter("not root").select("id", "to"), "hops")
+    n, gone = hop.count(), 1
     while gone < n:
+        # one that left ends at a root, and so does what points at it
         hop = written(hop.join(hop.select(F.col("id").alias("to"), F.col("to").alias("_to")), "to").select("id", F.col("_to").alias("to")), "hops")
         gone *= 2
-    ends = hop.select(F.col("to").alias("id")).distinct().join(start.filter("root"), "id", "left_anti")
-    return ends.agg(F.min("id")).first()[0]
+        if hop.isEmpty():
+            return None
+    return hop.join(hop.select(F.col("id").alias("to")), "to", "left_semi").agg(F.min("to")).first()[0]
 
 
 def init_shortest_paths(g: Graph) -> DataFrame:

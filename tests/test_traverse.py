@@ -151,3 +151,14 @@ def test_dijkstra_events_against_a_queue(spark):
         t.dijkstra_events(g, 0, "value", ["finished"])
     with pytest.raises(OutOfRange):
         t.dijkstra_events(Graph.from_rows(spark, [(0, 1, 0)]), 0, "value")
+
+
+def test_looking_for_a_cycle_ends_with_the_longest_path(spark, monkeypatch):
+    star = Graph.from_rows(spark, [(0, k, -1) for k in range(1, 300)] + [(7, 300, 1), (300, 301, 1)])
+    names = []
+    monkeypatch.setattr(t, "written", lambda df, name, f=t.written: (names.append(name), f(df, name))[1])
+    paths, cycle = t.bellman_ford(star, 0, "value")
+    assert cycle is None and {r["id"]: r["distance"] for r in paths.collect()}[301] == 1
+    assert names.count("hops") <= 9  # three looks of a few jumps, not of as many as halve 300 vertices
+    assert t.bellman_ford(Graph.from_rows(spark, [(0, 1, 1), (1, 2, -2), (2, 3, 0), (3, 1, 1), (1, 4, 0), (4, 5, 0), (0, 6, 0)]), 0, "value")[1] in (1, 2, 3)
+    assert t.bellman_ford(Graph.from_rows(spark, [(0, 0, -1), (0, 1, 1)]), 0, "value")[1] == 0
