@@ -96,15 +96,24 @@ def maximal_independent_set(g: Graph, seed: Any = None) -> DataFrame:
         raise OutOfRange(f"no vertex {seed}")
     # before another: the seed, else the smaller id
     rank = lambda c: F.struct((F.lit(True) if seed is None else F.col(c) != F.lit(seed)).alias("later"), F.col(c).alias("id"))
-    arcs = written(g.arcs.filter("src != dst").select("src", "dst").distinct().filter(rank("src") < rank("dst")), "mis-edges")
-    chosen = Rounds(g.vertices.select("id"), "mis")
-    left = written(g.vertices.select("id").join(loops, "id", "left_anti"), "mis-left")
-    arcs = written(arcs.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "mis-edges")
+    ends = lambda df: df.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+    if not g.directed:  # each edge once, from the earlier end
+        first = rank("src") < rank("dst")
+        pairs = g.edges.filter("src != dst").select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("dst"))
+    else:
+        pairs = g.edges.filter("src != dst").select("src", "dst").filter(rank("src") < rank("dst"))
+    with spread(g.spark, g.about):
+        arcs = written(pairs.distinct(), "mis-edges")
+        chosen = Rounds(g.vertices.select("id"), "mis")
+        left = written(g.vertices.select("id").join(loops, "id", "left_anti"), "mis-left")
+    with spread(g.spark, arcs.count()):
+        arcs = written(ends(arcs), "mis-edges")
     while not left.isEmpty():
-        free = chosen.add(left.join(arcs.select(F.col("dst").alias("id")), "id", "left_anti"))
-        out = arcs.join(free.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        left = written(left.join(free, "id", "left_anti").join(out, "id", "left_anti"), "mis-left")
-        arcs = written(arcs.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "mis-edges")
+        with spread(g.spark, arcs.count()):
+            free = chosen.add(left.join(arcs.select(F.col("dst").alias("id")), "id", "left_anti"))
+            out = arcs.join(free.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+            left = written(left.join(free, "id", "left_anti").join(out, "id", "left_anti"), "mis-left")
+            arcs = written(ends(arcs), "mis-edges")
     return chosen.all() if chosen.n else g.vertices.select("id").limit(0)
 
 

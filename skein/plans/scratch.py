@@ -59,26 +59,30 @@ TASK_ROWS = 500_000
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int:
-    """Partitions for a shuffle of so many rows: the session's number, or more, so that a task's rows don't grow with the input."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    """Partitions for a shuffle of so many rows: a task's rows don't grow with the input."""
+    return max(-(-rows // TASK_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
 @contextlib.contextmanager
 def spread(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, what runs deals its shuffles, of at most so many rows each, over enough partitions."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(tasks_for(spark, rows)))
+    """Within it, what runs deals its shuffles, of at most so many rows each, over enough partitions.
+
+    They are not joined by their size in bytes afterwards: sorted ids take so few that millions of rows would meet in a task.
+    """
+    settings = {"spark.sql.shuffle.partitions": str(tasks_for(spark, rows)), "spark.sql.adaptive.coalescePartitions.enabled": "false"} if rows > TASK_ROWS else {}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """``df`` dealt by keys for a step that runs later; left as it is where the session's partitions are enough."""
-    n = tasks_for(df.sparkSession, rows)
-    return df if n == int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(n, *keys)
+    """``df`` dealt by keys for a step that runs later; few rows are left to the session's settings."""
+    return df if rows <= TASK_ROWS else df.repartition(tasks_for(df.sparkSession, rows), *keys)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -40,3 +40,20 @@ def test_rounds(spark):
     assert sorted(r[0] for r in rounds.all().collect()) == [0, 1, 2, 3, 4]
     state, n = until(spark.range(8), lambda d, k: d.filter(f"id >= {k}"), lambda a, b, k: b.count() <= 5, "u", 10)
     assert (state.count(), n) == (5, 3)
+
+
+def test_large_shuffles_are_dealt_by_their_rows(spark, monkeypatch):
+    from skein import queries
+    from skein.plans import scratch
+
+    d, name = "/root/testdata/sf0.001", "spark.sql.adaptive.coalescePartitions.enabled"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for big, there in ((10**9, False), (600, True)):
+        monkeypatch.setattr(scratch, "TASK_ROWS", big)
+        for g in (queries.supplies(spark, d), queries.copurchase(spark, d).transpose(), queries.succession(spark, d)):
+            assert ("REPARTITION_BY_NUM" in plan(g.edges)) == there
+        before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get(name)
+        with scratch.spread(spark, 6_100):
+            now = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get(name)
+        assert now == (("11", "false") if there else before)
+        assert before == (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get(name))

@@ -214,3 +214,20 @@ def test_triangles_join_no_wedges(spark, monkeypatch):
     found = s.triangles(Graph.from_rows(spark, edges))
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # a join would make all wedges
     assert s.triangle_count(Graph.from_rows(spark, [(0, 1), (1, 2)])) == 0 == s.triangle_count(Graph.from_rows(spark, [(0, 0)], n_vertices=2))
+
+
+def test_large_graphs_give_the_same_in_more_tasks(spark, monkeypatch):
+    from skein.plans import scratch
+
+    edges = [(a, b) for a, b in {(min(e), max(e)) for e in random_edges(60, 150, 5)}]
+    for directed in (True, False):
+        g = Graph.from_rows(spark, edges, directed=directed)
+        want = sorted(map(tuple, s.jaccard(g).collect())), sorted(map(tuple, s.maximal_independent_set(g, seed=9).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(scratch, "TASK_ROWS", 20)
+            tasks = []
+            m.setattr(s, "spread", lambda spark, rows, f=s.spread: (tasks.append(rows), f(spark, rows))[1])
+            big = Graph(g.vertices, g.edges, directed, about=len(edges))
+            assert (sorted(map(tuple, s.jaccard(big).collect())), sorted(map(tuple, s.maximal_independent_set(big, seed=9).collect()))) == want
+        assert len(edges) in tasks and min(tasks) < len(edges)  # fewer tasks once little is left
+        assert {9} <= {t[0] for t in want[1]}
