@@ -192,20 +192,36 @@ def tarjan_scc(g) -> tuple[DataFrame, int]:
 
 def articulation_points(g, **kw) -> DataFrame:
     """(id): vertices whose removal splits their component; direction is ignored, parallel edges count, loops don't."""
-    from skein.operators import kernels
+    from skein.operators import forests, kernels
     from skein.operators.traverse import by_component
 
+    def ahead(rows: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        off, core = forests.pendants(rows)
+        return (None if off is None else off.filter("cut").select(F.col("other").alias("id"))), core
+
     kind = g.vertices.schema["id"].dataType.simpleString()
-    return by_component(g, lambda ids, out: ((u,) for u in sorted(kernels.low_points(ids, out)[0])), f"id {kind}", _symmetric(g), **kw)
+    found = by_component(g, lambda ids, out: ((u,) for u in sorted(kernels.low_points(ids, out)[0])), f"id {kind}", _symmetric(g), ahead=ahead, **kw)
+    return found.distinct()  # what others hang on may be one in the rest too
 
 
 def biconnected_components(g, **kw) -> DataFrame:
     """(block, id): blocks as sets of vertices, ``block`` being (smallest id of the component, number within it); a vertex without neighbours is a block."""
-    from skein.operators import kernels
-    from skein.operators.traverse import by_component
+    from skein.operators import forests, kernels
+    from skein.operators.traverse import by_component, in_kernel
 
     kind = g.vertices.schema["id"].dataType.simpleString()
-    rows = by_component(g, lambda ids, out: ((ids[0], k, u) for k, b in enumerate(sorted(kernels.low_points(ids, out)[1])) for u in b), f"component {kind}, number long, id {kind}", _symmetric(g), **kw)
+
+    def ahead(rows: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        off, core = forests.pendants(rows)
+        if off is None:
+            return None, rows
+        blocks = in_kernel(core, lambda ids, out: ((b,) for b in kernels.low_points(ids, out)[1]), f"component {kind}, members array<{kind}>", keyed=True)
+        pairs = off.select("component", F.array_sort(F.array("id", "other")).alias("members")).distinct()
+        number = written(numbered(blocks.unionByName(pairs).select(F.struct("component", "members").alias("component"))).select("component.*", "number"), "blocks")
+        first = number.groupBy("component").agg(F.min("number").alias("first"))  # as few as there are large components
+        return number.join(F.broadcast(first), "component").select("component", (F.col("number") - F.col("first")).alias("number"), F.explode("members").alias("id")), rows.limit(0)
+
+    rows = by_component(g, lambda ids, out: ((ids[0], k, u) for k, b in enumerate(sorted(kernels.low_points(ids, out)[1])) for u in b), f"component {kind}, number long, id {kind}", _symmetric(g), ahead=ahead, **kw)
     return rows.select(F.struct("component", "number").alias("block"), "id")
 
 

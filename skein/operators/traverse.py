@@ -19,13 +19,15 @@ from pyspark.sql.window import Window
 
 from skein.errors import CycleError, GraphError, OutOfRange
 from skein.graph import Graph
-from skein.operators import kernels
+from skein.operators import forests, kernels
 from skein.operators.components import weak_components
 from skein.plans.iterate import Rounds
 from skein.plans.scratch import written
 
 #: Edges of one component that a sequential kernel takes.
 MOST_KERNEL_EDGES = 20_000_000
+#: Edges and vertices of a component from which on a kernel is the last resort.
+LARGE = 200_000
 
 
 def source_rows(g: Graph, sources: Any) -> DataFrame:
@@ -260,9 +262,10 @@ def negative_cycle(paths: DataFrame, vertex: Any) -> list:
 # -- depth first ---------------------------------------------------------------------
 
 
-def by_component(g: Graph, kernel: Callable[[list, kernels.Adjacency], Iterable[tuple]], schema: str, arcs: DataFrame | None = None, most_edges: int = MOST_KERNEL_EDGES, vertices: DataFrame | None = None) -> DataFrame:
+def by_component(g: Graph, kernel: Callable[[list, kernels.Adjacency], Iterable[tuple]], schema: str, arcs: DataFrame | None = None, most_edges: int = MOST_KERNEL_EDGES, vertices: DataFrame | None = None, ahead: Callable[[DataFrame], tuple[DataFrame | None, DataFrame]] | None = None) -> DataFrame:
     """``kernel(vertices, adjacency)`` applied to each weakly connected component; it gives rows of ``schema``.
 
+    ``ahead`` takes the rows of components above LARGE rows and gives rows of ``schema`` and the rows that are left to the kernel.
     A component of more than ``most_edges`` edges is an error: a sequential visit holds it in one task.
     """
     arcs = (g.arcs if arcs is None else arcs).select("src", "dst", "eid")
@@ -270,11 +273,23 @@ def by_component(g: Graph, kernel: Callable[[list, kernels.Adjacency], Iterable[
     label = weak_components(arcs, vertices)
     rows = arcs.join(label.withColumnRenamed("id", "src"), "src").unionByName(vertices.join(label, "id").select(F.col("id").alias("src"), F.lit(None).cast(arcs.schema["dst"].dataType).alias("dst"), F.lit(None).cast("long").alias("eid"), "component"))
     rows = written(rows, "component-edges")
+    done = None
+    if ahead is not None:
+        large = written(rows.groupBy("component").count().filter(F.col("count") > LARGE).select("component"), "large")  # few: each has many rows
+        if not large.isEmpty():
+            done, left = ahead(written(rows.join(F.broadcast(large), "component", "left_semi").select(*rows.columns), "large-edges"))
+            rows = rows.join(F.broadcast(large), "component", "left_anti").select(*rows.columns).unionByName(left.select(*rows.columns))
+    found = in_kernel(rows, kernel, schema, most_edges)
+    return found if done is None else found.unionByName(done.select(*(F.col(f.name).cast(f.dataType) for f in found.schema)))
+
+
+def in_kernel(rows: DataFrame, kernel: Callable[[list, kernels.Adjacency], Iterable[tuple]], schema: str, most_edges: int = MOST_KERNEL_EDGES, keyed: bool = False) -> DataFrame:
+    """A kernel's rows over each ``component`` of (src, dst, eid, component), after its key if ``keyed``; vertices are rows without ``eid``."""
     large = rows.groupBy("component").count().filter(F.col("count") > most_edges).limit(1).collect()
     if large:
         raise GraphError(f"component {large[0][0]} has more than {most_edges} edges and vertices; a sequential visit holds it in one task")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         ends = frame[frame["eid"].notna()].astype({"eid": "int64"}).sort_values(["src", "eid", "dst"])
         ids = sorted(frame.loc[frame["eid"].isna(), "src"])
         if ends["dst"].dtype == float:
@@ -282,12 +297,23 @@ def by_component(g: Graph, kernel: Callable[[list, kernels.Adjacency], Iterable[
         out: kernels.Adjacency = {}
         for u, v, e in zip(ends["src"].tolist(), ends["dst"].tolist(), ends["eid"].tolist(), strict=True):
             out.setdefault(u, []).append((v, e))
-        return pd.DataFrame(list(kernel(ids, out)), columns=names)
+        found = kernel(ids, out)
+        return pd.DataFrame([(key[0], *row) for row in found] if keyed else list(found), columns=names)
 
     names = T.StructType.fromDDL(schema).names
     return rows.groupBy("component").applyInPandas(run, schema)
 
 
+def _trees_ahead(root: Any, *columns: Column | str) -> Callable[[DataFrame], tuple[DataFrame | None, DataFrame]]:
+    """Large components that are trees, visited without the kernel."""
+
+    def ahead(rows: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        seen, left = forests.visited(rows, root)
+        return (None if seen is None else seen.select(*columns).filter(F.col(seen.select(*columns).columns[0]).isNotNull())), left
+
+    return ahead
+
+
 def _id_type(g: Graph) -> str:
     return g.vertices.schema["id"].dataType.simpleString()
 
@@ -306,21 +332,22 @@ def dfs(g: Graph, source: Any = None, reverse: bool = False) -> DataFrame:
     g = g.transpose() if reverse else g
     kind = _id_type(g)
     rows = lambda ids, out: ((r["id"], r["parent"], r["discover"], r["finish"], r["depth"]) for r in kernels.depth_first(ids, out, [source] if source is not None else ids)[0])
-    return _visited(g, source, rows, f"id {kind}, parent {kind}, discover long, finish long, depth long")
+    finish = (F.col("discover") + 2 * F.col("size") - 1).alias("finish")
+    return _visited(g, source, rows, f"id {kind}, parent {kind}, discover long, finish long, depth long", _trees_ahead(source, "id", "parent", "discover", finish, "depth"))
 
 
-def _visited(g: Graph, source: Any, kernel, schema: str) -> DataFrame:
+def _visited(g: Graph, source: Any, kernel, schema: str, ahead=None) -> DataFrame:
     if source is None:
-        return by_component(g, kernel, schema)
+        return by_component(g, kernel, schema, ahead=ahead)
     source_rows(g, source)
     vertices, arcs = _reach(g, source)
-    return by_component(g, kernel, schema, arcs, vertices=vertices)
+    return by_component(g, kernel, schema, arcs, vertices=vertices, ahead=ahead)
 
 
 def dfs_edges(g: Graph, source: Any = None, reverse: bool = False) -> DataFrame:
     """(eid, class): how a depth-first visit meets each edge: tree, back or forward_or_cross."""
     g = g.transpose() if reverse else g
-    return _visited(g, source, lambda ids, out: kernels.depth_first(ids, out, [source] if source is not None else ids)[1], "eid long, class string")
+    return _visited(g, source, lambda ids, out: kernels.depth_first(ids, out, [source] if source is not None else ids)[1], "eid long, class string", _trees_ahead(source, "eid", F.lit("tree").alias("class")))
 
 
 def dfs_events(g: Graph, source: Any, events: Iterable[str] | None = None, reverse: bool = False) -> DataFrame:
@@ -348,11 +375,12 @@ def topological_sort(g: Graph, sources: Any = None, safe: bool = True, reverse:
         return ((ids[0], k, u, cycle) for k, u in enumerate(order))
 
     schema = f"component {kind}, position long, id {kind}, cycle {kind}"
+    placed = ("component", "position", "id", F.lit(None).cast(kind).alias("cycle"))
     if wanted is None:
-        rows = by_component(g, kernel, schema)
+        rows = by_component(g, kernel, schema, ahead=_trees_ahead(None, *placed))
     else:
         vertices, arcs = _reach(g, wanted)
-        rows = by_component(g, kernel, schema, arcs, vertices=vertices)
+        rows = by_component(g, kernel, schema, arcs, vertices=vertices, ahead=_trees_ahead(wanted[0], *placed) if len(wanted) == 1 else None)
     if safe:
         rows = written(rows, "topological")
         hit = rows.filter("cycle is not null").limit(1).collect()

@@ -231,3 +231,21 @@ def test_large_graphs_give_the_same_in_more_tasks(spark, monkeypatch):
             assert (sorted(map(tuple, s.jaccard(big).collect())), sorted(map(tuple, s.maximal_independent_set(big, seed=9).collect()))) == want
         assert len(edges) in tasks and min(tasks) < len(edges)  # fewer tasks once little is left
         assert {9} <= {t[0] for t in want[1]}
+
+
+def test_what_hangs_on_large_components_is_taken_off_before_the_kernel(spark, monkeypatch):
+    from skein.operators import traverse
+
+    edges = random_edges(14, 20, 8, loops=True) + [(a % 14, 20 + a) for a in range(30)] + [(20, 60), (60, 61), (61, 62), (61, 62), (62, 63)]
+    edges += [(100, 101)] + [(110, k) for k in range(111, 120)] + [(130, 130)]
+    for directed in (True, False):
+        g = Graph.from_rows(spark, edges, directed=directed)
+        ask = lambda: (sorted(r["id"] for r in c.articulation_points(g).collect()), sorted(map(str, c.biconnected_components(g).collect())))  # noqa: B023, E731
+        want = ask()
+        with monkeypatch.context() as m:
+            m.setattr(traverse, "LARGE", 2)
+            assert ask() == want
+    star = Graph.from_rows(spark, [(0, k) for k in range(1, 9)])
+    monkeypatch.setattr(traverse, "LARGE", 2)
+    monkeypatch.setattr(kernels, "low_points", None)  # the kernel isn't asked for a star
+    assert [r["id"] for r in c.articulation_points(star).collect()] == [0] and c.biconnected_components(star).count() == 16

@@ -162,3 +162,26 @@ def test_looking_for_a_cycle_ends_with_the_longest_path(spark, monkeypatch):
     assert names.count("hops") <= 9  # three looks of a few jumps, not of as many as halve 300 vertices
     assert t.bellman_ford(Graph.from_rows(spark, [(0, 1, 1), (1, 2, -2), (2, 3, 0), (3, 1, 1), (1, 4, 0), (4, 5, 0), (0, 6, 0)]), 0, "value")[1] in (1, 2, 3)
     assert t.bellman_ford(Graph.from_rows(spark, [(0, 0, -1), (0, 1, 1)]), 0, "value")[1] == 0
+
+
+def test_large_trees_are_visited_without_the_kernel(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    edges = [(r.randrange(k), k) for k in range(1, 60)]  # a tree from 0
+    edges += [(100 + a, 100 + b) for a, b in edges if b < 20] + [(115, 100)]  # with a cycle: not a tree
+    edges += [(205, 200), (205, 203), (203, 204)]  # a tree, but not from its smallest id
+    edges += [(300 + k, 301 + k) for k in range(20)]  # deeper than rounds go
+    monkeypatch.setattr(t.forests, "MOST_LEVELS", 16)
+    r.shuffle(edges)
+    g = Graph.from_rows(spark, edges)
+    tree = Graph.from_rows(spark, [e for e in edges if e[1] < 60])
+    rows = lambda df: sorted(map(str, df.collect()))
+    asked = [lambda: t.dfs(g), lambda: t.dfs(g, 205), lambda: t.dfs_edges(g), lambda: t.dfs_edges(g, 0), lambda: t.topological_sort(tree), lambda: t.topological_sort(tree, 2)]
+    want = [rows(f()) for f in asked]
+    monkeypatch.setattr(t, "LARGE", 3)
+    assert [rows(f()) for f in asked] == want
+    with pytest.raises(CycleError):
+        t.topological_sort(g)
+    monkeypatch.setattr(t.kernels, "depth_first", None)
+    assert rows(t.dfs(tree)) == rows(t.dfs(tree, 0))
